@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import group_split, unify_text
+from ledgerloom.llm import group_split, residue, split_items, survivor, unify_text
 from ledgerloom.session import table
 
 SPLITS = {"train": 0.70, "validation": 0.15, "test": 0.15}
@@ -36,11 +36,73 @@ def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.crossJoin(F.broadcast(total)).select("split", "n_rows", "n_groups", F.expr("round(n_rows / total, 4)").alias("share"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivor.latest_statements(table(spark, sf_dir, "facts"), table(spark, sf_dir, "manifest"))
+
+
+def p6_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivor.merged_records(table(spark, sf_dir, "facts"), table(spark, sf_dir, "manifest"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = split_items.pieces(table(spark, sf_dir, "examples"), "chunk_id", "text", short=False)
+    return made.where("piece = 1 AND chunk_id IS NOT NULL").select("chunk_id").distinct()
+
+
+def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_items.pieces(table(spark, sf_dir, "examples"), "chunk_id", "text", short=False)
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.flagged(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p10_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.flagged(table(spark, sf_dir, "documents"))
+
+
+def p10_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.cleaned(table(spark, sf_dir, "documents")).select("doc_id", "lang", "source", "n_chars", "company", "report_id")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_unified": p1_unified,
     "p2_found": p2_found,
     "p2_splits": p2_splits,
     "p2_shares": p2_shares,
+    "p6_found": p6_found,
+    "p6_merged": p6_merged,
+    "p7_found": p7_found,
+    "p7_pieces": p7_pieces,
+    "p10_found": p10_found,
+    "p10_kinds": p10_kinds,
+    "p10_clean": p10_clean,
+}
+
+_STATES = """coalesce(regexp_replace(regexp_replace(lower({0}), '^[\\s(\\[]+|[\\s)\\].]+$', '', 'g'), '\\s+', '', 'g') NOT IN ('', %s), false)""" % ", ".join(f"'{n.replace(' ', '')}'" for n in survivor.NOTHING)
+_DATED = """
+WITH known AS (SELECT doc_id, max(rcept_dt) AS dt FROM manifest GROUP BY doc_id),
+rows AS (
+  SELECT f.*, regexp_extract(f.doc_id, '_([^_]*)$', 1) AS no, k.dt,
+    CASE WHEN regexp_matches(filing_date, '^\\s*[0-9]{8}\\s*$') THEN trim(filing_date)
+      WHEN regexp_matches(filing_date, '^\\s*[0-9]{4}[^0-9]+[0-9]{1,2}[^0-9]+[0-9]{1,2}[^0-9]*$') THEN
+        regexp_extract(filing_date, '([0-9]{4})', 1) || lpad(regexp_extract(filing_date, '[0-9]{4}[^0-9]+([0-9]{1,2})', 1), 2, '0') || lpad(regexp_extract(filing_date, '[0-9]{4}[^0-9]+[0-9]{1,2}[^0-9]+([0-9]{1,2})', 1), 2, '0') END AS own_day
+  FROM facts f LEFT JOIN known k USING (doc_id)
+  WHERE value_owner IS NULL AND correction_group_id IS NOT NULL AND field_code IS NOT NULL),
+d AS (SELECT *, coalesce(own_day, dt, substr(no, 1, 8)) AS day FROM rows)
+"""
+
+
+def _best(name: str, states: str) -> str:
+    return f"arg_max({name}, {{'d': day, 'n': no, 'i': -fact_id}}) FILTER (WHERE {states}) AS {name}"
+
+
+_TEXTS, _REST = ["company", "period", "key", "value_text", "value_unit", "value_date", "unit_code", "unit_value"], ["value_num"]
+ORACLES: dict[str, str] = {
+    "p6_found": _DATED
+    + f"SELECT correction_group_id, field_code, {_best('fact_id', _STATES.format('value_text'))} FROM d GROUP BY ALL HAVING count(*) > 1 AND bool_or({_STATES.format('value_text')})",
+    "p6_merged": _DATED
+    + f"SELECT correction_group_id, field_code, count(*) AS n_records, {', '.join([*(_best(n, _STATES.format(n)) for n in _TEXTS), *(_best(n, n + ' IS NOT NULL') for n in _REST)])} FROM d GROUP BY ALL HAVING count(*) > 1",
+    "p7_found": "SELECT DISTINCT chunk_id FROM examples WHERE length(text) > 1500 AND chunk_id IS NOT NULL",
 }
-ORACLES: dict[str, str] = {}
