@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import group_split, residue, split_items, survivor, unify_text
-from ledgerloom.session import table
+from ledgerloom.llm import group_split, leak_search, mix_sources, residue, split_items, survivor, unify_text
+from ledgerloom.session import keep, table
 
 SPLITS = {"train": 0.70, "validation": 0.15, "test": 0.15}
 LINKS = ["query_id", "company", "report_id"]
@@ -53,6 +53,24 @@ def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_items.pieces(table(spark, sf_dir, "examples"), "chunk_id", "text", short=False)
 
 
+def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak_search.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_passages"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_leaks(spark, sf_dir).select("doc_id", "passage_id")
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that the mix reaches."""
+    targets = table(spark, sf_dir, "source_targets")
+    return mix_sources.shares(keep(p9_mix(spark, sf_dir), "mix"), targets)
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.flagged(table(spark, sf_dir, "documents")).select("doc_id")
 
@@ -75,6 +93,10 @@ QUERIES = {
     "p6_merged": p6_merged,
     "p7_found": p7_found,
     "p7_pieces": p7_pieces,
+    "p8_found": p8_found,
+    "p8_leaks": p8_leaks,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_kinds": p10_kinds,
     "p10_clean": p10_clean,
