@@ -144,7 +144,7 @@ def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, tokeniz
     if not p.instances:
         return spark.createDataFrame([], schema)
     # At most MAX_BLOCKS x max_repeats rows for each source.
-    taken = F.broadcast(spark.createDataFrame(pd.DataFrame(p.instances, columns=["source", "block", "copy", "shard", "limit"]).astype({"limit": "Int64"}), "source string, block int, copy int, shard int, limit long"))
+    taken = F.broadcast(spark.createDataFrame(p.instances, "source string, block int, copy int, shard int, limit long"))
     rows = blocked.join(taken, ["source", "block"])
     whole = rows.where("limit IS NULL")
     # One cut block for each source: its documents, in hash order, up to the limit.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import group_split, leak_search, mix_sources, residue, split_items, survivor, unify_text
+from ledgerloom.llm import group_split, leak_search, map_values, mix_sources, residue, split_items, survivor, unify_text
 from ledgerloom.session import keep, table
 
 SPLITS = {"train": 0.70, "validation": 0.15, "test": 0.15}
@@ -36,6 +36,27 @@ def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.crossJoin(F.broadcast(total)).select("split", "n_rows", "n_groups", F.expr("round(n_rows / total, 4)").alias("share"))
 
 
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.explode(F.array("item_name", "item_name_ko")).alias("name")
+    return table(spark, sf_dir, "field_items").select(F.col("field_code").alias("code"), names, F.col("doc_groups").alias("scopes"))
+
+
+def p5_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = table(spark, sf_dir, "facts").where("field_code IS NULL").select("fact_id", "key", "key_norm", "doc_group")
+    return map_values.mapped(facts, "fact_id", F.coalesce("key", "key_norm"), F.col("doc_group"), _items(spark, sf_dir))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_mapped(spark, sf_dir).select("fact_id", F.col("code").alias("field_code"))
+
+
+def p5_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed keys that stand for no listed item, with their facts."""
+    facts = table(spark, sf_dir, "facts").where("field_code IS NULL").select("fact_id", "key")
+    rest = p5_found(spark, sf_dir).where(F.col("field_code") == map_values.NONE)
+    return facts.join(rest, "fact_id").groupBy("key").agg(F.count("*").alias("facts"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivor.latest_statements(table(spark, sf_dir, "facts"), table(spark, sf_dir, "manifest"))
 
@@ -89,6 +110,9 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_splits": p2_splits,
     "p2_shares": p2_shares,
+    "p5_found": p5_found,
+    "p5_mapped": p5_mapped,
+    "p5_unmatched": p5_unmatched,
     "p6_found": p6_found,
     "p6_merged": p6_merged,
     "p7_found": p7_found,
