@@ -197,7 +197,7 @@ def matched_values(values: DataFrame, reference: list[tuple[str, str, list[str]
         return values.sparkSession.createDataFrame([], "ll_raw string, ll_scope string, code string, score double, margin double, whole boolean")
     # At most two entries of every block meet here.
     best = scored.groupBy("ll_raw", "ll_scope").agg(F.sort_array(F.collect_list(F.struct("score", "code", "whole")), asc=False).alias("b"))
-    second = F.coalesce(F.filter("b", lambda x: x["code"] != F.col("b")[0]["code"])[0]["score"], F.lit(0.0))
+    second = F.coalesce(F.get(F.filter("b", lambda x: x["code"] != F.col("b")[0]["code"]), F.lit(0))["score"], F.lit(0.0))
     out = best.select("ll_raw", "ll_scope", F.col("b")[0]["code"].alias("code"), F.col("b")[0]["score"].alias("score"), (F.col("b")[0]["score"] - second).alias("margin"), F.col("b")[0]["whole"].alias("whole"))
     sure = (F.col("score") >= threshold) & (F.col("margin") >= margin)
     return out.where(sure | (F.col("whole") & (F.col("score") >= EXPLAINED) & (F.col("margin") >= EXPLAINED_MARGIN)))
