@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import group_split, leak_search, map_values, mix_sources, residue, split_items, survivor, unify_text
+from ledgerloom.llm import group_split, leak_search, link_names, map_values, mix_sources, residue, split_items, survivor, unify_text
 from ledgerloom.session import keep, table
 
 SPLITS = {"train": 0.70, "validation": 0.15, "test": 0.15}
@@ -36,6 +36,23 @@ def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.crossJoin(F.broadcast(total)).select("split", "n_rows", "n_groups", F.expr("round(n_rows / total, 4)").alias("share"))
 
 
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct names of companies and persons, without companies in disguised characters."""
+    facts, plans = table(spark, sf_dir, "facts"), table(spark, sf_dir, "query_plans")
+    odd = unify_text.canonical_values(facts, ["company"]).select(F.col("ll_value").alias("name"))
+    companies = facts.select(F.col("company").alias("name")).distinct().join(odd, "name", "left_anti")
+    owners = facts.select(F.col("value_owner").alias("name")).distinct()
+    return companies.union(owners).union(plans.select(F.explode("company_mentions").alias("name"))).distinct()
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_names.variant_pairs(_names(spark, sf_dir))
+
+
+def p4_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_names.variants(_names(spark, sf_dir))
+
+
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.explode(F.array("item_name", "item_name_ko")).alias("name")
     return table(spark, sf_dir, "field_items").select(F.col("field_code").alias("code"), names, F.col("doc_groups").alias("scopes"))
@@ -110,6 +127,8 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_splits": p2_splits,
     "p2_shares": p2_shares,
+    "p4_found": p4_found,
+    "p4_variants": p4_variants,
     "p5_found": p5_found,
     "p5_mapped": p5_mapped,
     "p5_unmatched": p5_unmatched,
