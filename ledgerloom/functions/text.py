@@ -107,7 +107,7 @@ def plain(c: Column) -> Column:
 
 
 def normalise_key(c: Column) -> Column:
-    """Item name without numbering, bullet, trailing bracket, colon and all white space."""
-    c = F.regexp_replace(c, r"^\s*(?:[※*\-•]\s*|\(?[0-9]{1,2}[.)]\s*|[가-하]\.\s*)+", "")
-    c = F.regexp_replace(c, r"\s*:?\s*[\(\[][^()\[\]]*[\)\]]\s*$", "")
-    return F.regexp_replace(F.regexp_replace(c, r"[:：]\s*$", ""), r"(?U)\s+", "")
+    """Item name without leading numbering or bullet, trailing parenthetical, colon, and all white space."""
+    c = F.regexp_replace(c, r"(?U)^\s*(?:[※\-•·○▶■]\s*|\(?[0-9]{1,2}[.)]\s*|[가-하][.)]\s*)+", "")
+    c = F.regexp_replace(c, r"(?U)\s*\([^()]*\)\s*$", "")
+    return F.regexp_replace(F.regexp_replace(c, r"(?U)[:：]\s*$", ""), r"(?U)\s+", "")
