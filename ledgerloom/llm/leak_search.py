@@ -67,7 +67,7 @@ def aligned_words(item: np.ndarray, words: np.ndarray) -> int:
         diagonal = row[:-1] + np.where(words == x, _BIG + 1, -_BIG)
         t = np.maximum(np.maximum(diagonal, row[1:] - _BIG), 0)
         new = np.maximum.accumulate(t + j) - j
-        row = np.concatenate(([0], np.where(new < 0, 0, new)))
+        row = np.concatenate(([0], np.where(new < _BIG, 0, new)))
         # Score in the upper part, matched words in the lower part.
         best = max(best, int(row.max()))
     return best % _BIG

@@ -164,7 +164,8 @@ def parts_of(name: str, folded: str) -> tuple[str, str] | None:
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = [(n, *p) for n, f in zip(pdf["name"], pdf["folded"], strict=True) for p in [parts_of(n, f)] if p and p[0]]
-        yield pd.DataFrame(out, columns=["name", "stem", "qual"])
+        if out:
+            yield pd.DataFrame(out, columns=["name", "stem", "qual"])
 
 
 def near_stems(stems: DataFrame) -> DataFrame:

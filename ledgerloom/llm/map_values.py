@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import plain
 
-THRESHOLD, MARGIN = 0.45, 0.03
+THRESHOLD, MARGIN = 0.6, 0.03
 #: For values whose words are all explained by the entry.
 EXPLAINED, EXPLAINED_MARGIN = 0.2, 0.015
 REFERENCE_BLOCK = 20_000
@@ -180,7 +180,8 @@ def _score(index: Index):
             out = []
             for key, value, scope in zip(pdf["ll_raw"], pdf["ll_value"], pdf["ll_scope"], strict=True):
                 out += [(key, scope, code, score, whole) for score, code, whole in index.best(value, scope)]
-            yield pd.DataFrame(out, columns=["ll_raw", "ll_scope", "code", "score", "whole"])
+            if out:
+                yield pd.DataFrame(out, columns=["ll_raw", "ll_scope", "code", "score", "whole"])
 
     return run
 
@@ -210,7 +211,9 @@ def mapped(df: DataFrame, key: str, value: Column, scope: Column, reference: Dat
     """
     entries = [(r["code"], r["name"], r["scopes"]) for r in reference.where("code IS NOT NULL AND name IS NOT NULL").orderBy("code", "name").toLocalIterator()]
     rows = df.select(F.col(key), value.cast("string").alias("ll_raw"), scope.cast("string").alias("ll_scope"))
-    values = rows.where("ll_raw IS NOT NULL").select("ll_raw", "ll_scope").distinct()
+    # Scoring costs more than its bytes tell, so the adaptive planner must not merge these partitions.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = rows.where("ll_raw IS NOT NULL").select("ll_raw", "ll_scope").distinct().repartition(tasks)
     found = matched_values(values, entries, threshold, margin)
     same = (rows["ll_raw"] == found["ll_raw"]) & rows["ll_scope"].eqNullSafe(found["ll_scope"])
     return rows.join(found, same, "left").select(F.col(key), F.coalesce("code", F.lit(NONE)).alias("code"), F.coalesce("score", F.lit(0.0)).alias("score"))

@@ -111,8 +111,9 @@ def _detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     auto = _compiled()
     for pdf in batches:
         found = [kinds_of(t, auto) for t in pdf["text"]]
-        keep = [bool(f) for f in found]
-        yield pd.DataFrame({"doc_id": pdf["doc_id"][keep], "kinds": [",".join(f) for f in found if f]})
+        hits = [(d, ",".join(f)) for d, f in zip(pdf["doc_id"], found, strict=True) if f]
+        if hits:
+            yield pd.DataFrame(hits, columns=["doc_id", "kinds"])
 
 
 def _terms(c):

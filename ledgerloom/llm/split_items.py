@@ -54,7 +54,7 @@ def boundaries(text: str, reach: int) -> tuple[np.ndarray, np.ndarray]:
             add(m.end(), CLAUSE if m.lastgroup == "c" else WORD)
     for a, b in gaps():
         for pos in range(a + 1, b):
-            if (pos - a) % 25 == 0 or pos - a == reach:
+            if (pos - a) % min(25, reach) == 0:
                 add(pos, ANYWHERE)
     pos = np.array(sorted(at), dtype=np.int64)
     return pos, np.array([at[p] for p in pos.tolist()])
@@ -72,7 +72,7 @@ def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[in
     pieces = -(-(n - overlap) // step)
     ideal = (n + (pieces - 1) * overlap) / pieces
     # cost[j]: best cost of a split whose last piece ends at pos[j]; the first piece has no overlap before it.
-    first = pos <= limit
+    first = (pos <= limit) & (pos > overlap)
     cost = np.where(first, penalty + IMBALANCE * ((pos - ideal) / limit) ** 2, np.inf)
     back = np.full(len(pos), -1)
     low = np.searchsorted(pos, pos - step, side="left")
@@ -103,7 +103,9 @@ def _split(limit: int, overlap: int):
                     start.append(a)
                     end.append(b)
                     text.append(t[a:b])
-            yield pd.DataFrame({"id": ids, "piece": no, "start": start, "end": end, "text": text})
+            if not ids:
+                continue
+            yield pd.DataFrame({"id": pd.Series(ids, dtype=object), "piece": no, "start": start, "end": end, "text": text})
 
     return run
 
