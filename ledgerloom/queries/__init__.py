@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["units"]
+MODULES = ["units", "facts"]
 
 
 def _all(what: str) -> dict:
