@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["units", "facts"]
+MODULES = ["units", "facts", "versions"]
 
 
 def _all(what: str) -> dict:
