@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["units", "facts", "versions"]
+MODULES = ["retrieval", "units", "facts", "versions"]
 
 
 def _all(what: str) -> dict:
@@ -26,4 +26,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["p3_found"](spark, sf_dir)
+    return queries()["hybrid_search"](spark, sf_dir)
