@@ -72,15 +72,12 @@ def parse_value(text: Column, unit_value: Column) -> Column:
 
 def read_out_won(won: Column, max_terms: int = 2) -> Column:
     """An amount in 조, 억, 만 and won, at most max_terms of them: 3_112_850_000_000 is 3조 1,128억원."""
-    left = F.abs(F.bround(won, 0)).cast("long")
-    terms, shown = [], F.lit(0)
-    for name, scale in (("조", 10**12), ("억", 10**8), ("만", 10**4), ("", 1)):
-        n = F.floor(left / F.lit(scale)).cast("long")
-        use = (n > 0) & (shown < max_terms)
-        terms.append(F.when(use, F.concat(F.format_number(n, 0), F.lit(name))))
-        shown = shown + F.when(use, 1).otherwise(0)
-        left = left - n * F.lit(scale)
-    text = F.concat(F.concat_ws(" ", *terms), F.lit("원"))
+    whole = F.abs(F.bround(won, 0)).cast("long")
+    terms = []
+    for name, scale, above in (("조", 10**12, None), ("억", 10**8, 10**4), ("만", 10**4, 10**4), ("", 1, 10**4)):
+        n = F.floor(whole / F.lit(scale)).cast("long") if above is None else F.pmod(F.floor(whole / F.lit(scale)).cast("long"), F.lit(above))
+        terms.append(F.when(n > 0, F.concat(F.format_number(n, 0), F.lit(name))))
+    text = F.concat(F.array_join(F.slice(F.array_compact(F.array(*terms)), 1, max_terms), " "), F.lit("원"))
     zero = F.bround(won, 0) == 0
     return F.when(zero, "0원").otherwise(F.concat(F.when(won < 0, "-").otherwise(""), text))
 

@@ -113,7 +113,7 @@ def attribution(wanted: DataFrame, cited: DataFrame) -> DataFrame:
 
 def confusion(df: DataFrame, truth: str, guess: str, labels: list[str]) -> DataFrame:
     """One row per true label, one column per guessed label."""
-    return df.groupBy(F.col(truth).alias("truth")).pivot(guess, labels).agg(F.count("*")).na.fill(0)
+    return df.groupBy(F.col(truth).alias("truth")).pivot(guess, labels).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def f1_by_label(df: DataFrame, truth: str, guess: str) -> DataFrame:
