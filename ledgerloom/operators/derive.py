@@ -65,8 +65,9 @@ def derive(rows: DataFrame) -> DataFrame:
     """item, unit, kind, n_subjects, n_docs, total, mean, spread for groups of two or more subjects."""
     one = one_per_subject(rows)
     # Sums in decimals don't depend on the order of the rows.
-    total = F.sum(F.col("value").cast("decimal(28,9)")).cast("double")
-    return one.groupBy(*GROUP).agg(F.count("*").alias("n_subjects"), F.count_distinct("doc_id").alias("n_docs"), F.bround(total, 4).alias("total"), F.bround(total / F.count("*"), 4).alias("mean"), F.bround(F.max("value") - F.min("value"), 4).alias("spread")).where("n_subjects >= 2")
+    v = F.col("value").cast("decimal(28,9)")
+    total = F.sum(v).cast("double")
+    return one.groupBy(*GROUP).agg(F.count("*").alias("n_subjects"), F.count_distinct("doc_id").alias("n_docs"), total.alias("total"), (total / F.count("*")).alias("mean"), (F.max(v) - F.min(v)).cast("double").alias("spread")).where("n_subjects >= 2")
 
 
 def series(rows: DataFrame) -> DataFrame:
