@@ -66,8 +66,8 @@ def derive(rows: DataFrame) -> DataFrame:
     one = one_per_subject(rows)
     # Sums in decimals don't depend on the order of the rows.
     v = F.col("value").cast("decimal(28,9)")
-    total = F.sum(v).cast("double")
-    return one.groupBy(*GROUP).agg(F.count("*").alias("n_subjects"), F.count_distinct("doc_id").alias("n_docs"), total.alias("total"), (total / F.count("*")).alias("mean"), (F.max("value") - F.min("value")).alias("spread")).where("n_subjects >= 2")
+    total = F.sum(v)
+    return one.groupBy(*GROUP).agg(F.count("*").alias("n_subjects"), F.count_distinct("doc_id").alias("n_docs"), total.alias("total"), (total.cast("double") / F.count("*")).alias("mean"), (F.max("value") - F.min("value")).alias("spread")).where("n_subjects >= 2")
 
 
 def series(rows: DataFrame) -> DataFrame:
