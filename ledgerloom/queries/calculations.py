@@ -155,7 +155,7 @@ _MASK = "query"
 for _p in derive.MASKED:
     _MASK = f"replace({_MASK}, '{_p}', ' ')"
 ORACLES = {
-    "group_sum_avg_spread": f"WITH {_ROWS}, {_ONE} SELECT item, unit, kind, count(*) AS n_subjects, count(DISTINCT doc_id) AS n_docs, sum(value::DECIMAL(28, 9))::VARCHAR AS total, max(value) - min(value) AS spread FROM one GROUP BY ALL HAVING count(*) >= 2",
+    "group_sum_avg_spread": f"WITH {_ROWS}, {_ONE} SELECT item, unit, kind, count(*) AS n_subjects, count(DISTINCT doc_id) AS n_docs, sum(value::VARCHAR::DECIMAL(28, 9))::VARCHAR AS total, max(value) - min(value) AS spread FROM one GROUP BY ALL HAVING count(*) >= 2",
     "growth_cagr": f"""WITH {_ROWS}, e AS (SELECT company, item, unit, kind, min(day) AS d0, max(day) AS d1 FROM r GROUP BY ALL HAVING min(day) < max(day)),
 b AS (SELECT company, item, unit, kind, d0, d1, list(DISTINCT value) FILTER (WHERE day = d0) AS a, list(DISTINCT value) FILTER (WHERE day = d1) AS b FROM r JOIN e USING (company, item, unit, kind) GROUP BY ALL),
 v AS (SELECT *, a[1] AS first, b[1] AS last, d1[:4]::INTEGER - d0[:4]::INTEGER AS y FROM b WHERE len(a) = 1 AND len(b) = 1)
