@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["retrieval", "units", "facts", "versions", "calculations"]
+MODULES = ["retrieval", "units", "facts", "versions", "calculations", "documents"]
 
 
 def _all(what: str) -> dict:
