@@ -154,6 +154,8 @@ _OPS = ", ".join(f"CASE WHEN regexp_matches(q, '{'|'.join(w)}') THEN '{op}' END"
 _MASK = "query"
 for _p in derive.MASKED:
     _MASK = f"replace({_MASK}, '{_p}', ' ')"
+#: White space of Unicode, as a class.
+_SPACE = "[ \\t-\\r\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
 ORACLES = {
     "group_sum_avg_spread": f"WITH {_ROWS}, {_ONE} SELECT item, unit, kind, count(*) AS n_subjects, count(DISTINCT doc_id) AS n_docs, sum(value::VARCHAR::DECIMAL(28, 9))::VARCHAR AS total, max(value) - min(value) AS spread FROM one GROUP BY ALL HAVING count(*) >= 2",
     "growth_cagr": f"""WITH {_ROWS}, e AS (SELECT company, item, unit, kind, min(day) AS d0, max(day) AS d1 FROM r GROUP BY ALL HAVING min(day) < max(day)),
@@ -180,6 +182,11 @@ d AS (SELECT *, CASE WHEN regexp_matches(x, '^-?(?:[0-9]+(?:\\.[0-9]+)?[조억
 e AS (SELECT *, coalesce(compound, number, one, CASE WHEN suffix <> '' THEN try_cast(replace(regexp_extract(b, '^-?{_NUMBER}'), ',', '') AS DOUBLE) END) AS plain FROM d)
 SELECT fact_id, CASE WHEN empty OR date IS NOT NULL THEN NULL WHEN regexp_matches(s, '^[△▲▽▼]|^\\(\\s*[0-9][0-9,.]*\\s*\\)$') THEN -abs(plain) ELSE plain END AS num,
   CASE WHEN empty OR date IS NOT NULL THEN NULL WHEN compound IS NOT NULL OR one IS NOT NULL THEN '원' WHEN number IS NULL AND suffix <> '' THEN suffix END AS unit, CASE WHEN NOT empty THEN date END AS date FROM e""",
+    "won_readings": f"""WITH u AS (SELECT fact_id, value_num, regexp_replace(value_unit, '\\s', '', 'g') AS u FROM facts WHERE value_num IS NOT NULL AND value_unit IS NOT NULL), w AS (SELECT *, CASE {_WON} ELSE '' END AS unit FROM u),
+x AS (SELECT fact_id, unit, value_num * CASE unit {_FACTOR} END AS won FROM w), y AS (SELECT *, abs(round_even(won, 0))::BIGINT AS n FROM x WHERE won IS NOT NULL AND abs(won) < 1e15),
+t AS (SELECT *, list_filter([CASE WHEN n // 1000000000000 > 0 THEN format('{{:,}}', n // 1000000000000) || '조' END, CASE WHEN n // 100000000 % 10000 > 0 THEN format('{{:,}}', n // 100000000 % 10000) || '억' END, CASE WHEN n // 10000 % 10000 > 0 THEN format('{{:,}}', n // 10000 % 10000) || '만' END, CASE WHEN n % 10000 > 0 THEN format('{{:,}}', n % 10000) END], lambda p: p IS NOT NULL)[1:2] AS terms FROM y)
+SELECT fact_id, unit, won, CASE WHEN n = 0 THEN '0원' ELSE CASE WHEN won < 0 THEN '-' ELSE '' END || array_to_string(terms, ' ') || '원' END AS reading FROM t""",
+    "normalised_keys": """SELECT key, regexp_replace(regexp_replace(regexp_replace(regexp_replace(key, '^~*(?:[※\\-•·○▶■]~*|\\(?[0-9]{1,2}[.)]~*|[가-하][.)]~*)+', ''), '~*\\([^()]*\\)~*$', ''), '[:：]~*$', ''), '~+', '', 'g') AS norm FROM (SELECT DISTINCT key FROM facts WHERE key IS NOT NULL)""".replace("~", _SPACE),
     "months_days": """WITH c AS (SELECT doc_id, substr(regexp_extract(correction_group_id, '_([0-9]+)$', 1), 1, 8) AS a, substr(regexp_extract(doc_id, '_([0-9]+)$', 1), 1, 8) AS b FROM corrections WHERE correction_group_id IS NOT NULL),
 d AS (SELECT *, strptime(a, '%Y%m%d')::DATE AS x, strptime(b, '%Y%m%d')::DATE AS y FROM c)
 SELECT doc_id, a, b, (y - x)::INTEGER AS days, ((year(y) - year(x)) * 12 + month(y) - month(x) - CASE WHEN day(y) < day(x) THEN 1 ELSE 0 END)::INTEGER AS months FROM d""",
