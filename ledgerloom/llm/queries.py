@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import text
 from ledgerloom.llm import group_split, leak_search, link_names, map_values, mix_sources, residue, split_items, survivor, unify_text
 from ledgerloom.session import keep, table
 
@@ -163,11 +164,37 @@ def _best(name: str, states: str) -> str:
     return f"arg_max({name}, {{'d': day, 'n': no, 'i': -fact_id}}) FILTER (WHERE {states}) AS {name}"
 
 
+_NARROW = text.NARROW.replace("'", "''")
+_FOLDED = f"trim(regexp_replace(translate(nfc_normalize(value), '{text.WIDE}{text.SPACES}', '{_NARROW}{' ' * len(text.SPACES)}'), '[\\p{{Cf}}\\x{{180E}}]', '', 'g'))"
+for _from, _to in text.LIGATURES.items():
+    _FOLDED = f"replace({_FOLDED}, '{_from}', '{_to}')"
+_BACK = dict(reversed(list(zip(text.CYRILLIC_AS, text.CYRILLIC, strict=True))))
+_BACK |= {g: _BACK[a] for g, a in zip(text.GREEK, text.GREEK_AS, strict=True) if a in _BACK}
+#: Disguised values with their plain spelling. Letters of one other script that all have Latin twins are plain unless their Latin spelling occurs.
+_PLAIN = f"""
+WITH rows AS (SELECT fact_id, 'company' AS field, company AS value FROM facts WHERE company IS NOT NULL UNION ALL SELECT fact_id, 'key', key FROM facts WHERE key IS NOT NULL),
+v AS (SELECT DISTINCT field, value FROM rows), f AS (SELECT *, {_FOLDED} AS fold FROM v),
+g AS (SELECT *, regexp_matches(translate(fold, '{text.LOOKALIKE}', ''), '[\\x{{0370}}-\\x{{052F}}]') AS strange FROM f),
+m AS (SELECT *, nfc_normalize(CASE WHEN strange THEN translate(fold, '{"".join(_BACK)}', '{"".join(_BACK.values())}') ELSE translate(fold, '{text.LOOKALIKE}', '{text.LATIN}') END) AS canonical,
+  fold = value AND NOT strange AND NOT regexp_matches(value, '[A-Za-zÀ-ɏ가-힣]') AND (regexp_matches(value, '\\p{{Greek}}') <> regexp_matches(value, '\\p{{Cyrillic}}')) AS twin FROM g),
+cases AS (SELECT field, value, canonical FROM m WHERE value <> canonical AND (NOT twin OR (field, canonical) IN (SELECT (field, value) FROM v)))
+"""
+_LINKED = """
+WITH RECURSIVE k AS (SELECT example_id AS id, 'q' || query_id AS v FROM examples WHERE query_id IS NOT NULL UNION ALL SELECT example_id, 'c' || company FROM examples WHERE company IS NOT NULL UNION ALL SELECT example_id, 'r' || report_id FROM examples WHERE report_id IS NOT NULL),
+cc(id, g) USING KEY (id) AS (
+  SELECT example_id, example_id FROM examples
+  UNION
+  SELECT k.id, min(low) FROM k JOIN (SELECT v, min(g) AS low FROM k JOIN recurring.cc USING (id) GROUP BY v) USING (v) JOIN recurring.cc r ON r.id = k.id WHERE low < r.g GROUP BY k.id)
+"""
 _TEXTS, _REST = ["company", "period", "key", "value_text", "value_unit", "value_date", "unit_code", "unit_value"], ["value_num"]
 ORACLES: dict[str, str] = {
     "p6_found": _DATED
     + f"SELECT correction_group_id, field_code, {_best('fact_id', _STATES.format('value_text'))} FROM d GROUP BY ALL HAVING count(*) > 1 AND bool_or({_STATES.format('value_text')})",
     "p6_merged": _DATED
     + f"SELECT correction_group_id, field_code, count(*) AS n_records, {', '.join([*(_best(n, _STATES.format(n)) for n in _TEXTS), *(_best(n, n + ' IS NOT NULL') for n in _REST)])} FROM d GROUP BY ALL HAVING count(*) > 1",
+    "p1_found": _PLAIN + "SELECT fact_id, field FROM rows JOIN cases USING (field, value)",
+    "p1_unified": _PLAIN + """SELECT f.fact_id, coalesce(a.canonical, f.company) AS company, coalesce(b.canonical, f.key) AS key FROM facts f
+LEFT JOIN cases a ON a.field = 'company' AND a.value = f.company LEFT JOIN cases b ON b.field = 'key' AND b.value = f.key""",
+    "p2_found": _LINKED + "SELECT id AS example_id, g AS group_id FROM cc",
     "p7_found": "SELECT DISTINCT chunk_id FROM examples WHERE length(text) > 1500 AND chunk_id IS NOT NULL",
 }
