@@ -76,9 +76,11 @@ def compose_hangul(c: Column) -> Column:
 def compose_accents(c: Column) -> Column:
     """Base letter and combining mark as the composed letter, where Unicode has one."""
 
+    # One literal that the optimiser folds into a map: thousands of literals would weigh on the plan and the driver.
+    pairs = ",".join(f"{k}={v}" for k, v in _composed_pairs() if len(k) == 2)
+    table = F.str_to_map(F.lit(pairs), F.lit(","), F.lit("="))
+
     def replaced(x: Column) -> Column:
-        # One pass over the letters with marks instead of one replacement per composed letter.
-        table = F.create_map(*[F.lit(v) for p in _composed_pairs() if len(p[0]) == 2 for v in p])
         pieces = F.regexp_extract_all(x, F.lit("(?s)\\p{L}\\p{Mn}|."), F.lit(0))
         return F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(table, p), p)), "")
 
