@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,6 +31,11 @@ FOREIGN = "[\\u0370-\\u03FF\\u0400-\\u052F&&[\\p{L}]&&[^" + LOOKALIKE + "]]"
 JAMO = r"[\u1100-\u1112][\u1161-\u1175][\u11A8-\u11C2]?"
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c evaluated once: an expression that uses its input several times would otherwise repeat it as a tree."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def fold_width(c: Column) -> Column:
     """Full-width forms, exotic spaces and ligatures as plain characters; format characters removed; outer space trimmed."""
     c = F.regexp_replace(F.translate(c, WIDE + SPACES, NARROW + " " * len(SPACES)), r"[\p{Cf}\u180E]", "")
@@ -69,8 +75,11 @@ def compose_hangul(c: Column) -> Column:
         cp = F.lit(0xAC00) + (part(1, 0x1100) * 21 + part(2, 0x1161)) * 28 + F.when(F.length(x) == 3, part(3, 0x11A7)).otherwise(0)
         return F.when(x.rlike("^" + JAMO), F.decode(F.unhex(F.hex(cp)), "UTF-16BE")).otherwise(x)
 
-    parts = F.regexp_extract_all(c, F.lit("(?s)" + JAMO + "|."), F.lit(0))
-    return F.when(c.rlike("[\\u1100-\\u1112]"), F.array_join(F.transform(parts, syllable), "")).otherwise(c)
+    def composed(x: Column) -> Column:
+        parts = F.regexp_extract_all(x, F.lit("(?s)" + JAMO + "|."), F.lit(0))
+        return F.when(x.rlike("[\\u1100-\\u1112]"), F.array_join(F.transform(parts, syllable), "")).otherwise(x)
+
+    return bound(c, composed)
 
 
 def compose_accents(c: Column) -> Column:
@@ -84,7 +93,7 @@ def compose_accents(c: Column) -> Column:
         pieces = F.regexp_extract_all(x, F.lit("(?s)\\p{L}\\p{Mn}|."), F.lit(0))
         return F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(table, p), p)), "")
 
-    return F.when(c.rlike("\\p{Mn}"), replaced(replaced(c))).otherwise(c)
+    return bound(c, lambda x: F.when(x.rlike("\\p{Mn}"), replaced(replaced(x))).otherwise(x))
 
 
 def compose(c: Column) -> Column:
@@ -103,9 +112,15 @@ def plain(c: Column) -> Column:
 
     Null stays null; a text without suspicious characters is returned as it is.
     """
-    folded = compose(fold_width(c))
-    mapped = F.when(folded.rlike(FOREIGN), latin_to_cyrillic(folded)).otherwise(lookalikes_to_latin(folded))
-    return F.when(c.rlike(SUSPICIOUS) | c.rlike("[\\u0370-\\u052F]"), compose(mapped)).otherwise(c)
+
+    def spelled(x: Column) -> Column:
+        mapped = F.when(x.rlike(FOREIGN), latin_to_cyrillic(x)).otherwise(lookalikes_to_latin(x))
+        return compose(mapped)
+
+    def plainly(x: Column) -> Column:
+        return F.when(x.rlike(SUSPICIOUS), bound(compose(fold_width(x)), spelled)).otherwise(x)
+
+    return bound(c, plainly)
 
 
 def normalise_key(c: Column) -> Column:
