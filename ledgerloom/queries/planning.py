@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.retrieval import bm25
-from ledgerloom.plans import planner
-from ledgerloom.queries.facts import facts
+from ledgerloom.plans import pipeline, planner
+from ledgerloom.queries.facts import documents, facts
 from ledgerloom.session import keep, table
 
 
@@ -67,12 +67,27 @@ def evidence_packs(spark, d):
     return planner.evidence_pack(rows).select("query_id", F.md5("pack").alias("digest"), "n_used", "n_left")
 
 
+def answer_pipeline(spark, d):
+    """Every question whose number is divisible by 20, from plan to evidence."""
+    q = _questions(spark, d).where(F.regexp_extract("query_id", "([0-9]+)$", 1).cast("long") % 20 == 0)
+    chunks = table(spark, d, "examples").where("chunk_id IS NOT NULL").groupBy(F.col("chunk_id").alias("id")).agg(F.min("report_id").alias("report_id"), F.min("text").alias("text"))
+    store = pipeline.Store(facts(spark, d), keep(documents(spark, d), "documents"), keep(chunks, "chunks"), table(spark, d, "manifest").select(F.col("corp_name").alias("name")))
+    out = pipeline.run(q, store)
+    return out.select("query_id", "decision", "reason", "action", F.array_join("operations", ",").alias("operations"), "n_facts", "n_used", F.md5("pack").alias("digest"))
+
+
+def fact_notes(spark, d):
+    """Notes on units and owners of all facts."""
+    f = facts(spark, d)
+    return f.select("fact_id", pipeline.unit_note(F.col("value_unit"), F.col("unit_code")).alias("unit_note"), pipeline.owner_note(F.col("value_owner"), F.col("company")).alias("owner_note"))
+
+
 def concept_kinds(spark, d):
     kinds = table(spark, d, "field_items").select(F.col("item_name_ko").alias("kind"))
     return planner.concept_kinds(_questions(spark, d), kinds)
 
 
-QUERIES = {f.__name__: f for f in (plan_questions, scope_gate, decompose_questions, sufficiency_check, abstention_gate, entity_registry, entity_mentions, masked_questions, evidence_packs, concept_kinds)}
+QUERIES = {f.__name__: f for f in (plan_questions, scope_gate, decompose_questions, sufficiency_check, abstention_gate, entity_registry, entity_mentions, masked_questions, evidence_packs, concept_kinds, answer_pipeline, fact_notes)}
 
 
 def _any(words: list[str]) -> str:
@@ -115,5 +130,6 @@ SELECT query_id, reason, CASE WHEN oos IS NOT NULL THEN 'refuse' WHEN reason = '
 SELECT query_id, CASE WHEN n_hits = 0 THEN 'abstain' WHEN lack IS NULL THEN 'answer' WHEN answer_mode IN ('open', 'mixed') THEN 'partial' ELSE 'abstain' END AS action, CASE WHEN n_hits = 0 THEN 'evidence_absent' ELSE lack END AS reason FROM l""",
     "entity_registry": f"""WITH a AS (SELECT coalesce(corp_code, 'name:' || {_NAME.format("corp_name")}) AS k, corp_name, unnest(list_filter([corp_name, listed_name, flr_nm], lambda x: x IS NOT NULL)) AS alias FROM manifest)
 SELECT 'ent_' || substr(sha1(k), 1, 16) AS entity_id, min(corp_name) AS name, count(DISTINCT alias)::INTEGER AS n_aliases FROM a WHERE k IS NOT NULL GROUP BY k""",
+    "fact_notes": "SELECT fact_id, coalesce('unit: ' || coalesce(nullif(trim(value_unit), ''), unit_code), 'unit not stated') AS unit_note, CASE WHEN value_owner IS NOT NULL AND value_owner <> company THEN 'belongs to ' || value_owner || ', not to ' || company END AS owner_note FROM facts",
     "concept_kinds": f"""SELECT DISTINCT query_id, item_name_ko AS kind FROM query_plans, field_items WHERE {_any(_P.CONCEPTS["funding"][0])} AND {_any(_P.CONCEPTS["funding"][1]).replace("query", "item_name_ko")}""",
 }
