@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.dates import filing_day as day
+
 # Texts that say that no value is given here.
 NOTHING = ["-", "--", "---", "–", "—", "n/a", "na", "nil", "none", "null", "not applicable", "see attachment", "to be stated later", "omitted", "해당없음", "해당사항없음", "기재생략", "추후기재", "별첨참조", "미정", "없음"]
 
@@ -24,13 +26,6 @@ def states(c: Column) -> Column:
     return F.coalesce((bare != "") & ~said, F.lit(False))
 
 
-def day(c: Column) -> Column:
-    """yyyyMMdd of the usual spellings of a date; null for anything else."""
-    part = lambda i: F.lpad(F.regexp_extract(c, r"^\s*([0-9]{4})[^0-9]+([0-9]{1,2})[^0-9]+([0-9]{1,2})", i), 2, "0")
-    year = F.regexp_extract(c, r"^\s*([0-9]{4})[^0-9]", 1)
-    return F.when(c.rlike(r"^\s*[0-9]{8}\s*$"), F.trim(c)).when(c.rlike(r"^\s*[0-9]{4}[^0-9]+[0-9]{1,2}[^0-9]+[0-9]{1,2}\D*$"), F.concat(year, part(2), part(3)))
-
-
 def survivors(df: DataFrame, group: list[str], attributes: dict[str, Column], order: list[Column], stated: Column | None = None) -> DataFrame:
     """One row per group: group columns, n_records and for every attribute the value of its best record.
 
