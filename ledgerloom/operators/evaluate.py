@@ -5,26 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def index_quantile(values: Column, p: float, shift: int = 0) -> Column:
-    """sorted[int(n * p) + shift], without interpolation; for bounded groups, as all values of a group are sorted in one place."""
-    s = F.array_sort(F.collect_list(values))
-    at = F.greatest(F.floor(F.size(s) * p) + shift, F.lit(0)).cast("int")
-    return F.get(s, F.least(at, F.size(s) - 1))
+from ledgerloom.operators.ranking import picks, ranks
 
 
 def distributed_quantiles(df: DataFrame, value: str, ps: list[float]) -> DataFrame:
-    """p, value: sorted[int(n * p)] over a whole table by counting distinct values, never sorting it in one task."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
-    spread = counts.repartitionByRange(value).sortWithinPartitions(value).withColumn("pid", F.spark_partition_id())
-    total = spread.groupBy("pid").agg(F.sum("c").alias("n"))
-    before = total.alias("a").join(total.alias("b"), F.col("b.pid") < F.col("a.pid"), "left").groupBy(F.col("a.pid").alias("pid")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
-    n = total.agg(F.sum("n").alias("n"))
-    w = Window.partitionBy("pid").orderBy(value)
-    ranked = spread.join(F.broadcast(before), "pid").withColumn("last", F.sum("c").over(w) + F.col("before")).crossJoin(F.broadcast(n))
-    wanted = F.explode(F.array(*[F.lit(float(p)) for p in ps])).alias("p")
-    hit = ranked.select(value, "c", "last", "n", wanted).where((F.floor(F.col("n") * F.col("p")) < F.col("last")) & (F.floor(F.col("n") * F.col("p")) >= F.col("last") - F.col("c")))
-    return hit.select("p", F.col(value).alias("value"))
+    """p, value: sorted[int(n * p)] over a whole table, without interpolation and without sorting it in one task."""
+    one = df.select(F.lit(1).alias("ll_all"), value)
+    got = picks(one, ["ll_all"], value, {f"q{i}": F.floor(F.col("n") * F.lit(float(p))) for i, p in enumerate(ps)})
+    return got.select(F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), F.col(f"q{i}").alias("value")) for i, p in enumerate(ps)])).alias("x")).select("x.p", "x.value")
 
 
 def rank_metrics(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
@@ -72,17 +60,18 @@ def stratified_sample(df: DataFrame, group: str, id_: str, n: int, seed: str = "
     """About n rows, every group its rounded share but at least one, in the order of a hash of seed and id."""
     total = df.agg(F.count("*").alias("total"))
     sizes = df.groupBy(group).agg(F.count("*").alias("size")).crossJoin(F.broadcast(total)).withColumn("quota", F.greatest(F.lit(1), F.bround(F.col("size") / F.col("total") * n, 0).cast("int"))).select(group, "quota")
-    w = Window.partitionBy(group).orderBy(F.md5(F.concat(F.lit(seed), F.col(id_).cast("string"))), id_)
-    return df.join(F.broadcast(sizes), group).withColumn("rn", F.row_number().over(w)).where("rn <= quota").drop("rn", "quota")
+    ordered = ranks(df.withColumn("ll_hash", F.md5(F.concat(F.lit(seed), F.col(id_).cast("string")))), [group], [F.col("ll_hash"), F.col(id_)], "ll_rank")
+    return ordered.join(F.broadcast(sizes), group).where("ll_rank <= quota").drop("ll_hash", "ll_rank", "quota")
 
 
 def run_summary(runs: DataFrame) -> DataFrame:
     """Per doc_group and in total: questions, gradeable ones, accuracy, mean, p95 and median seconds. runs: doc_group, label, seconds, gradeable."""
     ok = F.when(F.col("gradeable"), F.when(F.col("label") == "correct", 1.0).otherwise(0.0))
-    s = F.array_sort(F.collect_list("seconds"))
-    p95 = F.get(s, F.greatest(F.floor(F.size(s) * 0.95).cast("int") - 1, F.lit(0)))
-    median = F.get(s, F.floor(F.size(s) / 2).cast("int"))
-    return runs.rollup("doc_group").agg(F.count("*").alias("n"), F.count_if("gradeable").alias("n_gradeable"), F.round(F.avg(ok), 6).alias("accuracy"), F.round(F.avg("seconds"), 6).alias("mean"), p95.alias("p95"), median.alias("median")).withColumn("doc_group", F.coalesce("doc_group", F.lit("all")))
+    both = runs.union(runs.withColumn("doc_group", F.lit("all")))
+    means = both.groupBy("doc_group").agg(F.count("*").alias("n_rows"), F.count_if("gradeable").alias("n_gradeable"), F.round(F.avg(ok), 6).alias("accuracy"), F.round(F.avg("seconds"), 6).alias("mean"))
+    n = F.col("n")
+    at = picks(both, ["doc_group"], "seconds", {"p95": F.greatest(F.floor(n * 0.95) - 1, F.lit(0)), "median": F.floor(n / 2)})
+    return means.join(at.drop("n"), "doc_group").withColumnRenamed("n_rows", "n")
 
 
 def answer_label(gradeable: Column, correct: Column, refused: Column, evidence: Column) -> Column:

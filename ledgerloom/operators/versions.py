@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.ranking import ranks
 from ledgerloom.session import keep
 
 #: A fuzzy title match below this is no match.
@@ -166,10 +167,10 @@ def version_pairs(facts: DataFrame, chains: DataFrame) -> DataFrame:
 
 
 def history(docs: DataFrame) -> DataFrame:
-    """correction_group_id, n, latest, chain: the listing of every chain, oldest first."""
-    row = F.struct("day", "doc_id", "report_nm")
-    g = docs.where("correction_group_id IS NOT NULL").groupBy("correction_group_id")
-    return g.agg(F.count("*").alias("n"), F.max_by("doc_id", F.struct("day", "doc_id")).alias("latest"), F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["doc_id"]), " > ").alias("chain"))
+    """correction_group_id, position, doc_id, day, report_nm, is_last: the listing of every chain, oldest first."""
+    listed = ranks(docs.where("correction_group_id IS NOT NULL").select("correction_group_id", "doc_id", "day", "report_nm"), ["correction_group_id"], [F.col("day"), F.col("doc_id")], "position")
+    last = docs.where("correction_group_id IS NOT NULL").groupBy("correction_group_id").agg(F.count("*").alias("n"))
+    return listed.join(last, "correction_group_id").withColumn("is_last", F.col("position") == F.col("n")).drop("n")
 
 
 def same_evidence(found: DataFrame, gold: DataFrame, chains: DataFrame) -> DataFrame:

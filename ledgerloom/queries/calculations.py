@@ -36,10 +36,12 @@ def compare_winner(spark, d):
 
 
 def derive_pairs_check(spark, d):
-    """Is a day's total of an event type the sum or difference of two of its values."""
-    e = table(spark, d, "events").groupBy("event_type", (F.col("event_id") % 200).alias("id")).agg(F.array_sort(F.collect_list(F.round("value", 2))).alias("v"))
-    c = e.select("event_type", "id", F.lit(2).alias("places"), F.lit(False).alias("percent"), F.slice("v", 1, 40).alias("pool"), F.round(F.get("v", F.lit(0)) + F.get("v", F.lit(1)), 2).alias("target")).where("target IS NOT NULL")
-    return derive.rescaled(derive.derivable(c)).select("event_type", "id", "target", "derived", "power")
+    """Which figures of a filing are the sum or difference of two others of it, or another one at another scale."""
+    f = table(spark, d, "facts").where("value_num IS NOT NULL AND value_num <> 0").select("doc_id", "fact_id", "value_num")
+    # A pool is bounded by the facts of one filing.
+    pool = f.groupBy("doc_id").agg(F.array_sort(F.collect_set("value_num")).alias("all"))
+    c = f.join(pool, "doc_id").select("fact_id", F.col("value_num").alias("target"), F.lit(2).alias("places"), F.lit(False).alias("percent"), F.array_except("all", F.array("value_num")).alias("pool"))
+    return derive.rescaled(derive.derivable(c)).select("fact_id", "derived", "power").where("derived OR power IS NOT NULL")
 
 
 def carry_forward_owner(spark, d):
@@ -168,6 +170,10 @@ g AS (SELECT item, count(DISTINCT unit) AS n, bool_and(wu <> '') AS allwon FROM
 b AS (SELECT item, company, max(CASE WHEN n > 1 THEN value * CASE wu {_FACTOR} END ELSE value END) AS v FROM w JOIN g USING (item) WHERE n = 1 OR allwon GROUP BY ALL),
 k AS (SELECT *, dense_rank() OVER (PARTITION BY item ORDER BY v DESC) AS rk, row_number() OVER (PARTITION BY item ORDER BY v DESC, company) AS rn, count(*) OVER (PARTITION BY item) AS n FROM b)
 SELECT item, arg_min(company, rn) AS winner, max(v) AS best, max(v) - max(CASE WHEN rk = 2 THEN v END) AS gap, count(*) FILTER (WHERE rk = 1) AS n_tied FROM k WHERE n >= 2 GROUP BY 1""",
+    "derive_pairs_check": """WITH f AS (SELECT doc_id, fact_id, value_num AS t FROM facts WHERE value_num IS NOT NULL AND value_num <> 0), v AS (SELECT DISTINCT doc_id, t AS x FROM f),
+s AS (SELECT DISTINCT fact_id FROM f JOIN v a ON f.doc_id = a.doc_id AND a.x <> f.t JOIN v b ON f.doc_id = b.doc_id AND b.x <> f.t AND a.x <> b.x WHERE abs(a.x - b.x - t) <= 0.005 + abs(t) * 1e-9 OR abs(a.x + b.x - t) <= 0.005 + abs(t) * 1e-9),
+e AS (SELECT fact_id, min(e)::INTEGER AS power FROM f JOIN v a ON f.doc_id = a.doc_id AND a.x <> f.t, (SELECT unnest(range(-12, 13)) AS e) WHERE e <> 0 AND abs(x * pow(10.0, e) - t) <= abs(t) * 1e-6 GROUP BY 1)
+SELECT coalesce(s.fact_id, e.fact_id) AS fact_id, s.fact_id IS NOT NULL AS derived, power FROM s FULL JOIN e ON s.fact_id = e.fact_id""",
     "carry_forward_owner": """WITH n AS (SELECT doc_id, array_to_string(section_path, ' > ') AS section, fact_id AS seq, value_owner AS owner, CASE WHEN value_num IS NOT NULL THEN 2 ELSE 0 END AS m FROM facts),
 s AS (SELECT *, CASE WHEN lag(section) OVER (PARTITION BY doc_id ORDER BY seq) IS NOT DISTINCT FROM section THEN 0 ELSE 1 END AS start FROM n),
 r AS (SELECT *, sum(start) OVER (PARTITION BY doc_id ORDER BY seq)::BIGINT AS run FROM s)

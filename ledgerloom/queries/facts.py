@@ -126,9 +126,9 @@ def mode_offset(spark, d):
 def argmax_per_company(spark, d):
     """The fact of the largest value per company and item, newest and smallest id first on ties, with the count of rivals."""
     f = ops.with_day(facts(spark, d)).where("value_num IS NOT NULL AND field_code IS NOT NULL AND company IS NOT NULL")
-    w = Window.partitionBy("company", "field_code").orderBy(F.desc("value_num"), F.desc_nulls_last("day"), "fact_id")
-    n = F.count("*").over(Window.partitionBy("company", "field_code"))
-    return f.select("company", "field_code", "fact_id", "value_num", F.row_number().over(w).alias("rn"), n.alias("n_rivals")).where("rn = 1").drop("rn")
+    best = F.max(F.struct("value_num", F.coalesce("day", F.lit("")), -F.col("fact_id"))).alias("b")
+    g = f.groupBy("company", "field_code").agg(best, F.count("*").alias("n_rivals"))
+    return g.select("company", "field_code", (-F.col("b.col3")).alias("fact_id"), "b.value_num", "n_rivals")
 
 
 def compare_pairs(spark, d):
@@ -152,11 +152,10 @@ def semi_known_keys(spark, d):
 def anti_missing_items(spark, d):
     """Required items that a periodic filing doesn't state."""
     f = facts(spark, d).where("doc_group = 'periodic' AND field_code IS NOT NULL")
-    need = table(spark, d, "field_items").where("array_contains(doc_groups, 'periodic')").select("field_code")
-    docs = f.select("doc_id").distinct()
-    has = f.select("doc_id", "field_code").distinct()
-    # The required items are a fixed short list, so every document meets each of them without a shuffle.
-    return docs.crossJoin(F.broadcast(need)).join(has, ["doc_id", "field_code"], "left_anti").groupBy("doc_id").agg(F.count("*").alias("n_missing"))
+    # The required items are a fixed short list: one row, sent to every task.
+    need = table(spark, d, "field_items").where("array_contains(doc_groups, 'periodic')").agg(F.collect_set("field_code").alias("need"))
+    has = f.groupBy("doc_id").agg(F.collect_set("field_code").alias("has")).crossJoin(F.broadcast(need))
+    return has.select("doc_id", F.size(F.array_except("need", "has")).cast("long").alias("n_missing")).where("n_missing > 0")
 
 
 def assemble_by_report(spark, d):

@@ -126,7 +126,8 @@ SELECT fact_id, key_norm, value_text, day FROM t WHERE tier = (SELECT min(tier)
     "tool_compare_facts": f"""WITH {FACTS}, t AS (SELECT *, CASE WHEN key_norm = '영업이익' THEN 0 WHEN key_norm LIKE '%영업이익%' OR key LIKE '%영업이익%' THEN 2 END AS tier FROM f
   WHERE company IN ('(주)미볼비하전자', '(주)마릴데사로보틱스', 'Mehalbuba Robotics Group plc', 'Lalinhipe Engineering Group plc') AND value_num IS NOT NULL AND {_SELF}),
 u AS (SELECT *, row_number() OVER (PARTITION BY company ORDER BY day DESC NULLS LAST, fact_id) AS rn FROM t WHERE tier = (SELECT min(tier) FROM t)) SELECT company, value_num, value_unit, day, fact_id FROM u WHERE rn = 1""",
-    "tool_correction_history": f"WITH {DOCS} SELECT correction_group_id, count(*) AS n, arg_max(report_id, (day, report_id)) AS latest, string_agg(report_id, ' > ' ORDER BY day, report_id) AS chain FROM docs WHERE company = '{HOT}' AND correction_group_id IS NOT NULL GROUP BY 1",
+    "tool_correction_history": f"""WITH {DOCS} SELECT correction_group_id, report_id AS doc_id, day, report_nm, row_number() OVER (PARTITION BY correction_group_id ORDER BY day, report_id) AS position,
+  row_number() OVER (PARTITION BY correction_group_id ORDER BY day, report_id) = count(*) OVER (PARTITION BY correction_group_id) AS is_last FROM docs WHERE company = '{HOT}' AND correction_group_id IS NOT NULL""",
     "tool_latest_report": f"WITH {DOCS} SELECT report_id, day FROM docs WHERE company = '{HOT}' AND doc_group = 'exchange' AND is_latest IS DISTINCT FROM false ORDER BY day DESC, report_id DESC LIMIT 1",
     "stream_tumbling": "SELECT event_type, strftime(time_bucket(INTERVAL 1 hour, ts), '%Y-%m-%d %H:%M') AS start, count(*) AS n, sum(value::VARCHAR::DECIMAL(20, 6))::VARCHAR AS total FROM events GROUP BY ALL",
     "stream_sliding": "SELECT event_type, strftime(s, '%Y-%m-%d %H:%M') AS start, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 30 minutes, ts), time_bucket(INTERVAL 30 minutes, ts) - INTERVAL 30 minutes]) AS s FROM events) GROUP BY ALL",

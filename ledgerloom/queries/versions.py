@@ -122,7 +122,8 @@ SELECT doc_id, arg_max(top, depth) AS root, max(depth) AS depth FROM chain GROUP
 p AS (SELECT correction_group_id, field_code, doc_id, min(value_text) AS v, max(k) AS k FROM r GROUP BY ALL HAVING count(DISTINCT value_text) = 1),
 o AS (SELECT correction_group_id, field_code, arg_min(v, k) AS before, arg_max(v, k) AS after, count(*) AS n_versions FROM p GROUP BY ALL)
 SELECT *, n_versions > 1 AS complete, n_versions > 1 AND regexp_replace(before, '\\s+', '', 'g') <> regexp_replace(after, '\\s+', '', 'g') AS changed FROM o""",
-    "correction_history": f"""WITH {DOCS} SELECT correction_group_id, count(*) AS n, arg_max(report_id, (day, report_id)) AS latest, string_agg(report_id, ' > ' ORDER BY day, report_id) AS chain FROM docs WHERE correction_group_id IS NOT NULL GROUP BY 1""",
+    "correction_history": f"""WITH {DOCS} SELECT correction_group_id, report_id AS doc_id, day, report_nm, row_number() OVER (PARTITION BY correction_group_id ORDER BY day, report_id) AS position,
+  row_number() OVER (PARTITION BY correction_group_id ORDER BY day, report_id) = count(*) OVER (PARTITION BY correction_group_id) AS is_last FROM docs WHERE correction_group_id IS NOT NULL""",
     "chain_evidence_match": """WITH t AS (SELECT DISTINCT doc_id, correction_group_id AS g FROM corrections WHERE resolution_source NOT IN ('fuzzy_tiebreak', 'unresolved') AND correction_group_id IS NOT NULL),
 e AS (SELECT DISTINCT query_id, report_id AS doc_id, label, coalesce(g, report_id) AS unit FROM examples LEFT JOIN t ON report_id = t.doc_id WHERE query_id IS NOT NULL AND report_id IS NOT NULL)
 SELECT DISTINCT query_id, doc_id FROM e WHERE label = 0 AND (query_id, unit) IN (SELECT (query_id, unit) FROM e WHERE label = 1)""",
