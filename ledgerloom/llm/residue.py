@@ -19,8 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A repeated response counts from so many documents and titles on, and up to so many words.
-COPIES, TITLES, WORDS = 3, 2, 40
+#: A repeated response counts from so many documents and titles on, and up to so many words; longest title line.
+COPIES, TITLES, WORDS, TITLE = 3, 2, 40, 80
 
 # What the detectors look for. An anchor is a lower-case literal; its pattern must hold on the anchor's line.
 DETECTORS: dict[str, list[tuple[str, str]]] = {
@@ -124,7 +124,9 @@ def repeated_responses(docs: DataFrame) -> DataFrame:
     """doc_id of short low-information responses: no term shared with title or slug, error vocabulary, repeated under several titles or by one host."""
     short = docs.select("doc_id", "text", F.coalesce("source", F.lit("")).alias("host"), F.coalesce("report_id", F.lit("")).alias("slug"), "company")
     short = short.where((F.length("text") < 10 * WORDS) & F.lower("text").rlike(WEAK))
-    title = F.when(F.col("text").contains("\n"), F.substring_index("text", "\n", 1))
+    # A title is a short line that ends no sentence; anything longer belongs to the body.
+    line = F.substring_index("text", "\n", 1)
+    title = F.when(F.col("text").contains("\n") & (F.length(line) <= TITLE) & ~line.rlike(r"[.!?。]\s*$"), line)
     body = F.when(title.isNotNull(), F.expr("substring(text, length(substring_index(text, '\n', 1)) + 1)")).otherwise(F.col("text"))
     shape = F.trim(F.regexp_replace(F.regexp_replace(F.lower(body), "[0-9]+", "9"), r"(?U)[\s._]+", " "))
     words = F.size(F.split(shape, " "))

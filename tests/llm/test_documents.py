@@ -43,6 +43,8 @@ def test_flagging_a_table(spark):
     # An unknown notice, repeated under several titles with other numbers.
     rows += [(200 + i, f"{t} Report\nThe viewer session {i} cannot start, retry later", "host", t, None, "k") for i, t in enumerate(["Alpha", "Beta", "Gamma"])]
     rows += [(300, "Delta Report\nThe viewer sold well in Delta, says the report", "host", "Delta", None, "k")]
+    # A paragraph isn't a title: the same closing sentence under different paragraphs is real text.
+    rows += [(400 + i, f"Paragraph {'abcd'[i] * 9} states what the board approved on a day in May.\nThe error number scheme changed", "host", "X", None, "k") for i in range(4)]
     df = spark.createDataFrame(rows, DOCS)
     got = {r.doc_id: r.kinds for r in residue.flagged(df).collect()}
     assert set(got) == {101, 102, 103, 200, 201, 202}
