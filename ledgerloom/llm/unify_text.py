@@ -77,11 +77,11 @@ def unified(df: DataFrame, columns: list[str]) -> DataFrame:
     """df with the named columns in one consistent spelling; all rows and all other columns stay."""
     cases = canonical_values(df, columns)
     for c in columns:
-        one = cases.where(F.col("ll_field") == c).select(F.col("ll_value").alias("ll_from"), F.col("ll_canonical").alias("ll_to"))
+        one = cases.where(F.col("ll_field") == c).select(F.col("ll_value").alias("__unify_from"), F.col("ll_canonical").alias("__unify_to"))
         # Plain values carry no join key: they can't be disguised, and a frequent one doesn't skew the join.
         v = F.col(c).cast("string")
-        keyed = df.withColumn("ll_key", F.when(v.rlike(SUSPICIOUS), v))
-        hit = keyed.where("ll_key IS NOT NULL").join(one, F.col("ll_key") == F.col("ll_from"), "left")
-        hit = hit.withColumn(c, F.coalesce("ll_to", c)).drop("ll_key", "ll_from", "ll_to")
-        df = keyed.where("ll_key IS NULL").drop("ll_key").unionByName(hit)
+        keyed = df.withColumn("__unify_key", F.when(v.rlike(SUSPICIOUS), v))
+        hit = keyed.where("__unify_key IS NOT NULL").join(one, F.col("__unify_key") == F.col("__unify_from"), "left")
+        hit = hit.withColumn(c, F.coalesce("__unify_to", c)).drop("__unify_key", "__unify_from", "__unify_to")
+        df = keyed.where("__unify_key IS NULL").drop("__unify_key").unionByName(hit)
     return df

@@ -31,6 +31,12 @@ def test_a_latin_plain_spelling_wins_over_twins_of_another_script(spark):
     assert cases == {"СОС": "COC"}
 
 
+def test_clashing_columns_stay(spark):
+    df = table(spark, [(1, "Ａ", None, "x")]).withColumn("ll_key", F.lit(1)).withColumn("ll_to", F.lit(2)).withColumn("ll_field", F.lit(3))
+    r = unify_text.unified(df, ["company"]).first()
+    assert (r.company, r.ll_key, r.ll_to, r.ll_field) == ("A", 1, 2, 3)
+
+
 def test_empty_table(spark):
     assert unify_text.disguised(table(spark, []), "fact_id", ["company"]).count() == 0
     assert unify_text.unified(table(spark, []), ["company"]).count() == 0
