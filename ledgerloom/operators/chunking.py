@@ -227,6 +227,24 @@ def chunks(nodes: DataFrame, groups: DataFrame, target: int = TARGET, maximum: i
     return nodes.join(groups, "doc_id").groupBy("doc_id").applyInPandas(run, CHUNK_SCHEMA)
 
 
+def chunk_markup(documents: DataFrame, target: int = TARGET, maximum: int = MAXIMUM) -> DataFrame:
+    """Chunk rows straight from documents (doc_id, doc_group, text): a document is one row, so nothing is shuffled."""
+    from ledgerloom.sources.markup import node_rows, parse
+
+    columns = [c.split()[0] for c in CHUNK_SCHEMA.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for doc, group, text in zip(pdf["doc_id"], pdf["doc_group"], pdf["text"], strict=True):
+                nodes = node_rows(doc, parse(text))
+                out += chunk_document(nodes, doc, group, target, maximum) if nodes else []
+            if out:
+                yield pd.DataFrame(out, columns=columns)
+
+    return documents.where("text IS NOT NULL").select("doc_id", "doc_group", "text").mapInPandas(run, CHUNK_SCHEMA)
+
+
 def leaves(chunk_rows: DataFrame) -> DataFrame:
     """Chunks that are no parent."""
     parents = chunk_rows.where("parent_chunk_id IS NOT NULL").select(F.col("parent_chunk_id").alias("chunk_id")).distinct()

@@ -34,13 +34,17 @@ def parse_pages(spark, d):
 
 
 def chunk_filings(spark, d):
+    return chunking.chunk_markup(filings(spark, d)).select("chunk_id", "report_id", "parent_chunk_id", "content_type", F.length("text").alias("n_chars"))
+
+
+def chunk_nodes(spark, d):
+    """The same from a table of nodes."""
     f = keep(filings(spark, d), "filings")
     return chunking.chunks(markup.parsed(f), f.select("doc_id", "doc_group")).select("chunk_id", "report_id", "parent_chunk_id", "content_type", F.length("text").alias("n_chars"))
 
 
 def leaf_rows(spark, d):
-    f = keep(filings(spark, d), "filings")
-    rows = keep(chunking.chunks(markup.parsed(f), f.select("doc_id", "doc_group")), "chunks")
+    rows = keep(chunking.chunk_markup(filings(spark, d)), "chunks")
     return chunking.leaves(rows).groupBy("report_id").agg(F.count("*").alias("n_leaves"), F.sum(chunking.tokens_column(F.col("text"))).alias("n_tokens"))
 
 
@@ -58,7 +62,7 @@ def split_long_texts(spark, d):
     return chunking.split_texts(e, "chunk_id", "text").select("id", "piece", F.length("text").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (parse_pages, chunk_filings, leaf_rows, field_code_refs, fixed_window_chunks, split_long_texts)}
+QUERIES = {f.__name__: f for f in (parse_pages, chunk_filings, chunk_nodes, leaf_rows, field_code_refs, fixed_window_chunks, split_long_texts)}
 _BLANKS = r"[ \t\r\f\v\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]+"
 ORACLES = {
     "parse_pages": f"""SELECT doc_id, nullif(array_to_string(section_path, ' > '), '') AS section, trim(regexp_replace(key, '{_BLANKS}', ' ', 'g')) AS key, trim(regexp_replace(value_text, '{_BLANKS}', ' ', 'g')) AS value, field_code, count(*) AS n

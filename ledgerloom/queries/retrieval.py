@@ -76,11 +76,12 @@ def fuse_weighted(spark, d):
 
 
 def hybrid_search(spark, d):
-    """The flagship: questions against reranker chunks, by words and by character pairs, fused by reciprocal rank."""
-    chunks = table(spark, d, "examples").where("chunk_id IS NOT NULL").groupBy(F.col("chunk_id").alias("id")).agg(F.min("text").alias("text"))
+    """The flagship: questions against reranker chunks, by the words of the text and by character runs of the filer's name, fused by reciprocal rank."""
+    chunks = table(spark, d, "examples").where("chunk_id IS NOT NULL").groupBy(F.col("chunk_id").alias("id")).agg(F.min("text").alias("text"), F.coalesce(F.min("company"), F.lit("")).alias("company"))
     chunks = keep(chunks, "chunks")
     q = _questions(spark, d)
-    return retrieval.hybrid([("words", retrieval.bm25(chunks, q, 50)), ("query", retrieval.bm25(chunks.select("id", F.substring("id", 1, 60).alias("text")), q, 50, retrieval.char_ngrams))], 10)
+    names = retrieval.bm25(chunks.select("id", F.col("company").alias("text")), q, 50, lambda c: retrieval.char_ngrams(c, 4))
+    return retrieval.hybrid([("words", retrieval.bm25(chunks.select("id", "text"), q, 50)), ("names", names)], 10)
 
 
 def _lists(spark, d):
@@ -154,6 +155,9 @@ _D = "c AS (SELECT doc_id AS id, text FROM documents)"
 _WORDS = "list_filter(string_split_regex(lower({0}), '\\s+'), lambda x: x <> '')"
 _GRAMS = "list_transform(range(1, greatest(length(regexp_replace(lower({0}), '\\s+', '', 'g')), 2)), lambda i: substr(regexp_replace(lower({0}), '\\s+', '', 'g'), i, 2))"
 
+_BARE = "regexp_replace(lower({0}), '\\s+', '', 'g')"
+_RUNS = f"CASE WHEN {_BARE} = '' THEN [] ELSE list_transform(range(1, greatest(length({_BARE}) - 3, 1) + 1), lambda i: substr({_BARE}, i, 4)) END"
+
 
 def _bm25(k: int, tokens: str, name: str = "r") -> str:
     """CTEs that rank c for q into {name}(query_id, id, score, rank)."""
@@ -190,8 +194,8 @@ _LISTS = """l AS (SELECT query_id, id, list, row_number() OVER (PARTITION BY que
 _ROBIN = "rr AS (SELECT query_id, id, rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY f, id)::INTEGER AS rank FROM (SELECT query_id, id, min({'r': rank, 'l': list}) AS f FROM l GROUP BY ALL)) WHERE rank <= 8)"
 _KEEP = "ko AS (SELECT query_id, id, rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY f, id)::INTEGER AS rank FROM (SELECT query_id, id, min({'l': list, 'r': rank}) AS f FROM l GROUP BY ALL)) WHERE rank <= 8)"
 ORACLES = {
-    "hybrid_search": f"""WITH {_Q}, c AS (SELECT chunk_id AS id, min(text) AS text FROM examples WHERE chunk_id IS NOT NULL GROUP BY 1), {_bm25(50, _WORDS, "ra")},
-{_bm25(50, _GRAMS, "rb").replace("FROM c WHERE text IS NOT NULL", "FROM (SELECT id, substr(id, 1, 60) AS text FROM c)")} {_rrf(["ra", "rb"], 10)}""",
+    "hybrid_search": f"""WITH {_Q}, c AS (SELECT chunk_id AS id, min(text) AS text, coalesce(min(company), '') AS company FROM examples WHERE chunk_id IS NOT NULL GROUP BY 1), {_bm25(50, _WORDS, "ra")},
+{_bm25(50, _RUNS, "rb").replace("FROM c WHERE text IS NOT NULL", "FROM (SELECT id, company AS text FROM c)")} {_rrf(["ra", "rb"], 10)}""",
     "bm25_topk": f"WITH {_Q}, {_D}, {_bm25(10, _WORDS)} SELECT * FROM r",
     "bm25_ngrams": f"WITH {_Q}, c AS (SELECT doc_id AS id, min(concat_ws(' ', corp_name, report_nm)) AS text FROM manifest GROUP BY 1), {_bm25(10, _GRAMS)} SELECT * FROM r",
     "char_ngram_counts": f"SELECT token, count(*) AS n FROM (SELECT unnest({_GRAMS.format('corp_name')}) AS token FROM manifest) GROUP BY 1",

@@ -289,16 +289,21 @@ NODE_SCHEMA = (
 )
 
 
+def node_rows(doc_id: str, nodes: list[Node]) -> list[dict]:
+    """Nodes as rows of NODE_SCHEMA."""
+    out = []
+    for i, n in enumerate(nodes):
+        pairs = [{"key": k, "value": c.text, "field_code": c.code, "unit_code": c.unit, "unit_value": c.unit_value} for k, c in n.pairs]
+        grid, origins = [[c.text for c in r] for r in n.grid], [[c.origin for c in r] for r in n.grid]
+        out.append({"doc_id": doc_id, "seq": i, "section_path": n.section, "kind": n.kind, "label": n.label, "text": n.text, "unit_hint": n.unit, "period_hint": n.period, "pairs": pairs, "grid": grid, "origins": origins})
+    return out
+
+
 def _nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        out = []
-        for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-            for i, n in enumerate(parse(text)):
-                pairs = [(k, c.text, c.code, c.unit, c.unit_value) for k, c in n.pairs]
-                pairs = [dict(zip(("key", "value", "field_code", "unit_code", "unit_value"), p, strict=True)) for p in pairs]
-                out.append((doc, i, n.section, n.kind, n.label, n.text, n.unit, n.period, pairs, [[c.text for c in r] for r in n.grid], [[c.origin for c in r] for r in n.grid]))
+        out = [r for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True) for r in node_rows(doc, parse(text))]
         if out:
-            yield pd.DataFrame(out, columns=["doc_id", "seq", "section_path", "kind", "label", "text", "unit_hint", "period_hint", "pairs", "grid", "origins"])
+            yield pd.DataFrame(out)
 
 
 def parsed(documents: DataFrame) -> DataFrame:
