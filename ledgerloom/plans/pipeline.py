@@ -72,18 +72,20 @@ def expand_with_siblings(hits: DataFrame, chunks: DataFrame, budget: int = PACK)
 
 def search(store: Store, subs: DataFrame, questions: DataFrame, planned: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both channels of one pass: ranked chunks (query_id, sub_id, id, report_id, score, rank) and facts (query_id, sub_id, fact columns, rank)."""
-    # Texts: every part of a question is one search, within its company's filings if it names one.
+    # Texts: every part of a question is one search, within its company's filings if it names one. The version policy
+    # comes before the cut too, so superseded filings take no place among the k.
     sid = F.concat_ws("#", "query_id", F.col("sub_id").cast("string"))
-    asked = subs.join(questions.select("query_id", "query"), "query_id").select(sid.alias("query_id"), F.concat_ws(" ", F.col("query"), F.col("period")).alias("text"))
-    top = retrieval.bm25(store.chunks.select("id", "text"), asked, 50)
+    asked = subs.join(questions.select("query_id", "query"), "query_id").select(sid.alias("query_id"), F.concat_ws(" ", F.col("query"), F.col("period")).alias("text"), F.col("company").alias("scope"))
     owner = store.chunks.select("id", "report_id").join(store.documents.select("report_id", F.col("company").alias("of"), "correction_group_id", "correction_order", "is_latest", "day", F.col("period").alias("doc_period")), "report_id", "left")
-    parts = subs.select(sid.alias("sid"), "query_id", "sub_id", "company", "k")
-    hits = top.withColumnRenamed("query_id", "sid").join(owner, "id").join(parts, "sid").where(F.col("company").isNull() | (F.col("of") == F.col("company")))
-    w = Window.partitionBy("sid").orderBy("rank", "id")
-    hits = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("k"))
+    scored = keep(retrieval.bm25_scores(store.chunks.select("id", "text"), asked, scopes=owner.select("id", F.col("of").alias("scope"))), "scored")
+    parts = subs.select(sid.alias("sid"), "query_id", "sub_id", "k")
+    hits = scored.withColumnRenamed("query_id", "sid").join(owner, "id").join(parts, "sid")
     with_plan = hits.join(planned.select("query_id", "latest_policy", "periods"), "query_id").withColumnsRenamed({"report_id": "doc_id"}).withColumn("period", F.col("doc_period"))
     kept = versions.apply_policy(with_plan, F.col("latest_policy"), F.col("periods"), ["query_id"])
-    texts = kept.select("query_id", "sub_id", "id", F.col("doc_id").alias("report_id"), "score", "rank")
+    # The largest k bounds every part's rows before they are sorted.
+    most = subs.agg(F.max("k")).first()[0] or 0
+    best = retrieval.top(kept.withColumnsRenamed({"query_id": "question", "sid": "query_id"}), most).where(F.col("rank") <= F.col("k"))
+    texts = best.select(F.col("question").alias("query_id"), "sub_id", "id", F.col("doc_id").alias("report_id"), "score", "rank")
     # Facts: one lookup per part and expected item; tiers and limits hold for each of them.
     items = planned.select("query_id", F.explode_outer("expected_fields").alias("item"))
     specs = subs.join(items, "query_id").where("company IS NOT NULL AND item IS NOT NULL").select(F.concat_ws("#", "query_id", F.col("sub_id").cast("string"), symbol_key("item")).alias("query_id"), "company", symbol_key("item").alias("key"), "period")

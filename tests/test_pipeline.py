@@ -54,3 +54,20 @@ def test_a_retry_must_be_better(spark):
     s = "id int, answer string, ungrounded int, rescaled int"
     a, b = spark.createDataFrame([(1, "a", 2, 0), (2, "a", 0, 1), (3, "a", 1, 1)], s), spark.createDataFrame([(1, "b", 1, 5), (2, "b", 0, 1)], s)
     assert {r.id: r.answer for r in pipeline.better_retry(a, b).collect()} == {1: "b", 2: "a", 3: "a"}
+
+
+PLAN = "query_id string, query string, companies array<string>, periods array<string>, expected_fields array<string>"
+
+
+def test_k_is_taken_among_the_company_s_valid_chunks(spark):
+    s = store(spark)
+    # 60 chunks of another company rank first in the whole corpus, and 30 of a superseded filing within the company.
+    more = [(f"o{i}", "d2", "total assets") for i in range(60)] + [(f"s{i}", "d0", "Acme total assets") for i in range(30)] + [("z", "d1", "total assets and many other words " * 9)]
+    s.chunks = s.chunks.unionByName(spark.createDataFrame(more, "id string, report_id string, text string"))
+    q = spark.createDataFrame([("1", "Acme total assets 얼마인가", ["Acme"], [], []), ("2", "total assets 얼마인가", [], [], [])], PLAN)
+    planned = pipeline.planner.plans(q)
+    subs = pipeline.planner.decompose(planned)
+    texts, _ = pipeline.search(s, subs, q, planned)
+    got = {i: [(r["rank"], r.id) for r in texts.where(F.col("query_id") == i).orderBy("rank").collect()] for i in "12"}
+    assert got["1"] == [(1, "c1"), (2, "z")]
+    assert [n for n, _ in got["2"]] == list(range(1, 9)) and all(i.startswith("o") for _, i in got["2"])
