@@ -151,11 +151,21 @@ def lookup(facts: DataFrame, spec: Lookup) -> DataFrame:
     return out.limit(spec.limit) if spec.limit is not None else out
 
 
+#: Options of a row of specs, with the values that hold where a row or the whole column has none.
+SPEC = {"doc_group": (None, "string"), "latest_only": (True, "boolean"), "corrections_only": (False, "boolean"), "value_owner": ("self", "string"), "order_by": ("date", "string"), "most": (None, "int")}
+
+
 def lookup_many(facts: DataFrame, specs: DataFrame, limit: int = 10) -> DataFrame:
-    """Many lookups in one plan: specs (query_id, company, key, period) meet the facts by company; tiers and limit hold per query."""
-    s = specs.select("query_id", F.col("company").alias("q_company"), F.col("key").alias("q_key"), F.col("period").alias("q_period"))
-    df = with_day(facts).where((F.col("is_latest").isNull() | F.col("is_latest")) & owner_predicate("self"))
-    rows = df.join(s, F.col("company") == F.col("q_company"))
+    """Many lookups in one plan: specs (query_id, company, key, period) meet the facts by company; tiers and limit hold per query.
+
+    specs may also carry doc_group, latest_only, corrections_only, value_owner, order_by and most (rows instead of limit), as in Lookup.
+    """
+    option = {n: F.coalesce(F.col(n), F.lit(v)).cast(t) if n in specs.columns else F.lit(v).cast(t) for n, (v, t) in SPEC.items()}
+    s = specs.select("query_id", F.col("company").alias("q_company"), F.col("key").alias("q_key"), F.col("period").alias("q_period"), *[c.alias(f"q_{n}") for n, c in option.items()])
+    rows = with_day(facts).join(s, F.col("company") == F.col("q_company"))
+    rows = rows.where(~F.col("q_latest_only") | F.col("is_latest").isNull() | F.col("is_latest"))
+    rows = rows.where(~F.col("q_corrections_only") | F.col("is_correction")).where(F.col("q_doc_group").isNull() | (F.col("doc_group") == F.col("q_doc_group")))
+    rows = rows.where(F.when(F.col("q_value_owner") == "any", True).when(F.col("q_value_owner") == "other", third_party()).when(F.col("q_value_owner") == "self", ~third_party()))
     exact = F.col("key_norm") == F.col("q_key")
     partial = F.contains(F.lower("key_norm"), F.lower("q_key")) | F.contains(F.lower("key"), F.lower("q_key"))
     none, q = F.coalesce(F.length("period") == 0, F.lit(True)), F.col("q_period")
@@ -164,8 +174,10 @@ def lookup_many(facts: DataFrame, specs: DataFrame, limit: int = 10) -> DataFram
     narrow = q.isNull() | F.when(F.length(q) == 4, of_year).otherwise(month(F.replace(q, F.lit("-"))))
     wide = q.isNull() | F.when(F.length(q) == 4, of_year).otherwise(month(F.substring(q, 1, 4)))
     hits = first_tier(rows, [(0, exact & narrow), (1, exact & wide), (2, partial & narrow), (3, partial & wide)], ["query_id"])
-    w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("day"), "fact_id")
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    by_value = lambda name: F.when(F.col("q_order_by") == name, F.col("value_num"))
+    w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last(by_value("value_desc")), F.asc_nulls_last(by_value("value_asc")), F.desc_nulls_last("day"), "fact_id")
+    out = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.coalesce("q_most", F.lit(limit)))
+    return out.drop(*[f"q_{n}" for n in SPEC])
 
 
 def merge_stores(stores: list[DataFrame], spec: Lookup) -> DataFrame:

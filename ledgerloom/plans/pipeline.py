@@ -15,6 +15,8 @@ from ledgerloom.session import keep
 
 #: Facts shown of all that were computed with.
 SHOWN_FACTS = 8
+#: Facts of one lookup: the newest, or the largest or smallest where a question asks for such.
+FACTS_BY_DATE, FACTS_BY_VALUE = 10, 50
 #: Characters of a pack, and of one evidence within it.
 PACK, SHARE = 6000, 1200
 
@@ -86,12 +88,23 @@ def search(store: Store, subs: DataFrame, questions: DataFrame, planned: DataFra
     most = subs.agg(F.max("k")).first()[0] or 0
     best = retrieval.top(kept.withColumnsRenamed({"query_id": "question", "sid": "query_id"}), most).where(F.col("rank") <= F.col("k"))
     texts = best.select(F.col("question").alias("query_id"), "sub_id", "id", F.col("doc_id").alias("report_id"), "score", "rank")
-    # Facts: one lookup per part and expected item; tiers and limits hold for each of them.
-    items = planned.select("query_id", F.explode_outer("expected_fields").alias("item"))
-    specs = subs.join(items, "query_id").where("company IS NOT NULL AND item IS NOT NULL").select(F.concat_ws("#", "query_id", F.col("sub_id").cast("string"), symbol_key("item")).alias("query_id"), "company", symbol_key("item").alias("key"), "period")
+    # Facts: one lookup per part, expected item and document group; tiers and limits hold for each of them, options come from the plan.
+    order = F.when(F.col("aggregation") == "max", "value_desc").when(F.col("aggregation") == "min", "value_asc").otherwise("date")
+    plan = planned.select("query_id", "latest_policy", "periods", "corrections_only", "value_owner", order.alias("order_by"), "report_types", F.explode_outer("expected_fields").alias("item"))
+    plan = plan.withColumn("doc_group", F.explode_outer("report_types"))
+    specs = subs.select("query_id", "sub_id", "company", "period").join(plan, "query_id").where("company IS NOT NULL AND item IS NOT NULL")
+    sid = F.concat_ws("#", "query_id", F.col("sub_id").cast("string"), symbol_key("item"), F.coalesce("doc_group", F.lit("")))
+    specs = specs.select(
+        sid.alias("query_id"), "company", symbol_key("item").alias("key"), "period", "doc_group", (F.col("latest_policy") == "latest_only").alias("latest_only"),
+        "corrections_only", "value_owner", "order_by", F.when(F.col("order_by") == "date", FACTS_BY_DATE).otherwise(FACTS_BY_VALUE).alias("most"),
+    )
     rows = facts.lookup_many(store.facts, specs.distinct()).withColumn("q", F.split("query_id", "#"))
-    rows = rows.withColumns({"query_id": F.get("q", F.lit(0)), "sub_id": F.get("q", F.lit(1)).cast("int"), "asked": F.get("q", F.lit(2))})
-    return texts, rows.drop("q", "q_company", "q_key", "q_period")
+    rows = rows.withColumns({"query_id": F.get("q", F.lit(0)), "sub_id": F.get("q", F.lit(1)).cast("int"), "asked": F.get("q", F.lit(2))}).drop("q", "q_company", "q_key", "q_period")
+    # Chains come from the catalogue; whether a fact is the latest is its own column.
+    chains = store.documents.select(F.col("report_id").alias("doc_id"), "correction_group_id", "correction_order")
+    rows = rows.drop("correction_group_id", "correction_order").join(chains, "doc_id", "left").join(planned.select("query_id", "latest_policy", "periods"), "query_id")
+    rows = versions.apply_policy(keep(rows, "looked_up"), F.col("latest_policy"), F.col("periods"), ["query_id"])
+    return texts, rows.drop("latest_policy", "periods", "correction_group_id", "correction_order")
 
 
 def run(questions: DataFrame, store: Store, generate: Callable[[DataFrame], DataFrame] | None = None, retries: int = planner.MOST_RETRIES) -> DataFrame:

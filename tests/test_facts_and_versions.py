@@ -160,3 +160,17 @@ def test_operations_and_checks(spark):
 def test_owner_is_carried_within_a_run(spark):
     n = spark.createDataFrame([("d", "s", 1, "X", 0), ("d", "s", 2, None, 2), ("d", "s", 3, None, 1), ("d", "t", 4, None, 2), ("d", "s", 5, None, 2)], "doc_id string, section string, seq int, owner string, n_markers int")
     assert {r.seq: r.carried for r in derive.carry_owner(n).collect()} == {1: "X", 2: "X", 3: None, 4: None, 5: None}
+
+
+def test_many_lookups_keep_to_their_own_options(spark):
+    # The largest value is in the oldest of 60 filings, the first of which are superseded corrections.
+    f = [row(i, value=float(100 - i), filing_date=f"2024{1 + i // 28:02d}{1 + i % 28:02d}", is_latest=i >= 3, is_correction=i < 5) for i in range(60)]
+    f += [row(60, value=500.0, value_owner="B"), row(61, value=600.0, doc_group="major", day="20230101")]
+    s = "query_id string, company string, key string, period string"
+    get = lambda spec, more: [r.fact_id for r in facts.lookup_many(table(spark, f), spark.createDataFrame([("q", "A", "Revenue", None, *spec)], s + more)).orderBy("rank").collect()]
+    assert get((), "") == list(range(59, 49, -1))
+    assert get(("value_desc", 50), ", order_by string, most int") == [61, *range(3, 52)]
+    assert get(("value_asc", 50, "periodic"), ", order_by string, most int, doc_group string") == list(range(59, 9, -1))
+    assert get((False, True, "periodic"), ", latest_only boolean, corrections_only boolean, doc_group string") == [4, 3, 2, 1, 0]
+    assert get(("other",), ", value_owner string") == [60] and get((None,), ", value_owner string") == list(range(59, 49, -1))
+    assert get(("any", "value_desc", 2), ", value_owner string, order_by string, most int") == [61, 60]

@@ -71,3 +71,18 @@ def test_k_is_taken_among_the_company_s_valid_chunks(spark):
     got = {i: [(r["rank"], r.id) for r in texts.where(F.col("query_id") == i).orderBy("rank").collect()] for i in "12"}
     assert got["1"] == [(1, "c1"), (2, "z")]
     assert [n for n, _ in got["2"]] == list(range(1, 9)) and all(i.startswith("o") for _, i in got["2"])
+
+
+def test_facts_follow_the_plan(spark):
+    s = store(spark)
+    old = [(3, "d0", "c0", "Acme", "periodic", "20240101", "2024-03", False, False, "Total assets", "Totalassets", "400", 400.0, None, None, ["x"], None)]
+    new = [(10 + i, f"n{i}", None, "Acme", "periodic", "20240401", "2024-03", True, False, "Total assets", "Totalassets", str(i), float(i), None, None, ["x"], None) for i in range(30)]
+    s.facts = s.facts.unionByName(spark.createDataFrame(old + new, FACT))
+    q = spark.createDataFrame([("max", "Acme 가장 큰 total assets 얼마인가", ["Acme"], [], ["Total assets"]), ("plain", "Acme total assets 얼마인가", ["Acme"], [], ["Total assets"]), ("all", "Acme 모든 정정 가장 큰 total assets 얼마인가", ["Acme"], [], ["Total assets"]), ("month", "Acme 2024년 1월 가장 큰 total assets 얼마인가", ["Acme"], ["2024-01"], ["Total assets"])], PLAN)
+    planned = pipeline.planner.plans(q)
+    _, found = pipeline.search(s, pipeline.planner.decompose(planned).withColumn("period", F.lit(None).cast("string")), q, planned)
+    got = {n: [r.fact_id for r in found.where(F.col("query_id") == n).orderBy("rank").collect()] for n in ("max", "plain", "all", "month")}
+    assert got["max"] == [1, *range(39, 9, -1)] and len(got["plain"]) == 10
+    assert got["all"] == [1, 3, *range(39, 9, -1)]
+    # Of the chain of d0 and d1 the filing of the month asked for.
+    assert got["month"] == [3, *range(39, 9, -1)]
