@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import facts as ops
 from ledgerloom.operators.facts import Lookup, RetrievalFilter
+from ledgerloom.operators.ranking import ranks
 from ledgerloom.queries.sql import DOCS, FACTS
 from ledgerloom.session import table
 
@@ -132,10 +133,9 @@ def argmax_per_company(spark, d):
 
 
 def compare_pairs(spark, d):
-    """Candidates of an item in pairs: the 1st with the 2nd, the 3rd with the 4th."""
+    """All candidates of an item in pairs: the 1st with the 2nd, the 3rd with the 4th. The SQL stops after 20 pairs of an item."""
     best = argmax_per_company(spark, d)
-    w = Window.partitionBy("field_code").orderBy(F.desc("n_rivals"), "company")
-    r = best.withColumn("rn", F.row_number().over(w)).where("rn <= 40")
+    r = ranks(best, ["field_code"], [F.desc("n_rivals"), F.col("company")], "rn")
     a, b = r.where("rn % 2 = 1"), r.where("rn % 2 = 0")
     pair = a.alias("a").join(b.alias("b"), (F.col("a.field_code") == F.col("b.field_code")) & (F.col("b.rn") == F.col("a.rn") + 1))
     winner = F.when(F.col("a.value_num") > F.col("b.value_num"), F.col("a.company")).when(F.col("b.value_num") > F.col("a.value_num"), F.col("b.company")).otherwise("tie")
