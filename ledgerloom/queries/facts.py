@@ -54,10 +54,14 @@ def facts_owner(which: str):
 
 
 def facts_lookup_many(spark, d):
-    """Every resolved company and expected field of every question, in one plan."""
+    """Every resolved company, expected field and period of every question, in one plan, each with its own tiers and limit. The SQL takes the first of each only."""
     q = table(spark, d, "query_plans").where("size(companies) > 0 AND size(expected_fields) > 0")
-    specs = q.select("query_id", F.col("companies")[0].alias("company"), F.regexp_replace(F.col("expected_fields")[0], " ", "").alias("key"), F.try_element_at("periods", F.lit(1)).alias("period"))
-    return ops.lookup_many(facts(spark, d), specs).select("query_id", "fact_id", "tier", "rank")
+    specs = q.select("query_id", "expected_fields", "periods", F.posexplode(F.array_distinct("companies")).alias("c", "company"))
+    specs = specs.select("query_id", "periods", "c", "company", F.posexplode(F.array_distinct("expected_fields")).alias("k", "field"))
+    specs = specs.select("query_id", "c", "company", "k", "field", F.posexplode_outer(F.array_distinct("periods")).alias("p", "period"))
+    one = F.concat_ws("#", "query_id", "c", "k", F.coalesce("p", F.lit(0)))
+    rows = ops.lookup_many(facts(spark, d), specs.select(one.alias("query_id"), "company", F.regexp_replace("field", " ", "").alias("key"), "period"))
+    return rows.select(F.regexp_replace("query_id", "(#[0-9]+){3}$", "").alias("query_id"), "fact_id", "tier", "rank")
 
 
 FILTER = RetrievalFilter(doc_groups=("periodic", "exchange"), periods=("2024-06", "2025"), date_from="20240101", latest_only=True)

@@ -37,3 +37,15 @@ def test_all_candidates_are_paired(spark, folder):
     # The SQL stops after 20 pairs, and without that says the same.
     sql = queries.ORACLES["compare_pairs"]
     assert got[:20] == oracle(d, sql, ["facts"]) and got == oracle(d, sql.replace(" AND b.rn <= 40", ""), ["facts"])
+
+
+def test_every_company_field_and_period_is_looked_up(spark, folder):
+    plans = [("q#1", ["A", "B"], ["Revenue", "Net income"], ["2024-03", "2023"]), ("2", ["B"], ["Revenue"], []), ("3", [], ["Revenue"], [])]
+    rows = [fact(i, "AB"[i % 2], period="2024-03") for i in range(30)] + [fact(30, "B", key="Netincome", period="2023-12"), fact(31, "A", period="2023-06")]
+    d = folder(facts=(rows, FACT), query_plans=(plans, "query_id string, companies array<string>, expected_fields array<string>, periods array<string>"))
+    got = {}
+    for r in queries.facts_lookup_many(spark, d).collect():
+        got.setdefault(r.query_id, []).append(r.fact_id)
+    # The limit holds for each combination.
+    assert sorted(got["q#1"]) == [*range(20), 30, 31] and set(got) == {"q#1", "2"}
+    assert sorted(got["2"]) == list(range(1, 20, 2))
