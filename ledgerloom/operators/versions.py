@@ -70,23 +70,22 @@ def parents(manifest: DataFrame, targets: DataFrame) -> DataFrame:
     return sure.unionByName(best.select("doc_id", "parent", F.lit("fuzzy_tiebreak").alias("source")))
 
 
-#: Rounds of pointer doubling: chains of up to 2 to this power links.
-MAX_ROUNDS = 10
-
-
 def roots(links: DataFrame) -> DataFrame:
     """doc_id, root, depth: the end of every chain of parents (doc_id, parent). Members of a cycle have no end and are left out.
 
-    Pointers are doubled, so a chain of n links takes about log2(n) joins whatever the number of documents.
+    Pointers are doubled until none moves, so a chain of n links takes about log2(n) joins whatever the number of documents.
     """
-    at = keep(links.where("doc_id <> parent").groupBy("doc_id").agg(F.min("parent").alias("root")).withColumn("depth", F.lit(1)), "roots")
-    for _ in range(MAX_ROUNDS):
+    first = keep(links.where("doc_id <> parent").groupBy("doc_id").agg(F.min("parent").alias("root")).withColumn("depth", F.lit(1).cast("long")), "roots")
+    at, n = first, first.count()
+    while True:
         up = at.select(F.col("doc_id").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
         moved = at.join(up, "root", "left")
         if moved.where("next IS NOT NULL").isEmpty():
             break
-        at = keep(moved.select("doc_id", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "roots")
-    return at.join(at.select(F.col("doc_id").alias("root")), "root", "left_anti").select("doc_id", "root", "depth")
+        at = moved.select("doc_id", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+        # A way of more links than there are goes round in a cycle.
+        at = keep(at.where(F.col("depth") <= n), "roots")
+    return at.join(first.select(F.col("doc_id").alias("root")), "root", "left_anti").select("doc_id", "root", F.col("depth").cast("int").alias("depth"))
 
 
 def numbered(docs: DataFrame, group: str = "group_id") -> DataFrame:

@@ -174,3 +174,11 @@ def test_many_lookups_keep_to_their_own_options(spark):
     assert get((False, True, "periodic"), ", latest_only boolean, corrections_only boolean, doc_group string") == [4, 3, 2, 1, 0]
     assert get(("other",), ", value_owner string") == [60] and get((None,), ", value_owner string") == list(range(59, 49, -1))
     assert get(("any", "value_desc", 2), ", value_owner string, order_by string, most int") == [61, 60]
+
+
+def test_roots_of_long_chains_and_cycles(spark):
+    chain = [(f"n{i:04d}", f"n{i + 1:04d}") for i in range(1500)]
+    # A cycle of three, and a tail that leads into it.
+    cycle = [("x", "y"), ("y", "z"), ("z", "x"), ("t1", "t2"), ("t2", "x")]
+    got = {r.doc_id: (r.root, r.depth) for r in versions.roots(spark.createDataFrame(chain + cycle, "doc_id string, parent string")).collect()}
+    assert got == {f"n{i:04d}": ("n1500", 1500 - i) for i in range(1500)}
