@@ -10,8 +10,6 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: Tables of more rows are cut here, with a note.
-MAX_ROWS = 3000
 #: Wider grids are tables, narrower ones key-value blocks.
 KEY_VALUE_WIDTH = 3
 #: Longer lines are prose, not a hint of unit or period.
@@ -251,9 +249,7 @@ class _Reader(HTMLParser):
             rows = self.tables.pop()
             unit = self.last_line if len(self.last_line) <= HINT_LENGTH and UNIT_LINE.search(self.last_line) else None
             if not self.tables:
-                self.nodes += classify(expand_grid(rows[:MAX_ROWS]), self.section(), unit)
-                if len(rows) > MAX_ROWS:
-                    self.nodes.append(Node("text", self.section(), text=f"({len(rows) - MAX_ROWS} more rows)"))
+                self.nodes += classify(expand_grid(rows), self.section(), unit)
             self.buffer = []
         elif tag in ("p", "div", "li") and not self.cells:
             self.flush()

@@ -192,3 +192,13 @@ def test_tool_errors_are_data(spark):
     t = Tools(spark.createDataFrame([], "x int"), spark.createDataFrame([], "x int"))
     assert t.call("no_such").first().error == "ValueError" and t.call("calculate_ratio", part=1, whole=4).first().value == 25.0
     assert t.call("calculate_growth_rate", nope=1).first().error == "TypeError"
+
+
+def test_long_tables_are_read_to_their_end():
+    rows = "".join(f'<tr><td>k{i}</td><td acode="C{i}">{i}</td></tr>' for i in range(7000))
+    pairs = [(k, c.text) for n in markup.parse(f"<table>{rows}</table>") for k, c in n.pairs]
+    assert pairs == [(f"k{i}", str(i)) for i in range(7000)]
+    # A span over the former limit, in a table that stays one.
+    wide = "".join(f"<tr>{'<td rowspan=3>s</td>' if i == 2999 else '' if i in (3000, 3001) else '<td>a</td>'}<td>b{i}</td><td>c</td><td>d</td></tr>" for i in range(3500))
+    (table,) = markup.parse(f"<table>{wide}</table>")
+    assert len(table.grid) == 3500 and [r[0].text for r in table.grid[2998:3003]] == ["a", "s", "s", "s", "a"]
