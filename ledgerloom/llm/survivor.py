@@ -1,7 +1,7 @@
 """Problem 6: the best representative of each group of duplicate records.
 
-One aggregation takes, for every attribute, the maximum of a struct of (stated, source priority, date, filing number,
-smallest id, value): a map-side combined reduction, so a group of any size never sits in one task.
+One aggregation takes, for every attribute, the maximum of a struct of (stated, date, filing number, smallest id,
+value); sources have no priority among them: a map-side combined reduction, so a group of any size never sits in one task.
 
 Defined cases: records whose group column is null form no group; a value that is null, empty or only says that nothing
 is given isn't stated; a missing date is taken from the catalogue, else from the filing number; ties go to the
