@@ -1,13 +1,18 @@
 """Problem 10: template residue and error-page text.
 
-Two kinds of evidence are combined. Placeholder, filler, error-page and viewer-notice detectors look at every line of
-the whole text: an Aho-Corasick pass finds anchors, a pattern on the anchor's line decides, so sentences that merely
-report on such things don't count. Responses that are short, share no term with their title line or address slug, name
-error vocabulary and are repeated (numbers masked) under several titles are flagged by host evidence.
-
-Defined cases: null and empty texts aren't residue; repeated documents are each flagged; a null host or slug is a host
-or slug of its own that shares no terms; very long texts are searched whole; an empty table gives an empty result;
-other columns are never read.
+Three kinds of evidence are combined; the first two know no words.
+
+* Host evidence: every document is cut into lines, a line's shape is its text without case, figures and spacing. A
+  document is a low-information response if it holds few different terms and none of them occurs in its address slug
+  (report_id) or title (company). A shape that such responses of several titles share, and that hardly ever occurs
+  elsewhere, is residue wherever it stands, so also as a line of a real text.
+* Repetition: a line of many words that are mostly the same few ones is filler.
+* Detectors: an Aho-Corasick pass over the whole text finds anchors of placeholders, filler, error pages and viewer
+  notices, a pattern on the anchor's line decides, so sentences that merely report on such things don't count.
+
+Defined cases: null and empty texts aren't residue; repeated documents are each flagged; a null slug or title shares no
+terms, and all null titles are one; very long texts are searched whole; an empty table gives an empty result; other
+columns are never read.
 """
 
 from __future__ import annotations
@@ -16,11 +21,21 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A repeated response counts from so many documents and titles on, and up to so many words; longest title line.
-COPIES, TITLES, WORDS, TITLE = 3, 2, 40, 80
+from ledgerloom.session import keep
+
+#: A low-information response holds at most so many different terms.
+TERMS = 40
+#: A shape is residue if so many responses of so many titles consist of it, and so large a part of its documents are responses.
+COPIES, TITLES, ALONE = 3, 3, 0.7
+#: A line of at least so many words is filler if so small a part of them are different ones.
+RUN, DIFFERENT = 8, 0.3
+#: Longest title line.
+TITLE = 80
+#: Shapes that are sent to the documents; more of them meet the documents' lines by a shuffle.
+BROADCAST_SHAPES = 200_000
 
 # What the detectors look for. An anchor is a lower-case literal; its pattern must hold on the anchor's line.
 DETECTORS: dict[str, list[tuple[str, str]]] = {
@@ -70,9 +85,6 @@ DETECTORS: dict[str, list[tuple[str, str]]] = {
         ("new window", r"this document opens in a new window"), ("프레임을 지원하지", r"프레임을 지원하지 않는 브라우저"),
     ],
 }
-#: Words of error pages and notices; on their own they prove nothing.
-WEAK = r"error|오류|viewer|javascript|자바스크립트|browser|브라우저|script|loading|redirect|session|세션|login|로그인|timed? ?out|denied|unavailable|not found|retry|문의|점검|placeholder|sample|예시|불러"
-
 # Names between single signs: %corp_name%, @sign_off@.
 _NAMES = re.compile(r"(?<![\w%])%[a-z][a-z_]{2,}%(?!\w)|(?<!\w)@[a-z][a-z_]{2,}@(?!\w)")
 _SPACE = re.compile(r"[^\S\n]+")
@@ -116,33 +128,66 @@ def _detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(hits, columns=["doc_id", "kinds"])
 
 
-def _terms(c):
-    return F.filter(F.split(F.lower(c), r"(?U)[^\p{L}]+"), lambda x: F.length(x) > 2)
+def _terms(c: Column) -> Column:
+    """Different terms of a text: runs of letters, in lower case."""
+    return F.array_distinct(F.array_remove(F.split(F.lower(c), r"[^\p{L}]+"), ""))
+
+
+def _lines(text: Column) -> Column:
+    return F.split(text, r"\n| \| ")
+
+
+def _shape(line: Column) -> Column:
+    """A line without case, words with figures, spacing and outer punctuation."""
+    bare = F.regexp_replace(F.lower(line), r"(?<![\p{L}_0-9])[\p{L}_]*+[0-9][\p{L}_0-9]*", "9")
+    return F.regexp_replace(F.regexp_replace(bare, r"(?U)[\s._]+", " "), r"^[ |()\[\]]+|[ |()\[\]]+$", "")
+
+
+def _body(docs: DataFrame) -> DataFrame:
+    """Adds own, the terms of slug and title, and body, the lines without a title line: a short first line that shares a term with them and is no sentence."""
+    own = F.coalesce(_terms(F.concat_ws(" ", "company", "report_id")), F.array().cast("array<string>"))
+    lines = docs.withColumns({"own": own, "body": _lines(F.col("text"))})
+    first = F.get("body", F.lit(0))
+    ends = first.rlike(r"[.!?。]\s*$") & (F.size(F.array_except(_terms(first), "own")) > 0)
+    title = F.arrays_overlap(_terms(first), "own") & (F.length(first) <= TITLE) & ~ends & (F.size("body") > 1)
+    return lines.withColumn("body", F.when(F.coalesce(title, F.lit(False)), F.slice("body", 2, F.size("body"))).otherwise(F.col("body")))
+
+
+def _shapes(docs: DataFrame, *carry: str) -> DataFrame:
+    """The columns of carry with the hash of every different shape of a document's body."""
+    shapes = F.array_remove(F.array_distinct(F.transform("body", lambda x: _shape(x))), "")
+    return docs.select(*carry, F.explode(F.transform(shapes, lambda x: F.xxhash64(x))).alias("shape"))
+
+
+def residue_shapes(docs: DataFrame) -> DataFrame:
+    """doc_id, shape: the lines of the documents whose shape is residue by host evidence."""
+    rows = _body(docs.where("text IS NOT NULL").select("doc_id", "text", "company", "report_id"))
+    terms = _terms(F.array_join("body", "\n"))
+    low = rows.where((F.size(terms) <= TERMS) & ~F.arrays_overlap(terms, "own"))
+    # Responses are few, so only their shapes are gathered; then the lines of all documents are looked up among these.
+    seeds = _shapes(low, "company").groupBy("shape").agg(F.count("*").alias("alone"), F.approx_count_distinct(F.coalesce("company", F.lit(""))).alias("titles"))
+    seeds = keep(seeds.where(f"alone >= {COPIES} AND titles >= {TITLES}").select("shape", "alone"), "shapes")
+    small = seeds.count() <= BROADCAST_SHAPES
+    wanted = F.broadcast(seeds) if small else seeds
+    hits = keep(_shapes(rows, "doc_id").join(wanted, "shape"), "lines")
+    often = hits.groupBy("shape").agg(F.count("*").alias("docs"), F.max("alone").alias("alone")).where(F.col("alone") >= ALONE * F.col("docs")).select("shape")
+    return hits.join(F.broadcast(often) if small else often, "shape", "left_semi").select("doc_id", "shape")
 
 
-def repeated_responses(docs: DataFrame) -> DataFrame:
-    """doc_id of short low-information responses: no term shared with title or slug, error vocabulary, repeated under several titles or by one host."""
-    short = docs.select("doc_id", "text", F.coalesce("source", F.lit("")).alias("host"), F.coalesce("report_id", F.lit("")).alias("slug"), "company")
-    short = short.where((F.length("text") < 10 * WORDS) & F.lower("text").rlike(WEAK))
-    # A title is a short line that ends no sentence; anything longer belongs to the body.
-    line = F.substring_index("text", "\n", 1)
-    title = F.when(F.col("text").contains("\n") & (F.length(line) <= TITLE) & ~line.rlike(r"[.!?。]\s*$"), line)
-    body = F.when(title.isNotNull(), F.expr("substring(text, length(substring_index(text, '\n', 1)) + 1)")).otherwise(F.col("text"))
-    shape = F.trim(F.regexp_replace(F.regexp_replace(F.lower(body), "[0-9]+", "9"), r"(?U)[\s._]+", " "))
-    words = F.size(F.split(shape, " "))
-    own = F.array_union(_terms(F.coalesce(title, F.lit(""))), F.array_union(_terms("slug"), _terms(F.coalesce("company", F.lit("")))))
-    low = short.select("doc_id", "host", F.xxhash64(shape).alias("shape"), F.xxhash64(F.coalesce(title, "company", F.lit(""))).alias("title"), words.alias("words"), F.arrays_overlap(_terms(body), own).alias("shares"))
-    low = low.where(f"words <= {WORDS} AND NOT coalesce(shares, false)")
-    seen = low.groupBy("shape").agg(F.count("*").alias("copies"), F.approx_count_distinct("title").alias("titles"), F.approx_count_distinct("host").alias("hosts"))
-    seen = seen.where(f"copies >= {COPIES} AND (titles >= {TITLES} OR hosts = 1)")
-    return low.join(seen, "shape", "left_semi").select("doc_id")
+def repeating(docs: DataFrame) -> DataFrame:
+    """doc_id of documents with a line of many words that are mostly the same few ones."""
+    words = lambda x: F.array_remove(F.split(F.lower(x), r"(?U)\s+"), "")
+    lettered = lambda x: F.filter(words(x), lambda w: w.rlike(r"\p{L}"))
+    few = lambda x: (F.size(lettered(x)) >= RUN) & (F.size(F.array_distinct(lettered(x))) <= DIFFERENT * F.size(lettered(x)))
+    return docs.where("text IS NOT NULL").where(F.exists(_lines(F.col("text")), few)).select("doc_id")
 
 
 def flagged(docs: DataFrame) -> DataFrame:
-    """doc_id, kinds: documents that are or contain residue, with the kinds found ('repeated' for host evidence)."""
+    """doc_id, kinds: documents that are or contain residue, with the kinds found ('host' and 'repetition' by evidence without words)."""
     direct = docs.select("doc_id", "text").where("text IS NOT NULL").mapInPandas(_detect, "doc_id long, kinds string")
-    repeated = repeated_responses(docs.where("text IS NOT NULL")).withColumn("kinds", F.lit("repeated"))
-    both = direct.unionByName(repeated).groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("kinds")), ",").alias("kinds"))
+    host = residue_shapes(docs).select("doc_id", F.lit("host").alias("kinds"))
+    same = repeating(docs).select("doc_id", F.lit("repetition").alias("kinds"))
+    both = direct.unionByName(host).unionByName(same).groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("kinds")), ",").alias("kinds"))
     return both
 
 

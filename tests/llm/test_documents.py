@@ -48,11 +48,33 @@ def test_flagging_a_table(spark):
     df = spark.createDataFrame(rows, DOCS)
     got = {r.doc_id: r.kinds for r in residue.flagged(df).collect()}
     assert set(got) == {101, 102, 103, 200, 201, 202}
-    assert got[201] == "repeated"
+    assert got[201] == "host"
     assert {r.doc_id for r in residue.cleaned(df).select("doc_id").collect()} == {r[0] for r in rows} - set(got)
     assert residue.flagged(df.limit(0)).count() == 0
 
 
+def test_host_evidence_needs_no_words(spark):
+    page = "Zorbl quandle {} missing. Frotz again."
+    rows = [(i, page.format(i), "s", t, f"r_{i}", None) for i, t in enumerate(["Alpha", "Beta", None])]
+    # As a line of a real text, and once more under a title that it shares a term with.
+    real = " ".join("".join(random.Random(i).choices("abcdefgh", k=7)) for i in range(60))
+    rows += [(10, f"{real}\n{page.format(7)}", "s", "Gamma", None, None), (11, "Zorbl Inc\n" + real, "s", "Zorbl Inc", None, None)]
+    # A line that real texts hold more often than responses do is no residue, nor is a response of one title only.
+    rows += [(20 + i, "Amounts in won", "s", f"T{i}", None, None) for i in range(3)] + [(30 + i, f"Amounts in won\n{real}", "s", f"T{i}", None, None) for i in range(3)]
+    rows += [(40 + i, "Plugh closed", "s", "Delta", None, None) for i in range(5)] + [(50, "", "s", "E", None, None), (51, None, None, None, None, None)]
+    rows += [(60, "tra la tra la tra la tra la tra la", "s", "E", None, None)]
+    df = spark.createDataFrame(rows, DOCS)
+    assert {r.doc_id for r in residue.residue_shapes(df).collect()} == {0, 1, 2, 10}
+    assert [r.doc_id for r in residue.repeating(df).collect()] == [60]
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_shapes_met_by_a_shuffle(spark, monkeypatch, most):
+    monkeypatch.setattr(residue, "BROADCAST_SHAPES", most)
+    df = spark.createDataFrame([(i, "Zorbl quandle 5", "s", t, None, None) for i, t in enumerate("ABCD")], DOCS)
+    assert {r.doc_id for r in residue.residue_shapes(df).collect()} == {0, 1, 2, 3}
+
+
 def words(r, n):
     return [r.choice(["".join(r.choices("abcdefgh", k=5)) for _ in range(1)]) for _ in range(n)]
 
