@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -95,8 +96,8 @@ def test_aligned_words_equals_a_plain_table():
         assert leak_search.aligned_words(np.array(a), np.array(b)) == best[1]
 
 
-@pytest.mark.parametrize("block", [5000, 3])
-def test_leaks_equal_brute_force(spark, block):
+@pytest.mark.parametrize("bits", [leak_search.MOST_BITS, 1 << 16])
+def test_leaks_equal_brute_force(spark, bits):
     r = random.Random(5)
     items = [(i, words(r, r.choice([8, 40, 60, 61, 150])), "x") for i in range(1, 12)]
     docs, want = [], set()
@@ -120,10 +121,24 @@ def test_leaks_equal_brute_force(spark, block):
     want |= {(1001, i) for d, i in want if d == 0} | {(1002, items[0][0])}
     df = spark.createDataFrame(docs, "doc_id long, text string, passage_id int")
     ev = spark.createDataFrame([(i, " ".join(w), x) for i, w, x in items] + [(50, None, ""), (51, "one two", ""), (52, "", "")], "passage_id long, text string, doc_id string")
-    assert {(x.doc_id, x.passage_id) for x in leak_search.leaks(df, ev, block=block).collect()} == want
+    assert {(x.doc_id, x.passage_id) for x in leak_search.leaks(df, ev, most_bits=bits).collect()} == want
     assert leak_search.leaks(df.limit(0), ev).count() == 0 and leak_search.leaks(df, ev.limit(0)).count() == 0
 
 
+def test_every_stretch_of_half_an_item_holds_a_piece():
+    for n in range(6, 300):
+        own, stretch = leak_search.pieces(n), math.ceil(n / 2)
+        assert all(any(a >= at and b <= at + stretch for a, b in own) for at in range(n - stretch + 1)), n
+
+
+def test_equal_items_null_and_repeated_ids(spark):
+    text = " ".join(f"word{i}" for i in range(40))
+    df = spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id long, text string")
+    ev = spark.createDataFrame([(7, text), (7, text), (None, text), (None, None), (8, "a b c")] + [(100 + i, f"other{i} one{i} two{i} three{i}") for i in range(50)], "passage_id long, text string")
+    got = sorted(((r.doc_id or 0, r.passage_id or 0) for r in leak_search.leaks(df, ev).collect()))
+    assert got == [(0, 0), (0, 7), (0, 7)] + [(1, 0)] * 2 + [(1, 7)] * 4
+
+
 def test_split_tree_keeps_quotas():
     rng = np.random.default_rng(0)
     for shards in (1, 2, 5, 8):
