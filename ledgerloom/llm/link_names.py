@@ -1,32 +1,43 @@
 """Problem 4: variant spellings of names typed by people.
 
-A name is taken apart into its distinctive stem and a qualifier (a company's line of business, a person's given name),
-without legal forms, titles, accents, word order, inner spaces and hyphens. Stems within one edit (a transposition
-counts as one) are found by a pigeonhole segment join: every stem is cut into two segments, position-shifted substrings
-of the other stems are looked up in the inverted index of the segments, and the built-in banded edit distance verifies.
-Names with the same or a near stem are linked where their qualifiers agree; a name without qualifier, or with an
-initial only, is linked where just one entity fits. Linked names form groups by distributed union-find.
+Names are normalised (case, accents, punctuation, legal forms and titles; known short words written out) and their words
+sorted into one key. One edit (a transposition counts as one) anywhere in the whole key is tolerated, found by a
+pigeonhole segment join: every key is cut into three segments, of which an edit leaves two intact, and pairs of
+position-shifted substrings of the other names, in every turn of their words, are looked up in the inverted index of
+the segment pairs; the built-in banded edit distance verifies. Two segments together keep an index entry selective even
+where a third of all names ends in the same word. Keys too short for an edit are looked up whole.
+
+Names that say less are looked up the same way among the distinctive stems of fuller names: a name without a line of
+business or given name, or with an initial only, is linked where just one entity fits. Linked names form groups by
+distributed union-find.
+
+The tables of legal forms, lines of business and short forms below are optional knowledge (`Words`): without them names
+are still linked by their keys, but an abbreviated word is then a different word.
 
 Defined cases: null and empty names, and names that consist of a legal form only, link to nothing; equal strings are
-one name; ties go to the smaller key by code points; an empty table gives an empty result; other columns are never
-read. No cap is set on candidates or group sizes; the result lists all pairs of strings of a group.
+one name; ties go to the smaller key by code points; names of more than `MOST_TURNS` words are looked up in their own
+and in sorted order only; an empty table gives an empty result; other columns are never read. No cap is set on
+candidates or group sizes; the result lists all pairs of strings of a group.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import strip_accents
 from ledgerloom.llm.group_split import merged
 from ledgerloom.session import keep
 
-#: Shortest stem for which one edit is tolerated.
-FUZZY_LENGTH = 4
+#: Shortest key for which one edit is tolerated, in letters and in Hangul syllables (of two or three letters each).
+FUZZY_LENGTH, FUZZY_SYLLABLES = 6, 4
+#: Names of up to so many words are looked up in every turn of their words.
+MOST_TURNS = 6
 
 # Legal forms and titles, lines of business, given names with their short forms.
 LEGAL = frozenset("co company ltd limited inc incorporated corp corporation plc group grp the llc llp lp sa ag gmbh ooo oao ао ооо оао пао dr mr mrs ms prof sir jr sr".split())
@@ -52,25 +63,24 @@ _WORD = re.compile(r"[^\W\d_]+|\d+")
 _INITIALS = re.compile(r"^[a-z]$")
 
 
-def near(a: str, b: str, most: int = 1) -> bool:
-    """Whether two words are within `most` edits, a transposition counting as one."""
-    if abs(len(a) - len(b)) > most:
-        return False
-    last, row = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        older, last, row = last, row, [i] + [0] * len(b)
-        for j, y in enumerate(b, 1):
-            row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                row[j] = min(row[j], older[j - 2] + 1)
-        if min(row) > most:
-            return False
-    return row[-1] <= most
+@dataclass(frozen=True)
+class Words:
+    """Words with a meaning of their own: legal forms and titles (left out), lines of business, given names with their full forms."""
+
+    legal: frozenset[str] = LEGAL
+    legal_hangul: tuple[str, ...] = LEGAL_KO
+    kinds: tuple[str, ...] = tuple(KINDS)
+    kinds_hangul: tuple[str, ...] = tuple(KINDS_KO)
+    group_hangul: str = GROUP_KO
+    given: Mapping[str, str] = field(default_factory=lambda: GIVEN)
 
 
-def kind_of(word: str) -> str | None:
-    """The line of business a word states, abbreviates or misspells."""
-    if word in KINDS:
+NO_WORDS = Words(frozenset(), (), (), (), "", {})
+
+
+def kind_of(word: str, kinds: tuple[str, ...]) -> str | None:
+    """The line of business a word states or abbreviates."""
+    if word in kinds:
         return word
     if len(word) >= 3:
         rules = (
@@ -81,13 +91,9 @@ def kind_of(word: str) -> str | None:
             lambda k: word[:3] == k[:3] and len(word) < len(k) - 1 and len(word) <= 8 and _within(word, k),
         )
         for rule in rules:
-            fit = [k for k in KINDS if rule(k)]
+            fit = [k for k in kinds if rule(k)]
             if fit:
                 return min(fit, key=lambda k: (len(k), k))
-    if len(word) >= 4:
-        for k in KINDS:
-            if near(word, k, 1 if len(k) < 9 else 2):
-                return k
     return None
 
 
@@ -104,132 +110,140 @@ def _within(short: str, word: str) -> bool:
     return True
 
 
-def given_of(word: str) -> str | None:
-    if word in GIVEN:
-        return GIVEN[word]
-    if len(word) >= 4:
-        for n in NICKNAMES:
-            if near(word, n):
-                return n
-    return None
+def _turns(words: list[str]) -> list[str]:
+    """The key of words in sorted order, then the other orders that a name is looked up in: every turn of the words as written."""
+    joined = ["".join(sorted(words))]
+    for i in range(len(words) if len(words) <= MOST_TURNS else 1):
+        joined.append("".join(words[i:] + words[:i]))
+    return list(dict.fromkeys(joined))
 
 
-def parts_of(name: str, folded: str) -> tuple[str, str] | None:
-    """(stem, qualifier) of a name; folded is the name without accents. Qualifiers: k:business, g:given name, i:initial or ''."""
+def parts_of(folded: str, known: Words = Words()) -> tuple[list[str], str, str] | None:  # noqa: B008
+    """(turns, stem, qualifier) of a name without accents; the first turn is its key. Qualifiers: k:business, g:given name, i:initial or ''."""
     if re.search("[가-힣]", folded):
         s = folded
-        for x in LEGAL_KO:
+        for x in known.legal_hangul:
             s = s.replace(x, " ")
         s = "".join(re.findall(r"[가-힣a-zA-Z0-9]+", s)).lower()
-        s = re.sub("^주식회사|주식회사$", "", s)
-        for k in KINDS_KO:
+        for x in known.legal_hangul:
+            if len(x) > 3:  # a legal form with a space inside
+                s = s.removeprefix(x).removesuffix(x)
+        for k in known.kinds_hangul:
             if s.endswith(k) and len(s) > len(k):
-                return s[: -len(k)], "k:" + k
-        if s.endswith(GROUP_KO) and len(s) > len(GROUP_KO):
-            return s[: -len(GROUP_KO)], ""
-        for k in KINDS_KO:  # a syllable missing, doubled or changed
-            for n in (len(k), len(k) - 1, len(k) + 1):
-                if len(k) > 2 and len(s) > n + 1 and near(s[-n:], k):
-                    return s[:-n], "k:" + k
-        return (s, "") if s else None
+                return [s], s[: -len(k)], "k:" + k
+        if known.group_hangul and s.endswith(known.group_hangul) and len(s) > len(known.group_hangul):
+            s = s[: -len(known.group_hangul)]
+        return ([s], s, "") if s else None
     comma = re.fullmatch(r"\s*([^,]+),\s*([^,]+)\s*", folded)
     words = [w.lower() for w in _WORD.findall(_CAMEL.sub(" ", folded))]
-    words = [w for w in words if w not in LEGAL] or []
+    words = [w for w in words if w not in known.legal]
     if not words:
         return None
-    kinds = [(i, k) for i, w in enumerate(words) for k in [kind_of(w)] if k]
+    kinds = [(i, k) for i, w in enumerate(words) for k in [kind_of(w, known.kinds)] if k]
     if kinds and len(words) > 1:
-        exact = [x for x in kinds if words[x[0]] in KINDS] or [x for x in kinds if x[0] in (0, len(words) - 1)]
+        exact = [x for x in kinds if words[x[0]] in known.kinds] or [x for x in kinds if x[0] in (0, len(words) - 1)]
         if exact:
             # The business is the last word, or the first in reversed names.
             i, k = exact[-1] if exact[-1][0] == len(words) - 1 else exact[0]
             stem = "".join(words[:i] + words[i + 1 :])
             if len(stem) > 2:
-                return stem, "k:" + k
+                return _turns([*words[:i], k, *words[i + 1 :]]), stem, "k:" + k
     letters = [w for w in words if _INITIALS.match(w)]
     full = [w for w in words if len(w) > 1]
     if len(full) >= 2:
-        given = [(i, g) for i, w in enumerate(full) for g in [given_of(w)] if g]
-        sure = [x for x in given if full[x[0]] in GIVEN] or given
-        if sure:
+        given = [i for i, w in enumerate(full) if w in known.given]
+        if given:
             # In "Surname, Given" the given name follows.
-            i, g = sure[-1] if comma else sure[0]
-            return "".join(full[:i] + full[i + 1 :]), "g:" + g
-        return "".join(full), ""
+            i = given[-1] if comma else given[0]
+            name = known.given[full[i]]
+            return _turns([*full[:i], name, *full[i + 1 :]]), "".join(full[:i] + full[i + 1 :]), "g:" + name
+        return _turns(full), "".join(full), ""
     if len(full) == 1:
-        return full[0], ("i:" + letters[0] if letters else "")
-    return "".join(words), ""
-
-
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = [(n, *p) for n, f in zip(pdf["name"], pdf["folded"], strict=True) for p in [parts_of(n, f)] if p and p[0]]
-        if out:
-            yield pd.DataFrame(out, columns=["name", "stem", "qual"])
-
-
-def near_stems(stems: DataFrame) -> DataFrame:
-    """s, t (s < t): stems within one edit or transposition, by the pigeonhole join of two segments."""
-    n = F.length("stem")
-    long_ = stems.where(n >= FUZZY_LENGTH)
-    half = F.floor(n / 2).cast("int")
-    index = long_.select(F.col("stem").alias("s"), n.alias("len"), F.explode(F.array(F.struct(F.lit(0).alias("part"), F.expr("substring(stem, 1, int(floor(length(stem) / 2)))").alias("seg")), F.struct(F.lit(1).alias("part"), F.expr("substring(stem, int(floor(length(stem) / 2)) + 1)").alias("seg")))).alias("p")).select("s", "len", "p.part", "p.seg")
-    # A stem of length len keeps a segment in t unchanged, moved by at most one place.
-    probes = []
-    for d in (-1, 0, 1):
-        ln = n + d
-        h = F.floor(ln / 2).cast("int")
-        for shift in (-1, 0, 1):
-            if shift >= 0:
-                probes.append(F.struct(ln.alias("len"), F.lit(0).alias("part"), F.substring("stem", F.lit(1 + shift), h).alias("seg")))
-            probes.append(F.struct(ln.alias("len"), F.lit(1).alias("part"), F.substring("stem", h + 1 + shift, ln - h).alias("seg")))
-    # A transposition across the cut damages both segments: look up the first one with the letters at the cut swapped back.
-    swapped = F.concat(F.substring("stem", F.lit(1), half - 1), F.substring("stem", half + 1, F.lit(1)))
-    probes.append(F.struct(n.alias("len"), F.lit(0).alias("part"), swapped.alias("seg")))
-    looked = long_.select(F.col("stem").alias("t"), F.explode(F.array_distinct(F.array(*probes))).alias("p")).select("t", "p.len", "p.part", "p.seg")
-    pairs = looked.join(index, ["len", "part", "seg"]).where("s <> t").select(F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t")).distinct()
+        return full, full[0], ("i:" + letters[0] if letters else "")
+    return ["".join(words)], "".join(words), ""
+
+
+def _parse(known: Words):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(n, p[0][0], p[0], p[1], p[2]) for n, f in zip(pdf["name"], pdf["folded"], strict=True) for p in [parts_of(f, known)] if p and p[1]]
+            if out:
+                yield pd.DataFrame(out, columns=["name", "key", "turns", "stem", "qual"])
+
+    return run
+
+
+def _cut(text: Column, length: Column, part: int, shift: Column) -> Column:
+    """One third of a text of the given length, moved by shift."""
+    at = lambda i: F.floor(length * i / 3).cast("int")
+    return F.substring(text, at(part) + 1 + shift, at(part + 1) - at(part))
+
+
+def near_pairs(index: DataFrame, probes: DataFrame) -> DataFrame:
+    """role, a, b, exact: entries of the index (role, a, s) and probes (role, b, t) of one role whose strings are within one edit or transposition."""
+    least = lambda c: F.when(c.rlike("^[가-힣]"), FUZZY_SYLLABLES).otherwise(FUZZY_LENGTH)
+    whole = lambda c: F.struct(F.length(c).alias("len"), F.lit(-1).alias("part"), c.alias("seg"))
+    zero, combos = F.lit(0), ((1, 2), (0, 2), (0, 1))
+
+    def pairs_of(c: Column, length: Column, moved: Column) -> list[Column]:
+        # Combination i leaves out segment i, where the edit is: segments after it are moved.
+        return [F.struct(length.alias("len"), F.lit(i).alias("part"), F.concat(_cut(c, length, p, moved if p > i else zero), F.lit("|"), _cut(c, length, q, moved if q > i else zero)).alias("seg")) for i, (p, q) in enumerate(combos)]
+
+    s, t = F.col("s"), F.col("t")
+    n = F.length(s)
+    entries = index.select("role", "a", "s", F.explode(F.when(n >= least(s), F.array(*pairs_of(s, n, zero), whole(s))).otherwise(F.array(whole(s)))).alias("p"))
+    n = F.length(t)
+    looked = [x for d in (-1, 0, 1) for x in pairs_of(t, n + d, F.lit(-d))]
+    # A transposition across a cut damages two segments: look the text up with the letters at the cut swapped back.
+    for i in (1, 2):
+        cut = F.floor(n * i / 3).cast("int")
+        back = F.concat(F.substring(t, F.lit(1), cut - 1), F.substring(t, cut + 1, F.lit(1)), F.substring(t, cut, F.lit(1)), F.substring(t, cut + 2, n))
+        looked += pairs_of(back, n, zero)
+    found = probes.select("role", "b", "t", F.explode(F.when(n >= least(t) - 1, F.array_distinct(F.array(*looked, whole(t)))).otherwise(F.array(whole(t)))).alias("p"))
+    flat = lambda df, *c: df.select("role", *c, "p.len", "p.part", "p.seg").hint("merge")
+    met = flat(entries, "a", "s").join(flat(found, "b", "t"), ["role", "len", "part", "seg"]).where("a <> b").select("role", "a", "b", "s", "t").distinct()
     distance = F.levenshtein("s", "t", 2)
     crossed = F.exists(F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.concat(F.substring("s", F.lit(1), i - 1), F.substring("s", i + 1, F.lit(1)), F.substring("s", i, F.lit(1)), F.substring("s", i + 2, F.length("s"))) == F.col("t"))
-    return pairs.where((distance == 1) | ((distance == 2) & (F.length("s") == F.length("t")) & crossed)).select("s", "t")
+    close = met.where((distance == 0) | (distance == 1) | ((distance == 2) & (F.length("s") == F.length("t")) & crossed))
+    return close.groupBy("role", "a", "b").agg(F.bool_or(F.col("s") == F.col("t")).alias("exact"))
 
 
-def linked(names: DataFrame) -> DataFrame:
+def linked(names: DataFrame, known: Words = Words()) -> DataFrame:  # noqa: B008
     """name, group: group numbers of the names (column name) of one entity; names of one group are variants of each other."""
     raw = names.where("name IS NOT NULL").select("name").distinct()
     folded = raw.select("name", strip_accents(F.col("name")).alias("folded"))
-    parsed = keep(folded.mapInPandas(_parse, "name string, stem string, qual string"), "names")
-    keys = keep(parsed.select("stem", "qual").distinct().withColumn("id", F.monotonically_increasing_id()), "keys")
-    near = keep(near_stems(keys.select("stem").distinct()), "near")
-    both = near.union(near.selectExpr("t AS s", "s AS t"))
-    full = keys.where("qual LIKE 'k:%' OR qual LIKE 'g:%'")
-    # One business or given name under near stems is one entity.
-    other = full.select(F.col("stem").alias("t"), "qual", F.col("id").alias("b"))
-    same = full.join(both, F.col("stem") == F.col("s")).drop("s", "stem").join(other, ["t", "qual"]).select(F.col("id").alias("a"), "b")
-    # Names with less: of the same stem, else of a near one, if only one entity fits.
-    bare = keys.where("qual = '' OR qual LIKE 'i:%'").select("stem", F.col("qual").alias("has"), F.col("id").alias("a"))
-    fits = "has = '' OR (qual LIKE 'g:%' AND substring(qual, 3, 1) = substring(has, 3, 1))"
-    own = bare.join(full, "stem").where(fits).groupBy("a").agg(F.min("id").alias("b"), F.count_distinct("qual").alias("n"))
-    far = bare.join(own.select("a"), "a", "left_anti").join(both, F.col("stem") == F.col("s")).drop("s", "stem").join(full.withColumnRenamed("stem", "t"), "t").where(fits)
-    far = far.groupBy("a").agg(F.min("id").alias("b"), F.count_distinct("qual").alias("n"))
-    # An initial and a name without any under one stem, where nothing fuller exists, stay apart.
-    few = own.union(far).where("n = 1").select("a", "b")
-    alone = bare.join(both, F.col("stem") == F.col("s")).select("a", "has", "t")
-    alike = alone.join(bare.select(F.col("stem").alias("t"), "has", F.col("a").alias("b")), ["t", "has"]).select("a", "b")
-    edges = same.union(few).union(alike).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    parsed = keep(folded.mapInPandas(_parse(known), "name string, key string, turns array<string>, stem string, qual string"), "names")
+    keys = keep(parsed.select("key", "stem", "qual").distinct().withColumn("id", F.monotonically_increasing_id()), "keys")
+    turns = parsed.select("key", "stem", "qual", F.explode("turns").alias("t")).distinct().hint("merge").join(keys, ["key", "stem", "qual"])
+    full, bare = "qual LIKE 'k:%' OR qual LIKE 'g:%'", "qual = '' OR qual LIKE 'i:%'"
+    index = keys.select(F.lit("key").alias("role"), F.col("id").alias("a"), F.col("key").alias("s")).union(keys.where(full).select(F.lit("stem"), "id", "stem"))
+    probes = turns.select(F.lit("key").alias("role"), F.col("id").alias("b"), "t").union(keys.where(bare).select(F.lit("stem"), "id", "stem"))
+    a, b = keys.select(F.col("id").alias("a"), F.col("qual").alias("qa")), keys.select(F.col("id").alias("b"), F.col("qual").alias("qb"))
+    near = keep(near_pairs(index, probes).hint("merge").join(a.hint("merge"), "a").join(b.hint("merge"), "b"), "near")
+    # Whole keys: one business or given name, or one of them misspelt and so unknown; initials must agree.
+    known_a, known_b = F.col("qa").rlike("^[kg]:"), F.col("qb").rlike("^[kg]:")
+    same = near.where((F.col("role") == "key") & ((F.col("qa") == F.col("qb")) | (known_a & (F.col("qb") == "")) | (known_b & (F.col("qa") == ""))))
+    # Names that say less and are no misspelt fuller name: those of the same stem, else of a near one, if only one entity fits.
+    done = same.where(known_a & ~known_b).select("b").union(same.where(known_b & ~known_a).select("a")).distinct()
+    fits = near.where("role = 'stem' AND (qb = '' OR (qa LIKE 'g:%' AND substring(qa, 3, 1) = substring(qb, 3, 1)))").hint("merge").join(done.hint("merge"), "b", "left_anti")
+    own = lambda c: F.when(F.col("exact"), F.col(c))
+    of = fits.groupBy("b").agg(F.min(own("a")).alias("own"), F.min("a").alias("any"), F.count_distinct(own("qa")).alias("n_own"), F.count_distinct("qa").alias("n_any"))
+    few = of.where("n_own = 1 OR (n_own = 0 AND n_any = 1)").select(F.col("b").alias("a"), F.coalesce("own", "any").alias("b"))
+    edges = same.select("a", "b").union(few).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     up = merged(edges)
-    group = keys.join(up.withColumnRenamed("a", "id"), "id", "left").select("stem", "qual", F.coalesce("b", "id").alias("group"))
-    return parsed.join(group, ["stem", "qual"]).select("name", "group")
+    group = keys.hint("merge").join(up.withColumnRenamed("a", "id").hint("merge"), "id", "left").select("key", "stem", "qual", F.coalesce("b", "id").alias("group"))
+    return parsed.select("name", "key", "stem", "qual").hint("merge").join(group.hint("merge"), ["key", "stem", "qual"]).select("name", "group")
 
 
 def variant_pairs(names: DataFrame) -> DataFrame:
     """name_a, name_b (name_a < name_b by code points): different strings that name the same entity."""
     g = keep(linked(names), "linked")
     a, b = g.withColumnRenamed("name", "name_a"), g.withColumnRenamed("name", "name_b")
-    return a.join(b, "group").where("name_a < name_b").select("name_a", "name_b")
+    return a.hint("merge").join(b.hint("merge"), "group").where("name_a < name_b").select("name_a", "name_b")
 
 
 def variants(names: DataFrame) -> DataFrame:
     """name, entity, n_variants: every name with its group's most complete spelling (longest, then smallest)."""
     g = keep(linked(names), "linked")
     best = g.groupBy("group").agg(F.min_by("name", F.struct(-F.length("name"), "name")).alias("entity"), F.count("*").alias("n_variants"))
-    return g.join(best, "group").select("name", "entity", "n_variants")
+    return g.hint("merge").join(best.hint("merge"), "group").select("name", "entity", "n_variants")

@@ -32,11 +32,47 @@ def test_names_edge_cases(spark):
     assert pairs(spark, ["x" * 5000, "(주)", "Co., Ltd."]) == set()
 
 
-def test_segment_join_equals_brute_force(spark):
+def near(a, b):
+    """Whether b comes from a by at most one inserted, left out, changed or transposed letter."""
+    if a == b:
+        return True
+    cut = lambda x: {x[:i] + x[i + 1 :] for i in range(len(x))}
+    swapped = {a[:i] + a[i + 1] + a[i] + a[i + 2 :] for i in range(len(a) - 1)}
+    return b in cut(a) or a in cut(b) or b in swapped or len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) == 1
+
+
+@pytest.mark.parametrize(("alphabet", "least", "sizes"), [("abc", link_names.FUZZY_LENGTH, (3, 12)), ("가나다", link_names.FUZZY_SYLLABLES, (2, 8))])
+def test_segment_join_equals_brute_force(spark, alphabet, least, sizes):
     r = random.Random(2)
-    words = {"".join(r.choice("abc") for _ in range(r.randrange(4, 8))) for _ in range(150)}
-    got = {tuple(x) for x in link_names.near_stems(spark.createDataFrame([(w,) for w in words], "stem string")).collect()}
-    assert got == {(a, b) for a in words for b in words if a < b and link_names.near(a, b)}
+    words = {"".join(r.choice(alphabet) for _ in range(r.randrange(*sizes))) for _ in range(160)}
+    for w in list(words):  # and neighbours of the long ones
+        i = r.randrange(len(w))
+        words |= {w[:i] + w[i + 1 :], w[:i] + alphabet[0] + w[i:], w[:i] + w[i : i + 2][::-1] + w[i + 2 :]}
+    words = sorted(w for w in words if len(w) > 1)
+    at = {w: i for i, w in enumerate(words)}
+    df = spark.createDataFrame([("r", i, w) for w, i in at.items()], "role string, a long, s string")
+    got = {(x.a, x.b) for x in link_names.near_pairs(df, df.selectExpr("role", "a AS b", "s AS t")).collect()}
+    assert got == {(at[x], at[y]) for x in words for y in words if x != y and len(x) >= least and len(y) >= least - 1 and near(x, y)}
+
+
+def test_held_out_names(spark):
+    """Names made of words that no table knows, typed in other ways: recall and precision of the pairs."""
+    r = random.Random(6)
+    kinds = ["Aquaculture", "Tanneries", "Brickworks", "Vineyards", "Salvage", "Ceramics"]
+    entities, group = {}, {}
+    while len(entities) < 150:
+        stem = "".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") for _ in range(4)).capitalize()
+        entities[f"{stem} {r.choice(kinds)}"] = None
+    for e in entities:
+        stem, kind = e.split()
+        i = r.randrange(1, len(stem) - 1)
+        typed = [e, e.upper(), f"{kind} {stem}", f"{stem}{kind}", f"The {e} Company", f"{stem[:i]}-{stem[i:]} {kind} Ltd.", f"{stem[:i]}{stem[i + 1 :]} {kind}", f"{stem} {kind[:3]}{kind[4]}{kind[3]}{kind[5:]}", f"{kind} {stem[: i + 1]}{stem[i:]}"]
+        group |= {t: e for t in typed}
+    want = {(a, b) for a, b in itertools.product(group, group) if a < b and group[a] == group[b]}
+    for known in (link_names.Words(), link_names.Words(kinds=(), given={})):
+        g = {x.name: x.group for x in link_names.linked(spark.createDataFrame([(n,) for n in group], "name string"), known).collect()}
+        got = {(a, b) for a, b in itertools.product(g, g) if a < b and g[a] == g[b]}
+        assert len(got & want) / len(want) >= 0.9 and len(got & want) / len(got) >= 0.99
 
 
 ITEMS = [("F1", "Total assets", ["p"]), ("F2", "Total liabilities", ["p"]), ("F3", "Pledged shares", ["h"]), ("F4", "자산총계", ["p"]), ("F5", "Stake before report", ["h"]), ("F6", "Stake after report", ["h"])]
