@@ -110,6 +110,11 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources.shares(keep(p9_mix(spark, sf_dir), "mix"), targets)
 
 
+def p9_reached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every source of the mix meets its target, and within its repeats."""
+    return mix_sources.reached(keep(p9_mix(spark, sf_dir), "mix"), table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.flagged(table(spark, sf_dir, "documents")).select("doc_id")
 
@@ -141,6 +146,7 @@ QUERIES = {
     "p8_leaks": p8_leaks,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p9_reached": p9_reached,
     "p10_found": p10_found,
     "p10_kinds": p10_kinds,
     "p10_clean": p10_clean,
@@ -196,5 +202,7 @@ ORACLES: dict[str, str] = {
     "p1_unified": _PLAIN + """SELECT f.fact_id, coalesce(a.canonical, f.company) AS company, coalesce(b.canonical, f.key) AS key FROM facts f
 LEFT JOIN cases a ON a.field = 'company' AND a.value = f.company LEFT JOIN cases b ON b.field = 'key' AND b.value = f.key""",
     "p2_found": _LINKED + "SELECT id AS example_id, g AS group_id FROM cc",
+    # What must hold of the mix: every source that has a text is there, at its target and within its repeats.
+    "p9_reached": "SELECT source, max_repeats, true AS meets, true AS within FROM source_targets t WHERE target_share > 0 AND max_repeats > 0 AND EXISTS (SELECT 1 FROM documents d WHERE d.source = t.source AND length(d.text) > 0)",
     "p7_found": "SELECT DISTINCT chunk_id FROM examples WHERE length(text) > 1500 AND chunk_id IS NOT NULL",
 }

@@ -65,15 +65,16 @@ def test_host_evidence_needs_no_words(spark):
     rows += [(40 + i, "Plugh closed", "s", "Delta", None, None) for i in range(5)] + [(50, "", "s", "E", None, None), (51, None, None, None, None, None)]
     rows += [(60, "tra la tra la tra la tra la tra la", "s", "E", None, None)]
     df = spark.createDataFrame(rows, DOCS)
-    assert {r.doc_id for r in residue.residue_shapes(df).collect()} == {0, 1, 2, 10}
-    assert [r.doc_id for r in residue.repeating(df).collect()] == [60]
+    seen = residue.looked_at(df)
+    assert {r.doc_id for r in residue.residue_shapes(seen).collect()} == {0, 1, 2, 10}
+    assert [r.doc_id for r in seen.where("array_contains(kinds, 'repetition')").collect()] == [60]
 
 
 @pytest.mark.parametrize("most", [0, 200_000])
 def test_shapes_met_by_a_shuffle(spark, monkeypatch, most):
     monkeypatch.setattr(residue, "BROADCAST_SHAPES", most)
     df = spark.createDataFrame([(i, "Zorbl quandle 5", "s", t, None, None) for i, t in enumerate("ABCD")], DOCS)
-    assert {r.doc_id for r in residue.residue_shapes(df).collect()} == {0, 1, 2, 3}
+    assert {r.doc_id for r in residue.residue_shapes(residue.looked_at(df)).collect()} == {0, 1, 2, 3}
 
 
 def words(r, n):
@@ -140,27 +141,52 @@ def test_equal_items_null_and_repeated_ids(spark):
 
 
 def test_split_tree_keeps_quotas():
-    rng = np.random.default_rng(0)
     for shards in (1, 2, 5, 8):
-        tree = mix_sources.split_tree([7, 0, 30, 1], shards, rng)
-        assert len(tree) == shards and [sum(c) for c in zip(*tree, strict=True)] == [7, 0, 30, 1]
-        assert max(map(sum, tree)) - min(map(sum, tree)) <= 2
+        tree = list(mix_sources.split_tree([7, 0, 30, 1], shards, 3))
+        assert [n for n, _, _ in tree] == list(range(shards)) and [sum(c) for c in zip(*(q for *_, q in tree), strict=True)] == [7, 0, 30, 1]
+        assert max(sum(q) for *_, q in tree) - min(sum(q) for *_, q in tree) <= 2
+    # Where the upper nodes are drawn makes no difference.
+    whole = list(mix_sources.split_tree([70, 5, 300], 20, 9))
+    parts = [leaf for first, n, q in mix_sources.split_tree([70, 5, 300], 20, 9, down_to=6) for leaf in mix_sources.split_tree(q, n, 9, first)]
+    assert whole == parts
+
 
+def test_permutations():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 3, 10, 97, 1000):
+        a, c, back = mix_sources.permutation(n, rng)
+        to = [(a * i + c) % n for i in range(n)]
+        assert sorted(to) == list(range(n)) and [(t - c) * back % n for t in to] == list(range(n))
 
-def test_plan_meets_targets_and_caps():
-    r = random.Random(3)
-    blocks = {s: [(b, r.randrange(50, 150)) for b in range(n)] for s, n in (("a", 100), ("b", 10), ("c", 40))}
+
+def test_quotas_meet_targets_and_caps():
+    totals = {"a": (10_000, 100), "b": (1_000, 10), "c": (4_000, 40)}
     targets = {"a": (0.5, 1), "b": (0.2, 3), "c": (0.3, 2), "none": (0.1, 9)}
-    p = mix_sources.plan(blocks, targets, shard_tokens=3000)
-    size = {s: dict(b) for s, b in blocks.items()}
-    got = dict.fromkeys(blocks, 0)
-    for s, b, _, _, limit in p.instances:
-        got[s] += size[s][b] if limit is None else limit
-    assert len({(s, b, c) for s, b, c, _, _ in p.instances}) == len(p.instances)
-    assert max(c for s, _, c, _, _ in p.instances if s == "b") < 3
-    assert [round(got[s] / sum(got.values()), 3) for s in "abc"] == [0.5, 0.2, 0.3]
-    big = mix_sources.plan(blocks, targets, total=1e9)
-    assert max(c for *_, c, _, _ in big.instances) == 2 and {s for s, *_ in big.instances} == set("abc")
+    total, wanted = mix_sources.targets_of(totals, targets)
+    got = {s: p * totals[s][0] + rest for s, (p, rest) in wanted.items()}
+    assert [round(got[s] / sum(got.values()), 3) for s in "abc"] == [0.5, 0.2, 0.3] and sum(got.values()) == round(total)
+    assert all(p + (rest > 0) <= targets[s][1] for s, (p, rest) in wanted.items())
+    assert mix_sources.targets_of(totals, targets, 1e9)[1] == {"a": (1, 0), "b": (3, 0), "c": (2, 0)}
+
+
+def test_shards_of_fifty_billion_tokens(spark):
+    totals = {"a": (41_000_000_000, 80_000_000), "b": (20_000_000_000, 10_000_000), "c": (900_000_000, 1_000_000)}
+    total, wanted = mix_sources.targets_of(totals, {"a": (0.66, 1), "b": (0.3, 1), "c": (0.04, 4)})
+    counts = mix_sources.sizes(totals)
+    assert max(totals[s][0] / n for s, n in counts.items()) <= mix_sources.SHARD_TOKENS / 4
+    rng = np.random.default_rng(0)
+    quotas = []
+    for s, (passes, rest) in wanted.items():
+        q = mix_sources.Quota(s, counts[s], passes, rest * counts[s] // totals[s][0], order=mix_sources.permutation(counts[s], rng))
+        q.turn = mix_sources.permutation(q.copies, rng)
+        quotas.append(q)
+    df = mix_sources.block_copies(spark, quotas, total)
+    by = df.groupBy("shard").count().toPandas()
+    shards = math.ceil(total / mix_sources.SHARD_TOKENS)
+    assert len(by) == shards > 10_000
+    tokens = by["count"] * (sum(q.copies * totals[q.source][0] / q.blocks for q in quotas) / by["count"].sum())
+    assert (abs(tokens - total / shards) <= 0.05 * mix_sources.SHARD_TOKENS).all()
+    assert df.count() == df.select("source", "block", "copy").distinct().count() == sum(q.copies for q in quotas)
 
 
 def test_mixing_a_table(spark):
@@ -174,6 +200,7 @@ def test_mixing_a_table(spark):
     assert abs(share["a"] - 0.7) < 0.02
     again = mix_sources.mix(docs.repartition(5), targets, block_tokens=50, shard_tokens=1000).toPandas()
     pd.testing.assert_frame_equal(out.sort_values(["shard", "position"], ignore_index=True), again.sort_values(["shard", "position"], ignore_index=True))
+    assert all(r.meets and r.within for r in mix_sources.reached(spark.createDataFrame(out), docs, targets).collect())
     report = {r.source: r for r in mix_sources.shares(spark.createDataFrame(out), targets).collect()}
     assert report["empty"].share == 0.0 and report["b"].repeats == out[out.source == "b"].groupby("doc_id").size().max()
     assert mix_sources.mix(docs.limit(0), targets).count() == 0 and mix_sources.mix(docs, targets.limit(0)).count() == 0
