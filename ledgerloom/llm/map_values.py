@@ -2,12 +2,12 @@
 
 Distinct values are normalised and looked up in an inverted index of the reference names' features: character n-grams
 of every word, of its consonant skeleton (for dropped vowels) and its prefixes (for abbreviations), weighted by inverse
-reference frequency. The best entry within the value's scope is accepted if its weighted cosine and its margin over the
-next entry are large enough; everything else is reported as unmatched. A value whose every word abbreviates or misspells
-a word of the entry of its own is accepted from a lower cosine on.
+frequency over the whole reference. The best entry within the value's scope is accepted if its weighted cosine and its
+margin over the next code are large enough; everything else is reported as unmatched. A value whose every word
+abbreviates or misspells a word of the best entry of its own is accepted from a lower cosine on.
 
-The reference is held in memory in blocks of `REFERENCE_BLOCK` entries; for a larger list every block is scored and the
-best entries of the blocks are merged, so no candidate is dropped.
+The index is a table. Up to `POSTINGS_IN_MEMORY` postings (counted before they are sent) tasks score with a copy of it;
+a larger index meets the values' features in a join. Both ways give the same scores, up to the last digits.
 
 Defined cases: a null or empty value is unmatched; values that normalise to nothing are unmatched; equal scores leave no
 margin, hence no match; repeated rows get the same entry; an empty table gives an empty result and an empty reference
@@ -20,17 +20,20 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import plain
+from ledgerloom.session import keep
 
 THRESHOLD, MARGIN = 0.6, 0.03
 #: For values whose words are all explained by the entry.
 EXPLAINED, EXPLAINED_MARGIN = 0.2, 0.015
-REFERENCE_BLOCK = 20_000
+#: Postings that are sent to the executors (about 200 MB there); more of them meet the values by a join.
+POSTINGS_IN_MEMORY = 1_000_000
 NONE = "NONE"
 
 # Words that carry no meaning in an item name.
@@ -103,10 +106,20 @@ def explains(value: list[str], entry: list[str]) -> bool:
         most = 2 if len(e) > 7 else 1
         return abbreviates(v, e) or (len(v) > 3 and edits(v, e, most) <= most)
 
-    def pair(v: list[str], left: list[str]) -> bool:
-        return not v or any(fits(v[0], e) and pair(v[1:], left[:i] + left[i + 1 :]) for i, e in enumerate(left))
+    # Words are paired off by augmenting paths, in a time that is a power of their number.
+    of: dict[int, int] = {}
+    near = [[i for i, e in enumerate(entry) if fits(v, e)] for v in value]
+
+    def paired(k: int, seen: set[int]) -> bool:
+        for i in near[k]:
+            if i not in seen:
+                seen.add(i)
+                if i not in of or paired(of[i], seen):
+                    of[i] = k
+                    return True
+        return False
 
-    return pair(value, entry)
+    return all(paired(k, set()) for k in range(len(value)))
 
 
 def features(value: str) -> Counter:
@@ -135,73 +148,104 @@ def features(value: str) -> Counter:
     return f
 
 
+def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Features of texts: id, feature, weight (the root of its count)."""
+    for pdf in batches:
+        out = [(i, g, math.sqrt(x)) for i, t in zip(pdf["id"], pdf["text"], strict=True) for g, x in features(t).items()]
+        yield pd.DataFrame(out, columns=["id", "feature", "weight"])
+
+
+@dataclass
 class Index:
-    """Inverted index of one block of the reference."""
-
-    def __init__(self, rows: list[tuple[str, str, list[str] | None]]):
-        self.rows = rows  # code, name, scopes
-        self.words = [words_of(name) for _, name, _ in rows]
-        vectors = [features(name) for _, name, _ in rows]
-        seen = Counter(g for v in vectors for g in v)
-        n = len(rows)
-        self.idf = {g: math.log(1 + n / c) for g, c in seen.items()}
-        self.rare = math.log(1 + n)
-        self.postings: dict[str, list[tuple[int, float]]] = {}
-        for i, v in enumerate(vectors):
-            weights = {g: math.sqrt(x) * self.idf[g] for g, x in v.items()}
-            norm = math.sqrt(sum(x * x for x in weights.values())) or 1.0
-            for g, x in weights.items():
-                self.postings.setdefault(g, []).append((i, x / norm))
-
-    def best(self, value: str, scope: str | None, top: int = 2) -> list[tuple[float, str, bool]]:
-        """The best codes within the scope with their cosines and whether a name explains the value, best first."""
-        v = features(value)
-        weights = {g: math.sqrt(x) * self.idf.get(g, self.rare) for g, x in v.items()}
-        norm = math.sqrt(sum(x * x for x in weights.values()))
-        if not norm:
-            return []
-        score: dict[int, float] = {}
-        for g, x in weights.items():
-            for i, y in self.postings.get(g, ()):
-                score[i] = score.get(i, 0.0) + x * y
-        codes: dict[str, tuple[float, int]] = {}
-        for i, x in score.items():
-            code, _, scopes = self.rows[i]
-            if scope is None or scopes is None or scope in scopes:
-                codes[code] = max(codes.get(code, (0.0, 0)), (x / norm, i))
-        best = sorted(((x, c, i) for c, (x, i) in codes.items()), key=lambda p: (-p[0], p[1]))[:top]
-        own = words_of(value)
-        return [(x, c, explains(own, self.words[i])) for x, c, i in best]
-
-
-def _score(index: Index):
+    """The reference as tables: entries (entry, code, name, scopes), idf (feature, idf) and postings (feature, entry, y)."""
+
+    entries: DataFrame
+    idf: DataFrame
+    postings: DataFrame
+    #: Weight of a feature that no entry has.
+    rare: float
+
+
+def index_of(reference: DataFrame) -> Index:
+    """The inverted index of reference names (code, name, scopes); frequencies are those of the whole reference."""
+    rows = reference.where("code IS NOT NULL AND name IS NOT NULL").select("code", "name", "scopes").distinct()
+    entries = keep(rows.withColumn("entry", F.monotonically_increasing_id()), "entries")
+    n = entries.count()
+    found = keep(entries.select(F.col("entry").alias("id"), F.col("name").alias("text")).mapInPandas(_features, "id long, feature string, weight double"), "features")
+    idf = keep(found.groupBy("feature").agg(F.log(1 + F.lit(float(n)) / F.count("*")).alias("idf")), "idf")
+    weighted = found.join(idf, "feature").select("feature", F.col("id").alias("entry"), (F.col("weight") * F.col("idf")).alias("x"))
+    norm = weighted.groupBy("entry").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    postings = keep(weighted.join(norm, "entry").select("feature", "entry", (F.col("x") / F.col("norm")).alias("y")), "postings")
+    return Index(entries, idf, postings, math.log(1 + n))
+
+
+def _score(shared, rare: float):
+    """The two best codes of every value, from a copy of the index."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        idf, postings, rows = shared.value
         for pdf in batches:
             out = []
-            for key, value, scope in zip(pdf["ll_raw"], pdf["ll_value"], pdf["ll_scope"], strict=True):
-                out += [(key, scope, code, score, whole) for score, code, whole in index.best(value, scope)]
-            if out:
-                yield pd.DataFrame(out, columns=["ll_raw", "ll_scope", "code", "score", "whole"])
+            for v, text, scope in zip(pdf["id"], pdf["text"], pdf["ll_scope"], strict=True):
+                weights = {g: math.sqrt(x) * idf.get(g, rare) for g, x in features(text).items()}
+                norm = math.sqrt(sum(x * x for x in weights.values()))
+                score: dict[int, float] = {}
+                for g, x in weights.items():
+                    for i, y in postings.get(g, ()):
+                        score[i] = score.get(i, 0.0) + x * y
+                codes: dict[str, tuple[float, int]] = {}
+                for i, x in score.items():
+                    code, scopes = rows[i]
+                    if scope is None or scopes is None or scope in scopes:
+                        codes[code] = max(codes.get(code, (0.0, 0)), (x / norm, i))
+                out += [(v, c, x, i) for c, (x, i) in sorted(codes.items(), key=lambda p: (-p[1][0], p[0]))[:2]]
+            yield pd.DataFrame(out, columns=["id", "code", "score", "entry"])
 
     return run
 
 
-def matched_values(values: DataFrame, reference: list[tuple[str, str, list[str] | None]], threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
-    """ll_raw, ll_scope, code, score, margin: accepted matches of distinct values (columns ll_raw, ll_scope)."""
-    schema = "ll_raw string, ll_scope string, code string, score double, whole boolean"
-    plain_ = values.select("ll_raw", "ll_scope", plain(F.col("ll_raw")).alias("ll_value"))
-    scored = None
-    for at in range(0, len(reference), REFERENCE_BLOCK):
-        part = plain_.mapInPandas(_score(Index(reference[at : at + REFERENCE_BLOCK])), schema)
-        scored = part if scored is None else scored.unionByName(part)
-    if scored is None:
-        return values.sparkSession.createDataFrame([], "ll_raw string, ll_scope string, code string, score double, margin double, whole boolean")
-    # At most two entries of every block meet here.
-    best = scored.groupBy("ll_raw", "ll_scope").agg(F.sort_array(F.collect_list(F.struct("score", "code", "whole")), asc=False).alias("b"))
-    second = F.coalesce(F.get(F.filter("b", lambda x: x["code"] != F.col("b")[0]["code"]), F.lit(0))["score"], F.lit(0.0))
-    out = best.select("ll_raw", "ll_scope", F.col("b")[0]["code"].alias("code"), F.col("b")[0]["score"].alias("score"), (F.col("b")[0]["score"] - second).alias("margin"), F.col("b")[0]["whole"].alias("whole"))
+def _scored(values: DataFrame, index: Index, in_memory: int) -> DataFrame:
+    """id, code, score, entry of at least the two best codes of every value (id, text, ll_scope)."""
+    schema = "id long, code string, score double, entry long"
+    if index.postings.count() <= in_memory:
+        postings: dict[str, list[tuple[int, float]]] = {}
+        for g, i, y in index.postings.collect():
+            postings.setdefault(g, []).append((i, y))
+        rows = {r["entry"]: (r["code"], r["scopes"]) for r in index.entries.select("entry", "code", "scopes").collect()}
+        shared = values.sparkSession.sparkContext.broadcast((dict(map(tuple, index.idf.collect())), postings, rows))
+        return values.mapInPandas(_score(shared, index.rare), schema)
+    found = keep(values.mapInPandas(_features, "id long, feature string, weight double"), "value_features")
+    weighted = found.join(index.idf, "feature", "left").select("id", "feature", (F.col("weight") * F.coalesce("idf", F.lit(index.rare))).alias("x"))
+    norm = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    sums = weighted.join(index.postings, "feature").groupBy("id", "entry").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
+    j = sums.join(norm, "id").join(values.select("id", "ll_scope"), "id").join(index.entries.select("entry", "code", "scopes"), "entry")
+    j = j.where("ll_scope IS NULL OR scopes IS NULL OR array_contains(scopes, ll_scope)")
+    codes = j.groupBy("id", "code").agg(F.max(F.struct((F.col("s") / F.col("norm")).alias("score"), "entry")).alias("m")).select("id", "code", "m.score", "m.entry")
+    best = Window.partitionBy("id").orderBy(F.desc("score"), "code")
+    return codes.withColumn("rank", F.row_number().over(best)).where("rank <= 2").select("id", "code", "score", "entry")
+
+
+def _explained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pdf[[explains(words_of(t), words_of(n)) for t, n in zip(pdf["text"], pdf["name"], strict=True)]][["id", "code", "score", "margin"]]
+
+
+def matched_values(values: DataFrame, reference: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN, in_memory: int = POSTINGS_IN_MEMORY) -> DataFrame:
+    """ll_raw, ll_scope, code, score, margin, by_words: accepted matches of distinct values (columns ll_raw, ll_scope)."""
+    index = index_of(reference)
+    # Scoring costs more than its bytes tell, so the adaptive planner must not merge these partitions.
+    tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = keep(values.repartition(tasks).select(F.monotonically_increasing_id().alias("id"), "ll_raw", "ll_scope", plain(F.col("ll_raw")).alias("text")), "values")
+    # At most two codes of every value meet here.
+    two = _scored(named, index, in_memory).groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.round(-F.col("score"), 9).alias("s"), "code", "entry"))).alias("b"))
+    second = F.coalesce(-F.get("b", F.lit(1))["s"], F.lit(0.0))
+    best = keep(two.select("id", F.col("b")[0]["code"].alias("code"), (-F.col("b")[0]["s"]).alias("score"), (-F.col("b")[0]["s"] - second).alias("margin"), F.col("b")[0]["entry"].alias("entry")), "best")
     sure = (F.col("score") >= threshold) & (F.col("margin") >= margin)
-    return out.where(sure | (F.col("whole") & (F.col("score") >= EXPLAINED) & (F.col("margin") >= EXPLAINED_MARGIN)))
+    open_ = best.where(~sure & (F.col("score") >= EXPLAINED) & (F.col("margin") >= EXPLAINED_MARGIN))
+    asked = open_.join(named.select("id", "text"), "id").join(index.entries.select("entry", "name"), "entry").select("id", "code", "score", "margin", "text", "name")
+    by_words = asked.mapInPandas(_explained, "id long, code string, score double, margin double").withColumn("by_words", F.lit(True))
+    both = best.where(sure).select("id", "code", "score", "margin", F.lit(False).alias("by_words")).unionByName(by_words)
+    return named.select("id", "ll_raw", "ll_scope").join(both, "id").drop("id")
 
 
 def mapped(df: DataFrame, key: str, value: Column, scope: Column, reference: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
@@ -209,11 +253,8 @@ def mapped(df: DataFrame, key: str, value: Column, scope: Column, reference: Dat
 
     reference: columns code, name, scopes (array or null).
     """
-    entries = [(r["code"], r["name"], r["scopes"]) for r in reference.where("code IS NOT NULL AND name IS NOT NULL").orderBy("code", "name").toLocalIterator()]
     rows = df.select(F.col(key), value.cast("string").alias("ll_raw"), scope.cast("string").alias("ll_scope"))
-    # Scoring costs more than its bytes tell, so the adaptive planner must not merge these partitions.
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    values = rows.where("ll_raw IS NOT NULL").select("ll_raw", "ll_scope").distinct().repartition(tasks)
-    found = matched_values(values, entries, threshold, margin)
+    values = rows.where("ll_raw IS NOT NULL").select("ll_raw", "ll_scope").distinct()
+    found = matched_values(values, reference, threshold, margin)
     same = (rows["ll_raw"] == found["ll_raw"]) & rows["ll_scope"].eqNullSafe(found["ll_scope"])
     return rows.join(found, same, "left").select(F.col(key), F.coalesce("code", F.lit(NONE)).alias("code"), F.coalesce("score", F.lit(0.0)).alias("score"))

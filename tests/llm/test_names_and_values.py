@@ -78,15 +78,22 @@ def test_held_out_names(spark):
 ITEMS = [("F1", "Total assets", ["p"]), ("F2", "Total liabilities", ["p"]), ("F3", "Pledged shares", ["h"]), ("F4", "자산총계", ["p"]), ("F5", "Stake before report", ["h"]), ("F6", "Stake after report", ["h"])]
 
 
-@pytest.mark.parametrize(
-    ("value", "scope", "code"),
-    [("3) TotalAssets (단위: 원)", "p", "F1"), ("Liabilities, total", "p", "F2"), ("TOTAL LIABILITIES TOTAL [note 3]", "p", "F2"), ("tot. liabs", "p", "F2"), ("Pldgd shrs", "h", "F3"), ("자 산 총 게", "p", "F4"), ("Stake bfre rprt", "h", "F5"),
-     ("Total assets", "h", None), ("other Elevator inspection", "p", None), ("", "p", None), ("※", "h", None), ("Assets of the canteen", "p", None)],
-)
-def test_values_are_mapped(value, scope, code):
-    best = map_values.Index(ITEMS).best(value, scope)
-    ok = best and (best[0][0] >= map_values.THRESHOLD and best[0][0] - (best[1][0] if len(best) > 1 else 0) >= map_values.MARGIN or best[0][2])
-    assert (best[0][1] if ok else None) == code
+CASES = [("3) TotalAssets (단위: 원)", "p", "F1"), ("Liabilities, total", "p", "F2"), ("TOTAL LIABILITIES TOTAL [note 3]", "p", "F2"), ("tot. liabs", "p", "F2"), ("Pldgd shrs", "h", "F3"), ("자 산 총 게", "p", "F4"), ("Stake bfre rprt", "h", "F5"),
+     ("Total assets", "h", None), ("other Elevator inspection", "p", None), ("", "p", None), ("※", "h", None), ("Assets of the canteen", "p", None)]
+
+
+@pytest.mark.parametrize("in_memory", [map_values.POSTINGS_IN_MEMORY, 0])
+def test_values_are_mapped(spark, in_memory):
+    """With a copy of the index in every task, and by a join."""
+    values = spark.createDataFrame([c[:2] for c in CASES], "ll_raw string, ll_scope string")
+    ref = spark.createDataFrame(ITEMS, "code string, name string, scopes array<string>")
+    got = {(r.ll_raw, r.ll_scope): r.code for r in map_values.matched_values(values, ref, in_memory=in_memory).collect()}
+    assert got == {(v, sc): c for v, sc, c in CASES if c}
+
+
+def test_words_pair_off():
+    assert map_values.explains(["tot", "assets"], ["assets", "total"]) and not map_values.explains(["tot", "tot"], ["total", "assets"])
+    assert not map_values.explains(["a"] * 40, ["ab"] * 39 + ["b"])
 
 
 def test_mapping_a_table(spark):
@@ -101,13 +108,6 @@ def test_mapping_a_table(spark):
     assert set(run(df, ref.limit(0)).values()) == {"NONE"}
 
 
-def test_reference_in_blocks(spark, monkeypatch):
-    values = spark.createDataFrame([("Total assets", "p"), ("Total liabs", "p"), ("Shares pledged", "h")], "ll_raw string, ll_scope string")
-    monkeypatch.setattr(map_values, "REFERENCE_BLOCK", 2)
-    got = {r.ll_raw: r.code for r in map_values.matched_values(values, ITEMS).collect()}
-    assert got == {"Total assets": "F1", "Total liabs": "F2", "Shares pledged": "F3"}
-
-
 FACTS = "fact_id long, doc_id string, correction_group_id string, field_code string, filing_date string, value_text string, value_owner string, is_latest boolean"
 
 
