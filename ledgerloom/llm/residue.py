@@ -1,6 +1,7 @@
 """Problem 10: template residue and error-page text.
 
-Three kinds of evidence are combined; the first two know no words.
+The texts are read once, in Arrow batches; what is kept of a document are flags and the hashes of its lines' shapes. Three
+kinds of evidence are combined; the first two know no words.
 
 * Host evidence: every document is cut into lines, a line's shape is its text without case, figures and spacing. A
   document is a low-information response if it holds few different terms and none of them occurs in its address slug
@@ -21,7 +22,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.session import keep
@@ -88,6 +89,9 @@ DETECTORS: dict[str, list[tuple[str, str]]] = {
 # Names between single signs: %corp_name%, @sign_off@.
 _NAMES = re.compile(r"(?<![\w%])%[a-z][a-z_]{2,}%(?!\w)|(?<!\w)@[a-z][a-z_]{2,}@(?!\w)")
 _SPACE = re.compile(r"[^\S\n]+")
+_LINE, _TERM, _SENTENCE = re.compile(r"\n| \| "), re.compile(r"[^\W\d_]+"), re.compile(r"[.!?。]\s*$")
+#: What differs between copies of one response: words with figures, spacing, brackets.
+_VARIES = re.compile(r"(?:(?<!\w)[^\W\d]*+\d\w*|[\s._|()\[\]])+")
 
 
 def _compiled():
@@ -119,76 +123,74 @@ def kinds_of(text: str, auto=None) -> list[str]:
     return [k for k in DETECTORS if k in hit]
 
 
-def _detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    auto = _compiled()
-    for pdf in batches:
-        found = [kinds_of(t, auto) for t in pdf["text"]]
-        hits = [(d, ",".join(f)) for d, f in zip(pdf["doc_id"], found, strict=True) if f]
-        if hits:
-            yield pd.DataFrame(hits, columns=["doc_id", "kinds"])
+def shape_of(line: str) -> str:
+    """A line (in lower case) without words with figures, spacing and brackets."""
+    return _VARIES.sub(" ", line).strip()
 
 
-def _terms(c: Column) -> Column:
-    """Different terms of a text: runs of letters, in lower case."""
-    return F.array_distinct(F.array_remove(F.split(F.lower(c), r"[^\p{L}]+"), ""))
+def repeats(line: str) -> bool:
+    """Whether a line has many words that are mostly the same few ones."""
+    words = _TERM.findall(line)
+    return len(words) >= RUN and len(set(words)) <= DIFFERENT * len(words)
 
 
-def _lines(text: Column) -> Column:
-    return F.split(text, r"\n| \| ")
+def read(text: str, title: str | None, slug: str | None) -> tuple[bool, bool, list[str]]:
+    """Whether the text repeats itself, whether it is a low-information response that shares no term with slug and title, and the shapes of its body.
 
+    The body leaves out a title line: a short first line that shares a term with slug or title and is no sentence.
+    """
+    lines = [x for x in _LINE.split(text.lower()) if x and not x.isspace()]
+    own = set(_TERM.findall(f"{title or ''} {slug or ''}".lower()))
+    if len(lines) > 1 and len(lines[0]) <= TITLE:
+        first = set(_TERM.findall(lines[0]))
+        if first & own and (first <= own or not _SENTENCE.search(lines[0])):
+            del lines[0]
+    terms: set[str] = set()
+    for line in lines:
+        if len(terms) > TERMS:
+            break
+        terms.update(_TERM.findall(line))
+    shapes = {shape_of(x) for x in lines}
+    shapes.discard("")
+    return any(map(repeats, lines)), 0 < len(terms) <= TERMS and not terms & own, sorted(shapes)
 
-def _shape(line: Column) -> Column:
-    """A line without case, words with figures, spacing and outer punctuation."""
-    bare = F.regexp_replace(F.lower(line), r"(?<![\p{L}_0-9])[\p{L}_]*+[0-9][\p{L}_0-9]*", "9")
-    return F.regexp_replace(F.regexp_replace(bare, r"(?U)[\s._]+", " "), r"^[ |()\[\]]+|[ |()\[\]]+$", "")
 
+def _look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import xxhash
 
-def _body(docs: DataFrame) -> DataFrame:
-    """Adds own, the terms of slug and title, and body, the lines without a title line: a short first line that shares a term with them and is no sentence."""
-    own = F.coalesce(_terms(F.concat_ws(" ", "company", "report_id")), F.array().cast("array<string>"))
-    lines = docs.withColumns({"own": own, "body": _lines(F.col("text"))})
-    first = F.get("body", F.lit(0))
-    ends = first.rlike(r"[.!?。]\s*$") & (F.size(F.array_except(_terms(first), "own")) > 0)
-    title = F.arrays_overlap(_terms(first), "own") & (F.length(first) <= TITLE) & ~ends & (F.size("body") > 1)
-    return lines.withColumn("body", F.when(F.coalesce(title, F.lit(False)), F.slice("body", 2, F.size("body"))).otherwise(F.col("body")))
+    auto = _compiled()
+    for pdf in batches:
+        out = []
+        for doc, text, title, slug in zip(pdf["doc_id"], pdf["text"], pdf["company"], pdf["report_id"], strict=True):
+            same, low, shapes = read(text, title, slug)
+            kinds = kinds_of(text, auto) + ["repetition"] * same
+            out.append((doc, title or "", low, [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in shapes], kinds))
+        yield pd.DataFrame(out, columns=["doc_id", "title", "low", "shapes", "kinds"])
 
 
-def _shapes(docs: DataFrame, *carry: str) -> DataFrame:
-    """The columns of carry with the hash of every different shape of a document's body."""
-    shapes = F.array_remove(F.array_distinct(F.transform("body", lambda x: _shape(x))), "")
-    return docs.select(*carry, F.explode(F.transform(shapes, lambda x: F.xxhash64(x))).alias("shape"))
+def looked_at(docs: DataFrame) -> DataFrame:
+    """doc_id, title, low, shapes (hashes), kinds: what one pass over the texts tells about every document."""
+    rows = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "company", "report_id")
+    return keep(rows.mapInPandas(_look, "doc_id long, title string, low boolean, shapes array<long>, kinds array<string>"), "looked")
 
 
-def residue_shapes(docs: DataFrame) -> DataFrame:
-    """doc_id, shape: the lines of the documents whose shape is residue by host evidence."""
-    rows = _body(docs.where("text IS NOT NULL").select("doc_id", "text", "company", "report_id"))
-    terms = _terms(F.array_join("body", "\n"))
-    low = rows.where((F.size(terms) <= TERMS) & ~F.arrays_overlap(terms, "own"))
+def residue_shapes(seen: DataFrame) -> DataFrame:
+    """doc_id, shape: the lines of the documents whose shape is residue by host evidence. seen: looked_at()."""
     # Responses are few, so only their shapes are gathered; then the lines of all documents are looked up among these.
-    seeds = _shapes(low, "company").groupBy("shape").agg(F.count("*").alias("alone"), F.approx_count_distinct(F.coalesce("company", F.lit(""))).alias("titles"))
-    seeds = keep(seeds.where(f"alone >= {COPIES} AND titles >= {TITLES}").select("shape", "alone"), "shapes")
+    alone = seen.where("low").select("title", F.explode("shapes").alias("shape")).groupBy("shape").agg(F.count("*").alias("alone"), F.approx_count_distinct("title").alias("titles"))
+    seeds = keep(alone.where(f"alone >= {COPIES} AND titles >= {TITLES}").select("shape", "alone"), "shapes")
     small = seeds.count() <= BROADCAST_SHAPES
-    wanted = F.broadcast(seeds) if small else seeds
-    hits = keep(_shapes(rows, "doc_id").join(wanted, "shape"), "lines")
+    hits = keep(seen.select("doc_id", F.explode("shapes").alias("shape")).join(F.broadcast(seeds) if small else seeds.hint("merge"), "shape"), "lines")
     often = hits.groupBy("shape").agg(F.count("*").alias("docs"), F.max("alone").alias("alone")).where(F.col("alone") >= ALONE * F.col("docs")).select("shape")
-    return hits.join(F.broadcast(often) if small else often, "shape", "left_semi").select("doc_id", "shape")
-
-
-def repeating(docs: DataFrame) -> DataFrame:
-    """doc_id of documents with a line of many words that are mostly the same few ones."""
-    words = lambda x: F.array_remove(F.split(F.lower(x), r"(?U)\s+"), "")
-    lettered = lambda x: F.filter(words(x), lambda w: w.rlike(r"\p{L}"))
-    few = lambda x: (F.size(lettered(x)) >= RUN) & (F.size(F.array_distinct(lettered(x))) <= DIFFERENT * F.size(lettered(x)))
-    return docs.where("text IS NOT NULL").where(F.exists(_lines(F.col("text")), few)).select("doc_id")
+    return hits.join(F.broadcast(often) if small else often.hint("merge"), "shape", "left_semi").select("doc_id", "shape")
 
 
 def flagged(docs: DataFrame) -> DataFrame:
     """doc_id, kinds: documents that are or contain residue, with the kinds found ('host' and 'repetition' by evidence without words)."""
-    direct = docs.select("doc_id", "text").where("text IS NOT NULL").mapInPandas(_detect, "doc_id long, kinds string")
-    host = residue_shapes(docs).select("doc_id", F.lit("host").alias("kinds"))
-    same = repeating(docs).select("doc_id", F.lit("repetition").alias("kinds"))
-    both = direct.unionByName(host).unionByName(same).groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("kinds")), ",").alias("kinds"))
-    return both
+    seen = looked_at(docs)
+    direct = seen.select("doc_id", F.explode("kinds").alias("kind"))
+    both = direct.union(residue_shapes(seen).select("doc_id", F.lit("host")))
+    return both.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("kinds"))
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
