@@ -83,6 +83,11 @@ def p6_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivor.merged_records(table(spark, sf_dir, "facts"), table(spark, sf_dir, "manifest"))
 
 
+def p6_trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As p6_merged, but filings that carry the register's company code are trusted before those keyed in by hand."""
+    return survivor.merged_records(table(spark, sf_dir, "facts"), table(spark, sf_dir, "manifest"), F.col("corp_code").isNotNull())
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = split_items.pieces(table(spark, sf_dir, "examples"), "chunk_id", "text", short=False)
     return made.where("piece = 1 AND chunk_id IS NOT NULL").select("chunk_id").distinct()
@@ -140,6 +145,7 @@ QUERIES = {
     "p5_unmatched": p5_unmatched,
     "p6_found": p6_found,
     "p6_merged": p6_merged,
+    "p6_trusted": p6_trusted,
     "p7_found": p7_found,
     "p7_pieces": p7_pieces,
     "p8_found": p8_found,
@@ -166,8 +172,8 @@ d AS (SELECT *, coalesce(own_day, dt, substr(no, 1, 8)) AS day FROM rows)
 """
 
 
-def _best(name: str, states: str) -> str:
-    return f"arg_max({name}, {{'d': day, 'n': no, 'i': -fact_id}}) FILTER (WHERE {states}) AS {name}"
+def _best(name: str, states: str, first: str = "") -> str:
+    return f"arg_max({name}, {{{first}'d': day, 'n': no, 'i': -fact_id}}) FILTER (WHERE {states}) AS {name}"
 
 
 _NARROW = text.NARROW.replace("'", "''")
@@ -193,11 +199,14 @@ cc(id, g) USING KEY (id) AS (
   SELECT k.id, min(low) FROM k JOIN (SELECT v, min(g) AS low FROM k JOIN recurring.cc USING (id) GROUP BY v) USING (v) JOIN recurring.cc r ON r.id = k.id WHERE low < r.g GROUP BY k.id)
 """
 _TEXTS, _REST = ["company", "period", "key", "value_text", "value_unit", "value_date", "unit_code", "unit_value"], ["value_num"]
+_CODED = "'c': (corp_code IS NOT NULL)::INT, "
 ORACLES: dict[str, str] = {
     "p6_found": _DATED
     + f"SELECT correction_group_id, field_code, {_best('fact_id', _STATES.format('value_text'))} FROM d GROUP BY ALL HAVING count(*) > 1 AND bool_or({_STATES.format('value_text')})",
     "p6_merged": _DATED
     + f"SELECT correction_group_id, field_code, count(*) AS n_records, {', '.join([*(_best(n, _STATES.format(n)) for n in _TEXTS), *(_best(n, n + ' IS NOT NULL') for n in _REST)])} FROM d GROUP BY ALL HAVING count(*) > 1",
+    "p6_trusted": _DATED
+    + f"SELECT correction_group_id, field_code, count(*) AS n_records, {', '.join([*(_best(n, _STATES.format(n), _CODED) for n in _TEXTS), *(_best(n, n + ' IS NOT NULL', _CODED) for n in _REST)])} FROM d GROUP BY ALL HAVING count(*) > 1",
     "p1_found": _PLAIN + "SELECT fact_id, field FROM rows JOIN cases USING (field, value)",
     "p1_unified": _PLAIN + """SELECT f.fact_id, coalesce(a.canonical, f.company) AS company, coalesce(b.canonical, f.key) AS key FROM facts f
 LEFT JOIN cases a ON a.field = 'company' AND a.value = f.company LEFT JOIN cases b ON b.field = 'key' AND b.value = f.key""",

@@ -1,10 +1,11 @@
 """Problem 6: the best representative of each group of duplicate records.
 
-One aggregation takes, for every attribute, the maximum of a struct of (stated, date, filing number, smallest id,
-value); sources have no priority among them: a map-side combined reduction, so a group of any size never sits in one task.
+One aggregation takes, for every attribute, the maximum of a struct of (stated, source priority, date, filing number,
+smallest id, value): a map-side combined reduction, so a group of any size never sits in one task. Where no priority is
+given, sources are equal and the date decides.
 
 Defined cases: records whose group column is null form no group; a value that is null, empty or only says that nothing
-is given isn't stated; a missing date is taken from the catalogue, else from the filing number; ties go to the
+is given isn't stated; a null priority is the lowest; a missing date is taken from the catalogue, else from the filing number; ties go to the
 smallest id; repeated rows change nothing; an empty table gives an empty result; other columns are never read.
 """
 
@@ -59,12 +60,16 @@ def latest_statements(facts: DataFrame, manifest: DataFrame) -> DataFrame:
     return out.where("n_records > 1 AND fact_id IS NOT NULL").select(*group, "fact_id")
 
 
-def merged_records(facts: DataFrame, manifest: DataFrame) -> DataFrame:
-    """One built record per repeated item: each field from the latest filing that states it."""
+def merged_records(facts: DataFrame, manifest: DataFrame, priority: Column | None = None) -> DataFrame:
+    """One built record per repeated item: each field from the filing that states it with the highest priority, and of these the latest.
+
+    priority: an expression over the columns of facts, the greater the more trusted.
+    """
     group = ["correction_group_id", "field_code"]
     names = ["company", "period", "key", "value_text", "value_num", "value_unit", "value_date", "unit_code", "unit_value"]
     own = facts.where("value_owner IS NULL AND correction_group_id IS NOT NULL AND field_code IS NOT NULL")
-    rows = dated(own, manifest, [*group, "fact_id", *names])
+    trust = F.lit(0) if priority is None else F.coalesce(priority.cast("int"), F.lit(-(1 << 31)))
+    rows = dated(own.withColumn("ll_trust", trust), manifest, [*group, "fact_id", "ll_trust", *names])
     kinds = dict(rows.dtypes)
     values = {n: F.when(states(F.col(n)), F.col(n)) if kinds[n] == "string" else F.col(n) for n in names}
-    return survivors(rows, group, values, [F.col("ll_day"), F.col("ll_no"), -F.col("fact_id")]).where("n_records > 1")
+    return survivors(rows, group, values, [F.col("ll_trust"), F.col("ll_day"), F.col("ll_no"), -F.col("fact_id")]).where("n_records > 1")

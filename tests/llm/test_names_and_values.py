@@ -140,6 +140,17 @@ def test_survivors(spark):
     assert survivors(spark, []) == {}
 
 
+def test_trusted_sources_come_first(spark):
+    schema = "fact_id long, doc_id string, correction_group_id string, field_code string, filing_date string, company string, period string, key string, value_text string, value_num double, value_unit string, value_date string, unit_code string, unit_value string, value_owner string, corp_code string, ll_trust int"
+    row = lambda i, day, text, unit, code: (i, f"d_{day}000001", "g", "A", day, "c", None, "k", text, None, unit, None, None, None, None, code, 9)
+    facts = spark.createDataFrame([row(1, "20240101", "5", None, "00"), row(2, "20240105", "6", "won", None), row(3, "20240103", "-", None, "00")], schema)
+    manifest = spark.createDataFrame([], "doc_id string, rcept_dt string")
+    latest, trusted = survivor.merged_records(facts, manifest).first(), survivor.merged_records(facts, manifest, F.col("corp_code").isNotNull()).first()
+    assert (latest.value_text, latest.value_unit, latest.n_records) == ("6", "won", 3)
+    assert (trusted.value_text, trusted.value_unit) == ("5", "won")
+    assert survivor.merged_records(facts, manifest, F.lit(None)).first().value_text == "6"
+
+
 def test_states(spark):
     said = ["5", "domestic", "중앙아시아 3개국", "-1"]
     not_ = [None, "", " ", "--", "–", "N/A", "(해당사항 없음)", "See attachment.", "기재 생략", "to be stated later"]
