@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from ledgerloom.functions.numbers import cagr, growth, ratio, won_factor, won_unit
 
@@ -17,8 +20,8 @@ OPERATIONS = {
 }
 MASKED = ("연평균성장률", "연평균 성장률", "평균성장률", "가중평균", "이동평균", "평균잔존만기")
 CONSOLIDATED, SEPARATE = ("연결", "consolidated"), ("별도", "개별", "separate")
-#: Years aren't checked as figures, and at most so many figures of an answer are.
-MOST_FIGURES = 200
+#: Pools of up to so many figures are searched pair by pair inside the JVM, larger ones sorted, by Arrow batches.
+FEW_FIGURES = 200
 
 
 def wanted_operations(question: str) -> list[str]:
@@ -110,18 +113,46 @@ def winners(rows: DataFrame) -> DataFrame:
 
 
 def figures(text: Column) -> Column:
-    """The distinct figures of a text as doubles, without years, at most MOST_FIGURES."""
+    """The distinct figures of a text as doubles, without years."""
     raw = F.regexp_extract_all(text, F.lit(r"(?<![0-9.,])-?[0-9][0-9,]*(?:\.[0-9]+)?"), F.lit(0))
     numbers = F.array_distinct(F.array_compact(F.transform(raw, lambda x: F.replace(x, F.lit(",")).try_cast("double"))))
     year = lambda x: x.between(1900, 2100) & (x == F.floor(x))
-    return F.slice(F.filter(numbers, lambda x: ~year(x)), 1, MOST_FIGURES)
+    return F.filter(numbers, lambda x: ~year(x))
+
+
+def _hits(t: float, half: float, percent: bool, pool: np.ndarray) -> bool:
+    """Whether two different figures of a sorted pool give t: for every one, the partners in reach are looked up."""
+    tol = half + abs(t) * 1e-9
+    if percent:
+        b = pool[pool != 0]
+        near = [(b, b * t / 100, tol * np.abs(b) / 100), (b, b + np.abs(b) * t / 100, tol * np.abs(b) / 100)]
+    else:
+        near = [(pool, pool + t, np.full(len(pool), tol)), (pool, t - pool, np.full(len(pool), tol))]
+    for own, want, reach in near:
+        slack = reach * (1 + 1e-9) + np.abs(want) * 1e-12
+        low, high = np.searchsorted(pool, want - slack, "left"), np.searchsorted(pool, want + slack, "right")
+        for i in np.flatnonzero(high > low):
+            b, a = own[i], pool[low[i] : high[i]]
+            if percent:
+                ok = (np.abs(a / b * 100 - t) <= tol) | (np.abs((a - b) / np.abs(b) * 100 - t) <= tol)
+            else:
+                ok = (np.abs(a - b - t) <= tol) | (np.abs(a + b - t) <= tol)
+            if (ok & (a != b)).any():
+                return True
+    return False
+
+
+@F.pandas_udf(BooleanType())
+def _derivable_sorted(target: pd.Series, half: pd.Series, percent: pd.Series, pool: pd.Series) -> pd.Series:
+    sorted_ = [np.unique(np.asarray(p, dtype=np.float64)) for p in pool]
+    return pd.Series([False if pd.isna(t) else _hits(t, h, bool(c), p) for t, h, c, p in zip(target, half, percent, sorted_, strict=True)])
 
 
 def derivable(checks: DataFrame) -> DataFrame:
     """Whether a target figure follows from two figures of the pool: a ratio or change in percent if percent is true, else a sum or difference.
 
-    checks: id, target, places (digits shown), percent, pool (array of doubles). The pairs of a pool are formed inside its
-    row; the pool is bounded by figures().
+    checks: id, target, places (digits shown), percent, pool (array of doubles). Pools of up to FEW_FIGURES are tried pair by
+    pair inside their row; larger ones are sorted and every figure's partners looked up, with the same result.
     """
     half = 0.5 * F.pow(F.lit(10.0), -F.col("places"))
     tol = half + F.abs("target") * 1e-9
@@ -133,7 +164,9 @@ def derivable(checks: DataFrame) -> DataFrame:
         return F.coalesce(F.when(F.col("percent"), share).otherwise(plain), F.lit(False))
 
     found = F.exists("pool", lambda a: F.exists("pool", lambda b: (a != b) & hit(a, b)))
-    return checks.withColumn("derived", found)
+    large = F.size("pool") > FEW_FIGURES
+    few = checks.where(~F.coalesce(large, F.lit(False))).withColumn("derived", found)
+    return few.unionByName(checks.where(large).withColumn("derived", _derivable_sorted("target", half, F.coalesce("percent", F.lit(False)), "pool")))
 
 
 def rescaled(checks: DataFrame) -> DataFrame:

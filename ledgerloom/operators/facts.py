@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.dates import filing_day, matches_period
-from ledgerloom.functions.numbers import symbol_key
+from ledgerloom.functions.numbers import name_key, symbol_key
+from ledgerloom.session import keep
 
 # Financial items that a holders' section states for the largest holder, not for the filer.
 HOLDER_SECTIONS = ["주주에 관한 사항", "Holders"]
@@ -162,18 +163,34 @@ def lookup_many(facts: DataFrame, specs: DataFrame, limit: int = 10) -> DataFram
     """
     option = {n: F.coalesce(F.col(n), F.lit(v)).cast(t) if n in specs.columns else F.lit(v).cast(t) for n, (v, t) in SPEC.items()}
     s = specs.select("query_id", F.col("company").alias("q_company"), F.col("key").alias("q_key"), F.col("period").alias("q_period"), *[c.alias(f"q_{n}") for n, c in option.items()])
-    rows = with_day(facts).join(s, F.col("company") == F.col("q_company"))
-    rows = rows.where(~F.col("q_latest_only") | F.col("is_latest").isNull() | F.col("is_latest"))
-    rows = rows.where(~F.col("q_corrections_only") | F.col("is_correction")).where(F.col("q_doc_group").isNull() | (F.col("doc_group") == F.col("q_doc_group")))
-    rows = rows.where(F.when(F.col("q_value_owner") == "any", True).when(F.col("q_value_owner") == "other", third_party()).when(F.col("q_value_owner") == "self", ~third_party()))
-    exact = F.col("key_norm") == F.col("q_key")
-    partial = F.contains(F.lower("key_norm"), F.lower("q_key")) | F.contains(F.lower("key"), F.lower("q_key"))
+    day = with_day(facts)
+
+    def admitted(rows: DataFrame) -> DataFrame:
+        rows = rows.where(~F.col("q_latest_only") | F.col("is_latest").isNull() | F.col("is_latest"))
+        rows = rows.where(~F.col("q_corrections_only") | F.col("is_correction")).where(F.col("q_doc_group").isNull() | (F.col("doc_group") == F.col("q_doc_group")))
+        return rows.where(F.when(F.col("q_value_owner") == "any", True).when(F.col("q_value_owner") == "other", third_party()).when(F.col("q_value_owner") == "self", ~third_party()))
+
     none, q = F.coalesce(F.length("period") == 0, F.lit(True)), F.col("q_period")
     of_year = F.coalesce(F.col("period").startswith(F.concat(q, F.lit("-"))), F.lit(False)) | (none & F.col("day").startswith(q))
     month = lambda near: F.coalesce(F.col("period") == q, F.lit(False)) | (none & F.col("day").startswith(near))
     narrow = q.isNull() | F.when(F.length(q) == 4, of_year).otherwise(month(F.replace(q, F.lit("-"))))
     wide = q.isNull() | F.when(F.length(q) == 4, of_year).otherwise(month(F.substring(q, 1, 4)))
-    hits = first_tier(rows, [(0, exact & narrow), (1, exact & wide), (2, partial & narrow), (3, partial & wide)], ["query_id"])
+
+    def tagged(rows: DataFrame, first: int) -> DataFrame:
+        return admitted(rows).withColumn("tier", F.when(narrow, F.lit(first)).when(wide, F.lit(first + 1))).where("tier IS NOT NULL")
+
+    # Most lookups end with facts of exactly their item: company and item are the join key, so a large filer's facts don't all meet its questions.
+    exact = keep(tagged(day.join(s, (F.col("company") == F.col("q_company")) & (F.col("key_norm") == F.col("q_key"))), 0), "exact")
+    rest = s.join(exact.select("query_id").distinct(), "query_id", "left_anti")
+    # The others look for their item within the distinct spellings of the company's items, and then for the facts of those.
+    spelled = day.select(F.col("company").alias("s_company"), F.col("key_norm").alias("s_norm"), F.col("key").alias("s_key")).distinct()
+    inside = F.contains(F.lower("s_norm"), F.lower("q_key")) | F.contains(F.lower("s_key"), F.lower("q_key"))
+    of = rest.join(spelled, F.col("s_company") == F.col("q_company")).where(inside).drop("s_company")
+    same = (F.col("company") == F.col("q_company")) & F.col("key_norm").eqNullSafe(F.col("s_norm")) & F.col("key").eqNullSafe(F.col("s_key"))
+    partial = keep(tagged(day.join(of, same).drop("s_norm", "s_key"), 2), "partial")
+    both = exact.unionByName(partial)
+    low = both.groupBy("query_id").agg(F.min("tier").alias("low"))
+    hits = both.join(low, "query_id").where("tier = low").drop("low")
     by_value = lambda name: F.when(F.col("q_order_by") == name, F.col("value_num"))
     w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last(by_value("value_desc")), F.asc_nulls_last(by_value("value_asc")), F.desc_nulls_last("day"), "fact_id")
     out = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.coalesce("q_most", F.lit(limit)))
@@ -296,6 +313,12 @@ def is_bad_key(key: Column) -> Column:
     return ~F.coalesce(is_meaningful_key(key), F.lit(False)) | key.rlike(r"[?!。]|다\.$") | (F.length(key) > 30)
 
 
-def is_parse_artifact(key: Column, companies: DataFrame | None = None) -> Column:
-    """Keys that are pieces of values: overlong, long digit runs, legal forms, report labels."""
+def company_keys(rows: DataFrame, companies: DataFrame) -> DataFrame:
+    """Rows (key) whose key is the name of a company (name): pieces of values as well."""
+    names = companies.select(name_key(F.col("name")).alias("ll_name")).where("ll_name <> ''").distinct()
+    return rows.join(names, name_key(F.col("key")) == F.col("ll_name"), "left_semi")
+
+
+def is_parse_artifact(key: Column) -> Column:
+    """Keys that are pieces of values: overlong, long digit runs, legal forms, report labels; see also company_keys()."""
     return (F.length(key) > 60) | key.rlike(r"[0-9]{3}") | key.rlike(r"(?i)주식회사|\(주\)|㈜|\b(?:inc|ltd|corp|plc)\b") | key.rlike(r"보고서$|(?i)report$")

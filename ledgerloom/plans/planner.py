@@ -173,9 +173,9 @@ def decompose(planned: DataFrame) -> DataFrame:
 def sufficiency(planned: DataFrame, subs: DataFrame, hits: DataFrame, found: DataFrame) -> DataFrame:
     """query_id, n_hits, missing, empty_targets, sufficient: what a pass has found.
 
-    planned: query_id, expected_fields; subs: decompose(); hits: query_id, sub_id rows; found: query_id, item (from texts and facts alike).
+    planned: query_id, expected_fields; subs: decompose(); hits: query_id, sub_id rows (or counts of them, n); found: query_id, item (from texts and facts alike).
     """
-    per = hits.groupBy("query_id", "sub_id").agg(F.count("*").alias("n"))
+    per = hits.groupBy("query_id", "sub_id").agg((F.sum("n") if "n" in hits.columns else F.count("*")).alias("n"))
     s = subs.join(per, ["query_id", "sub_id"], "left").groupBy("query_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_hits"), F.count_if(F.col("n").isNull()).alias("empty_targets"))
     want = planned.select("query_id", F.explode("expected_fields").alias("item")).withColumn("k", symbol_key(F.lower("item")))
     have = found.select("query_id", symbol_key(F.lower("item")).alias("k")).distinct()

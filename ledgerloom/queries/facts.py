@@ -54,7 +54,7 @@ def facts_owner(which: str):
 
 
 def facts_lookup_many(spark, d):
-    """Every resolved company, expected field and period of every question, in one plan, each with its own tiers and limit. The SQL takes the first of each only."""
+    """Every resolved company, expected field and period of every question, in one plan, each with its own tiers and limit."""
     q = table(spark, d, "query_plans").where("size(companies) > 0 AND size(expected_fields) > 0")
     specs = q.select("query_id", "expected_fields", "periods", F.posexplode(F.array_distinct("companies")).alias("c", "company"))
     specs = specs.select("query_id", "periods", "c", "company", F.posexplode(F.array_distinct("expected_fields")).alias("k", "field"))
@@ -137,7 +137,7 @@ def argmax_per_company(spark, d):
 
 
 def compare_pairs(spark, d):
-    """All candidates of an item in pairs: the 1st with the 2nd, the 3rd with the 4th. The SQL stops after 20 pairs of an item."""
+    """All candidates of an item in pairs: the 1st with the 2nd, the 3rd with the 4th. """
     best = argmax_per_company(spark, d)
     r = ranks(best, ["field_code"], [F.desc("n_rivals"), F.col("company")], "rn")
     a, b = r.where("rn % 2 = 1"), r.where("rn % 2 = 0")
@@ -273,14 +273,16 @@ u AS (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_id, key_norm, valu
 SELECT {_COLS} FROM u WHERE rn = 1 ORDER BY {_ORDER["value_desc"]} LIMIT 200""",
     "facts_owner_self": f"WITH {FACTS} SELECT fact_id, company, value_owner, key_norm FROM f WHERE NOT third",
     "facts_owner_other": f"WITH {FACTS} SELECT fact_id, company, value_owner, key_norm FROM f WHERE third",
-    "facts_lookup_many": f"""WITH {FACTS}, q AS (SELECT query_id, companies[1] AS c, replace(expected_fields[1], ' ', '') AS k, periods[1] AS p FROM query_plans WHERE len(companies) > 0 AND len(expected_fields) > 0),
-j AS (SELECT query_id, fact_id, day, key_norm = k AS exact, contains(lower(key_norm), lower(k)) OR contains(lower(key), lower(k)) AS partial,
+    "facts_lookup_many": f"""WITH {FACTS}, cs AS (SELECT query_id, periods, fs, unnest(list_distinct(companies)) AS c FROM (SELECT *, list_distinct(expected_fields) AS fs FROM query_plans WHERE len(companies) > 0 AND len(expected_fields) > 0)),
+ks AS (SELECT query_id, periods, c, unnest(fs) AS field FROM cs),
+q AS (SELECT query_id, query_id || '#' || c || '#' || field || '#' || coalesce(p, '') AS one, c, replace(field, ' ', '') AS k, p FROM (SELECT query_id, c, field, unnest(CASE WHEN len(periods) > 0 THEN list_distinct(periods) ELSE [NULL] END) AS p FROM ks)),
+j AS (SELECT query_id, one, fact_id, day, key_norm = k AS exact, contains(lower(key_norm), lower(k)) OR contains(lower(key), lower(k)) AS partial,
   p IS NULL OR CASE WHEN length(p) = 4 THEN coalesce(starts_with(period, p || '-'), false) OR ({_NONE} AND starts_with(day, p)) ELSE coalesce(period = p, false) OR ({_NONE} AND starts_with(day, replace(p, '-', ''))) END AS narrow,
   p IS NULL OR CASE WHEN length(p) = 4 THEN coalesce(starts_with(period, p || '-'), false) OR ({_NONE} AND starts_with(day, p)) ELSE coalesce(period = p, false) OR ({_NONE} AND starts_with(day, substr(p, 1, 4))) END AS wide
   FROM f JOIN q ON f.company = q.c WHERE {_SELF}),
 t AS (SELECT *, CASE WHEN exact AND narrow THEN 0 WHEN exact AND wide THEN 1 WHEN partial AND narrow THEN 2 WHEN partial AND wide THEN 3 END AS tier FROM j),
-u AS (SELECT *, min(tier) OVER (PARTITION BY query_id) AS low FROM t WHERE tier IS NOT NULL),
-v AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY day DESC NULLS LAST, fact_id) AS rank FROM u WHERE tier = low)
+u AS (SELECT *, min(tier) OVER (PARTITION BY one) AS low FROM t WHERE tier IS NOT NULL),
+v AS (SELECT *, row_number() OVER (PARTITION BY one ORDER BY day DESC NULLS LAST, fact_id) AS rank FROM u WHERE tier = low)
 SELECT query_id, fact_id, tier::INTEGER AS tier, rank::INTEGER AS rank FROM v WHERE rank <= 10""",
     "filter_metadata": f"""WITH {DOCS} SELECT report_id, company, doc_group, period, day FROM docs WHERE doc_group IN ('periodic', 'exchange') AND day >= '20240101' AND is_latest IS DISTINCT FROM false
   AND CASE WHEN period IS NOT NULL THEN period IN ('2024-06', '2025') OR substr(period, 1, 4) IN ('2025') OR substr(day, 1, 4) = '2025' ELSE substr(day, 1, 4) IN ('2024', '2025') END""",
@@ -300,7 +302,7 @@ SELECT corp_code, arg_max("offset", (n, -"offset")) AS "offset", max(n) AS n, su
     "argmax_per_company": f"WITH {FACTS}, {_BEST} SELECT * FROM best",
     "compare_pairs": f"""WITH {FACTS}, {_BEST}, r AS (SELECT *, row_number() OVER (PARTITION BY field_code ORDER BY n_rivals DESC, company) AS rn FROM best)
 SELECT a.field_code, a.company AS company_a, b.company AS company_b, CASE WHEN a.value_num > b.value_num THEN a.company WHEN b.value_num > a.value_num THEN b.company ELSE 'tie' END AS winner
-FROM r a JOIN r b ON a.field_code = b.field_code AND b.rn = a.rn + 1 WHERE a.rn % 2 = 1 AND b.rn <= 40""",
+FROM r a JOIN r b ON a.field_code = b.field_code AND b.rn = a.rn + 1 WHERE a.rn % 2 = 1""",
     "semi_known_keys": "SELECT query_id, item FROM (SELECT query_id, unnest(expected_fields) AS item FROM query_plans) WHERE replace(item, ' ', '') IN (SELECT key_norm FROM facts)",
     "anti_missing_items": """WITH d AS (SELECT DISTINCT doc_id FROM facts WHERE doc_group = 'periodic' AND field_code IS NOT NULL)
 SELECT doc_id, count(*) AS n_missing FROM d CROSS JOIN (SELECT field_code FROM field_items WHERE list_contains(doc_groups, 'periodic')) i WHERE NOT EXISTS (SELECT 1 FROM facts f WHERE f.doc_id = d.doc_id AND f.field_code = i.field_code AND f.doc_group = 'periodic') GROUP BY 1""",

@@ -32,7 +32,9 @@ def _sufficiency(spark, d):
     planned = keep(planner.plans(_questions(spark, d)), "plans")
     subs = keep(planner.decompose(planned), "subs")
     f = facts(spark, d).where("is_latest IS NULL OR is_latest")
-    hits = subs.join(f.select("company", "key_norm", "fact_id"), "company").select("query_id", "sub_id", "key_norm", "fact_id")
+    # Only numbers and item names matter, so facts are counted before they meet the questions.
+    counted = f.groupBy("company", "key_norm").agg(F.count("*").alias("n"))
+    hits = keep(subs.join(counted, "company").select("query_id", "sub_id", "key_norm", "n"), "hits")
     return planned, planner.sufficiency(planned, subs, hits, hits.select("query_id", F.col("key_norm").alias("item")))
 
 

@@ -109,7 +109,7 @@ def candidate_documents(spark, d):
 def two_stage_search(spark, d):
     pool = keep(dense_topk(spark, d), "pool")
     of = _vectors(spark, d).select("id", F.col("label").alias("doc"))
-    return retrieval.two_stage(pool, of, 6)
+    return retrieval.two_stage(pool, of, retrieval.dense_within(_vectors(spark, d), of, _vector_queries(spark, d)), 6)
 
 
 def budget_prefix(spark, d):
@@ -213,8 +213,11 @@ SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY
 SELECT query_id, doc, rank FROM (SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY first, doc)::INTEGER AS rank FROM (SELECT query_id, doc, min(rank) AS first FROM ko JOIN o USING (id) GROUP BY ALL)) WHERE rank <= 3""",
     "two_stage_search": f"""WITH {_dense(10)}, p AS (SELECT d.*, label AS doc FROM dense d JOIN v USING (id)),
 c AS (SELECT query_id, doc, list FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first, doc)::INTEGER AS list FROM (SELECT query_id, doc, min(rank) AS first FROM p GROUP BY ALL)) WHERE list <= 3),
-l AS (SELECT query_id, list, id, row_number() OVER (PARTITION BY query_id, list ORDER BY score DESC, id)::INTEGER AS rank FROM p JOIN c USING (query_id, doc))
-SELECT query_id, id, rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY f, id)::INTEGER AS rank FROM (SELECT query_id, id, min({{'r': rank, 'l': list}}) AS f FROM l GROUP BY ALL)) WHERE rank <= 6""",
+s AS (SELECT c.query_id, list, v.id, round(list_dot_product(vq.v, v.v), 6) AS score FROM c JOIN v ON v.label = c.doc JOIN vq ON vq.query_id = c.query_id),
+l AS (SELECT query_id, list, id, row_number() OVER (PARTITION BY query_id, list ORDER BY score DESC, id)::INTEGER AS rank FROM s),
+m AS (SELECT query_id, id, 0 AS list, row_number() OVER (PARTITION BY query_id ORDER BY f, id)::INTEGER AS rank FROM (SELECT query_id, id, min({{'r': rank, 'l': list}}) AS f FROM l WHERE rank <= 6 GROUP BY ALL)),
+u AS (SELECT query_id, id, min({{'l': list, 'r': rank}}) AS f FROM (SELECT * FROM m UNION ALL SELECT query_id, id, 1, rank FROM dense) GROUP BY ALL)
+SELECT query_id, id, rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY f, id)::INTEGER AS rank FROM u) WHERE rank <= 6""",
     "budget_prefix": f"""WITH {_LISTS}, {_ROBIN}, s AS (SELECT chunk_id AS id, max(length(text)) AS len FROM examples GROUP BY 1),
 u AS (SELECT rr.*, sum(len) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM rr JOIN s USING (id)),
 o AS (SELECT *, max(CASE WHEN used > 4000 AND rank > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank) AS over FROM u)

@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _FOLDER = "ledgerloom"
+#: Names this process's tables in the shared folder, so that one job never removes another's.
+_RUN = uuid.uuid4().hex
 
 
 def local_session(cores: int = 8, **conf: str) -> SparkSession:
@@ -46,6 +48,10 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/{_FOLDER}/{spark.sparkContext.applicationId}-{_RUN}"
+
+
 def keep(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write df once to the shared folder and read it back: a short lineage that survives lost executors.
 
@@ -53,15 +59,15 @@ def keep(df: DataFrame, name: str = "stage") -> DataFrame:
     readers prune columns. The result has df's schema, with every column nullable.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{_FOLDER}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_kept(spark: SparkSession) -> None:
-    """Remove all tables of keep() from the shared folder. Results that read them must be written before."""
+    """Remove this session's tables of keep() from the shared folder, at the end of a job. Results that read them must be written before."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{_FOLDER}")
+    path = jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

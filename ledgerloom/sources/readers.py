@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,8 +52,17 @@ def validate_corpus(resolved: DataFrame) -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """path, text of raw files; bytes that don't decode are replaced."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.decode("content", encoding).alias("text"))
+    """path, text of raw files; bytes that don't decode are replaced by U+FFFD, so one bad file stops nothing."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    if encoding.upper().replace("-", "") == "UTF8":
+        return files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [None if x is None else x.decode(encoding, "replace") for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["path", "text"])
+
+    return files.select("path", "content").mapInArrow(decoded, "path string, text string")
 
 
 def route(manifest: DataFrame) -> Column:
