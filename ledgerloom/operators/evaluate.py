@@ -61,7 +61,7 @@ def stratified_sample(df: DataFrame, group: str, id_: str, n: int, seed: str = "
     total = df.agg(F.count("*").alias("total"))
     sizes = df.groupBy(group).agg(F.count("*").alias("size")).crossJoin(F.broadcast(total)).withColumn("quota", F.greatest(F.lit(1), F.bround(F.col("size") / F.col("total") * n, 0).cast("int"))).select(group, "quota")
     ordered = ranks(df.withColumn("ll_hash", F.md5(F.concat(F.lit(seed), F.col(id_).cast("string")))), [group], [F.col("ll_hash"), F.col(id_)], "ll_rank")
-    return ordered.join(F.broadcast(sizes), group).where("ll_rank <= quota").drop("ll_hash", "ll_rank", "quota")
+    return ordered.join(sizes, group).where("ll_rank <= quota").drop("ll_hash", "ll_rank", "quota")
 
 
 def run_summary(runs: DataFrame) -> DataFrame:

@@ -90,17 +90,18 @@ def roots(links: DataFrame) -> DataFrame:
 
 def numbered(docs: DataFrame, group: str = "group_id") -> DataFrame:
     """docs with correction_order (0-based by date and number) and is_latest within their group."""
-    w = Window.partitionBy(group).orderBy("rcept_dt", "doc_id")
-    n = F.count("*").over(Window.partitionBy(group))
-    order = F.row_number().over(w) - 1
-    return docs.withColumns({"correction_order": order, "is_latest": order == n - 1})
+    # A chain of any size: filings are range-sorted over all tasks, and only counts meet per chain.
+    placed = ranks(docs, [group], [F.col("rcept_dt"), F.col("doc_id")], "ll_place")
+    sizes = placed.groupBy(group).agg(F.count("*").alias("ll_n"))
+    out = placed.join(sizes.withColumnRenamed(group, "ll_g"), F.col(group).eqNullSafe(F.col("ll_g")))
+    return out.withColumns({"correction_order": (F.col("ll_place") - 1).cast("int"), "is_latest": F.col("ll_place") == F.col("ll_n")}).drop("ll_place", "ll_n", "ll_g")
 
 
 def periodic_groups(manifest: DataFrame) -> DataFrame:
     """Periodic filings of one company, kind and base period form a chain named after its earliest document."""
     key = ["corp_code", "doc_subtype", "base_year", "base_month"]
-    w = Window.partitionBy(*key).orderBy("rcept_dt", "rcept_no")
-    return numbered(manifest.withColumn("group_id", F.first("doc_id").over(w)))
+    first = manifest.groupBy(*key).agg(F.min_by("doc_id", F.struct("rcept_dt", "rcept_no", "doc_id")).alias("group_id"))
+    return numbered(manifest.join(first, key))
 
 
 def build_chains(manifest: DataFrame, targets: DataFrame, overrides: DataFrame | None = None) -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -225,8 +222,8 @@ def evidence_pack(rows: DataFrame, budget: int = 6000) -> DataFrame:
 
 # --- names in questions -------------------------------------------------------
 
-#: Aliases held by one automaton; longer lists are searched in several.
-ALIAS_BLOCK = 200_000
+#: Characters by which names are looked up in questions; names of fewer are looked up whole.
+PROBE = 5
 
 
 def registry(manifest: DataFrame) -> DataFrame:
@@ -238,49 +235,26 @@ def registry(manifest: DataFrame) -> DataFrame:
     return out.select(F.concat(F.lit("ent_"), F.substring(F.sha1("k"), 1, 16)).alias("entity_id"), "name", "aliases")
 
 
-def _find(aliases: list[tuple[str, str]]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        auto = ahocorasick.Automaton()
-        for alias, entity in aliases:
-            auto.add_word(alias.lower(), (len(alias), entity))
-        auto.make_automaton()
-        for pdf in batches:
-            out = []
-            for qid, text in zip(pdf["query_id"], pdf["query"], strict=True):
-                low = text.lower()
-                for end, (n, entity) in auto.iter(low):
-                    a, b = end - n + 1, end + 1
-                    before, after = low[a - 1 : a], low[b : b + 1]
-                    # Latin names end at a word's end; after Korean names particles may follow.
-                    if (before.isalnum() and before.isascii() and low[a].isascii()) or (after.isalnum() and after.isascii() and low[b - 1].isascii()):
-                        continue
-                    out.append((qid, a, b, text[a:b], entity))
-            if out:
-                yield pd.DataFrame(out, columns=["query_id", "start", "end", "surface", "entity_id"])
-
-    return run
-
-
 def mentions(questions: DataFrame, entities: DataFrame) -> DataFrame:
-    """query_id, start, end, surface, entity_id: names in questions, the longest first, without overlaps. entities: registry()."""
-    aliases = entities.select(F.explode("aliases").alias("alias"), "entity_id").where("length(alias) >= 2").orderBy("alias", "entity_id")
-    schema = "query_id string, start int, end int, surface string, entity_id string"
-    q = questions.where("query IS NOT NULL").select("query_id", "query")
-    out, block = None, []
-
-    def search(part: list[tuple[str, str]]) -> DataFrame:
-        return q.mapInPandas(_find(part), schema)
-
-    for r in aliases.toLocalIterator():
-        block.append((r[0], r[1]))
-        if len(block) == ALIAS_BLOCK:
-            found = search(block)
-            out, block = found if out is None else out.unionByName(found), []
-    if block or out is None:
-        found = search(block or [("\0", "")])
-        out = found if out is None else out.unionByName(found)
+    """query_id, start, end, surface, entity_id: names in questions, the longest first, without overlaps. entities: registry().
+
+    Both sides meet on the first characters of a name, in lower case, so neither list passes through the driver.
+    """
+    alias = F.lower("alias")
+    names = entities.select(F.explode("aliases").alias("alias"), "entity_id").select(alias.alias("alias"), "entity_id").where("length(alias) >= 2")
+    # Of equal spellings of several entities the last one by id is meant.
+    names = names.groupBy("alias").agg(F.max("entity_id").alias("entity_id")).withColumn("probe", F.substring("alias", 1, PROBE))
+    q = questions.where("query IS NOT NULL").select("query_id", "query", F.lower("query").alias("low")).where("length(low) > 0")
+    at = F.explode(F.sequence(F.lit(1), F.length("low"))).alias("at")
+    probes = q.select("query_id", "query", "low", at).withColumn("probe", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(2), F.lit(PROBE)), lambda n: F.substring(F.col("low"), F.col("at"), n)))))
+    found = probes.join(names, "probe").where(F.substring("low", F.col("at"), F.length("alias")) == F.col("alias"))
+    # Latin names end at a word's end; after Korean names particles may follow.
+    before, after = F.substring("low", F.greatest(F.col("at") - 1, F.lit(1)), F.when(F.col("at") > 1, 1).otherwise(0)), F.substring("low", F.col("at") + F.length("alias"), F.lit(1))
+    latin = lambda c: c.rlike("^[a-z0-9]$")
+    first, last = F.substring("alias", 1, 1), F.substring("alias", -1, 1)
+    ascii_ = lambda c: F.ascii(c) < 128
+    found = found.where(~((latin(before) & ascii_(first)) | (latin(after) & ascii_(last))))
+    out = found.select("query_id", (F.col("at") - 1).alias("start"), (F.col("at") - 1 + F.length("alias")).alias("end"), F.substring("query", F.col("at"), F.length("alias")).alias("surface"), "entity_id")
     # A match is dropped if a longer one, or an equally long earlier one, covers part of it; a question holds few matches.
     all_ = F.collect_list(F.struct("start", "end", "surface", "entity_id"))
     g = out.groupBy("query_id").agg(all_.alias("m"))

@@ -35,6 +35,12 @@ def compare_winner(spark, d):
     return derive.winners(_rows(spark, d).select("item", "company", "value", "unit"))
 
 
+def winner_in_won(spark, d):
+    """The company with the largest amount of every item, among amounts recorded in any unit of won."""
+    rows = _rows(spark, d).where(numbers.won_unit(F.col("unit")) != "")
+    return derive.winners(rows.select("item", "company", "value", "unit"))
+
+
 def derive_pairs_check(spark, d):
     """Which figures of a filing are the sum or difference of two others of it, or another one at another scale."""
     f = table(spark, d, "facts").where("value_num IS NOT NULL AND value_num <> 0").select("doc_id", "fact_id", "value_num")
@@ -139,7 +145,7 @@ def label_f1(spark, d):
     return evaluate.f1_by_label(table(spark, d, "query_plans").where("scope IS NOT NULL AND answer_mode IS NOT NULL"), "scope", "answer_mode")
 
 
-QUERIES = {f.__name__: f for f in (group_sum_avg_spread, growth_cagr, item_ratio, compare_winner, derive_pairs_check, carry_forward_owner, parse_values, won_readings, normalised_keys, name_keys, months_days, wanted_operations, same_ratios, run_summary, length_quantiles, stratified_sample, hard_negative_types, abstention_score, attribution_score, router_confusion, label_f1)}
+QUERIES = {f.__name__: f for f in (group_sum_avg_spread, growth_cagr, item_ratio, compare_winner, winner_in_won, derive_pairs_check, carry_forward_owner, parse_values, won_readings, normalised_keys, name_keys, months_days, wanted_operations, same_ratios, run_summary, length_quantiles, stratified_sample, hard_negative_types, abstention_score, attribution_score, router_confusion, label_f1)}
 
 _ROWS = f"""{FACTS}, r AS (SELECT field_code AS item, coalesce(value_unit, '') AS unit,
   CASE WHEN regexp_matches(lower(regexp_replace(array_to_string(section_path, ''), '\\s+', '', 'g')), '연결|consolidated') THEN 'consolidated' WHEN regexp_matches(lower(regexp_replace(array_to_string(section_path, ''), '\\s+', '', 'g')), '별도|개별|separate') THEN 'separate' ELSE '' END AS kind,
@@ -170,6 +176,13 @@ g AS (SELECT item, count(DISTINCT unit) AS n, bool_and(wu <> '') AS allwon FROM
 b AS (SELECT item, company, max(CASE WHEN n > 1 THEN value * CASE wu {_FACTOR} END ELSE value END) AS v FROM w JOIN g USING (item) WHERE n = 1 OR allwon GROUP BY ALL),
 k AS (SELECT *, dense_rank() OVER (PARTITION BY item ORDER BY v DESC) AS rk, row_number() OVER (PARTITION BY item ORDER BY v DESC, company) AS rn, count(*) OVER (PARTITION BY item) AS n FROM b)
 SELECT item, arg_min(company, rn) AS winner, max(v) AS best, max(v) - max(CASE WHEN rk = 2 THEN v END) AS gap, count(*) FILTER (WHERE rk = 1) AS n_tied FROM k WHERE n >= 2 GROUP BY 1""",
+    "winner_in_won": f"""WITH {_ROWS}, w AS (SELECT *, CASE {_WON} ELSE '' END AS wu FROM (SELECT *, regexp_replace(unit, '\\s', '', 'g') AS u FROM r)),
+g AS (SELECT item, count(DISTINCT unit) AS n FROM w WHERE wu <> '' GROUP BY 1),
+b AS (SELECT item, company, max(CASE WHEN n > 1 THEN value * CASE wu {_FACTOR} END ELSE value END) AS v FROM w JOIN g USING (item) WHERE wu <> '' GROUP BY ALL),
+k AS (SELECT *, dense_rank() OVER (PARTITION BY item ORDER BY v DESC) AS rk, row_number() OVER (PARTITION BY item ORDER BY v DESC, company) AS rn, count(*) OVER (PARTITION BY item) AS n FROM b)
+SELECT item, arg_min(company, rn) AS winner, max(v) AS best, max(v) - max(CASE WHEN rk = 2 THEN v END) AS gap, count(*) FILTER (WHERE rk = 1) AS n_tied FROM k WHERE n >= 2 GROUP BY 1""",
+    "name_keys": """SELECT DISTINCT corp_name, report_nm, regexp_replace(regexp_replace(lower(corp_name), '\\(주\\)|㈜|주식회사|유한회사|\\b(?:co|ltd|inc|corp|corporation|company|limited|plc)\\b\\.?', '', 'g'), '[\\s()\\[\\]{}.,·&''"-]', '', 'g') AS name,
+  regexp_replace(report_nm, '[\\sㆍ·・‧∙、,()\\[\\]{}<>「」『』"''’‘“”．.\\-–—/]', '', 'g') AS report, unicode(corp_name[-1:]) BETWEEN 44032 AND 55203 AND (unicode(corp_name[-1:]) - 44032) % 28 > 0 AS final FROM manifest""",
     "derive_pairs_check": """WITH f AS (SELECT doc_id, fact_id, value_num AS t FROM facts WHERE value_num IS NOT NULL AND value_num <> 0), v AS (SELECT DISTINCT doc_id, t AS x FROM f),
 s AS (SELECT DISTINCT fact_id FROM f JOIN v a ON f.doc_id = a.doc_id AND a.x <> f.t JOIN v b ON f.doc_id = b.doc_id AND b.x <> f.t AND a.x <> b.x WHERE abs(a.x - b.x - t) <= 0.005 + abs(t) * 1e-9 OR abs(a.x + b.x - t) <= 0.005 + abs(t) * 1e-9),
 e AS (SELECT fact_id, min(e)::INTEGER AS power FROM f JOIN v a ON f.doc_id = a.doc_id AND a.x <> f.t, (SELECT unnest(range(-12, 13)) AS e) WHERE e <> 0 AND abs(x * pow(10.0, e) - t) <= abs(t) * 1e-6 GROUP BY 1)

@@ -104,7 +104,7 @@ def _ratios(spark, d):
     f = facts(spark, d).where("field_code IS NOT NULL")
     docs = f.groupBy("doc_group").agg(F.count_distinct("doc_id").alias("n_docs"))
     has = f.groupBy("doc_group", "field_code").agg(F.count_distinct("doc_id").alias("n_with"))
-    return has.join(F.broadcast(docs), "doc_group").withColumn("ratio", F.bround(F.col("n_with") / F.col("n_docs"), 6))
+    return has.join(docs, "doc_group").withColumn("ratio", F.bround(F.col("n_with") / F.col("n_docs"), 6))
 
 
 def field_schema_ratios(spark, d):

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.retrieval import bm25
-from ledgerloom.plans import pipeline, planner
+from ledgerloom.plans import pipeline, planner, schema
 from ledgerloom.queries.facts import documents, facts
+from ledgerloom.queries.retrieval import ranked_documents
 from ledgerloom.session import keep, table
 
 
@@ -84,12 +85,52 @@ def fact_notes(spark, d):
     return f.select("fact_id", pipeline.unit_note(F.col("value_unit"), F.col("unit_code")).alias("unit_note"), pipeline.owner_note(F.col("value_owner"), F.col("company")).alias("owner_note"))
 
 
+def _item_kinds(spark, d):
+    """Every canonical item as a kind named by its two names, with the items of its document group."""
+    i = table(spark, d, "field_items")
+    none = F.array().cast("array<string>")
+    return i.select(F.col("field_code").alias("kind"), F.array("item_name", "item_name_ko").alias("terms"), none.alias("core_terms"), none.alias("action_terms"), none.alias("required"), none.alias("items"))
+
+
+def _group_kinds(spark, d):
+    """Document groups as kinds: their items, and as required ones those that occur in no other group."""
+    i = table(spark, d, "field_items").select(F.explode("doc_groups").alias("kind"), F.explode(F.array("item_name", "item_name_ko")).alias("item"))
+    terms = F.array(F.concat("kind", F.lit(" filing")))
+    return i.groupBy("kind").agg(F.collect_set("item").alias("items")).select("kind", terms.alias("terms"), F.array(F.lit("report")).alias("core_terms"), F.array(F.col("kind")).alias("action_terms"), F.slice(F.array_sort("items"), 1, 3).alias("required"), "items")
+
+
+def question_kinds(spark, d):
+    """Items that every question names, as kinds: the longest names first, none within another."""
+    m = schema.match_kinds(_questions(spark, d), _item_kinds(spark, d))
+    return m.select("query_id", F.array_join("kinds", ",").alias("kinds"))
+
+
+def question_items(spark, d):
+    """Items mentioned and required in questions about the reports of a document group (their report types)."""
+    q = table(spark, d, "query_plans").select("query_id", F.concat_ws(" ", "query", F.transform("report_types", lambda t: F.concat(t, F.lit(" report")))).alias("query"))
+    kinds = _group_kinds(spark, d)
+    m = schema.expected_items(schema.match_kinds(q, kinds), kinds)
+    return schema.items_mentioned(m, kinds).select("query_id", F.array_join("kinds", ",").alias("kinds"), F.array_join("required", "|").alias("required"), F.array_join("mentioned", "|").alias("mentioned"))
+
+
+def plan_repair(spark, d):
+    """Plans with faults in task, periods and versions, mended, with what is wrong with them."""
+    n = F.regexp_extract("query_id", "([0-9]+)$", 1).cast("long")
+    p = planner.plans(_questions(spark, d))
+    p = p.withColumns({"task": F.when(n % 3 == 0, "guess").when(n % 7 == 0, "correction_diff").otherwise(F.col("task")), "latest_policy": F.when(n % 7 == 0, "latest_only").otherwise(F.col("latest_policy")), "periods": F.when(n % 5 == 0, F.concat("periods", F.array(F.lit("last year")))).otherwise(F.col("periods"))})
+    p = p.join(table(spark, d, "query_plans").select("query_id", F.col("report_types").alias("kinds")), "query_id")
+    p = p.withColumn("expected_fields", F.when(n % 11 == 0, F.concat("expected_fields", F.array(F.lit("No such item")))).otherwise(F.col("expected_fields")))
+    out = schema.repaired(p, table(spark, d, "manifest").select(F.col("corp_name").alias("name")), _group_kinds(spark, d))
+    said = F.array_join(F.transform("issues", lambda i: F.concat_ws(":", i["field"], i["severity"])), ",")
+    return out.select("query_id", "task", "latest_policy", F.array_join("periods", ",").alias("periods"), F.array_join("expected_fields", "|").alias("expected_fields"), said.alias("issues"))
+
+
 def concept_kinds(spark, d):
     kinds = table(spark, d, "field_items").select(F.col("item_name_ko").alias("kind"))
     return planner.concept_kinds(_questions(spark, d), kinds)
 
 
-QUERIES = {f.__name__: f for f in (plan_questions, scope_gate, decompose_questions, sufficiency_check, abstention_gate, entity_registry, entity_mentions, masked_questions, evidence_packs, concept_kinds, answer_pipeline, fact_notes)}
+QUERIES = {f.__name__: f for f in (plan_questions, scope_gate, decompose_questions, sufficiency_check, abstention_gate, entity_registry, entity_mentions, masked_questions, evidence_packs, concept_kinds, question_kinds, question_items, plan_repair, answer_pipeline, fact_notes)}
 
 
 def _any(words: list[str]) -> str:
@@ -119,7 +160,49 @@ per AS (SELECT query_id, sub_id, count(*) AS n FROM h GROUP BY ALL), s AS (SELEC
 want AS (SELECT query_id, item, {_SYMBOL.format("item")} AS k FROM (SELECT query_id, unnest(expected_fields) AS item FROM p)),
 miss AS (SELECT query_id, list_sort(list(DISTINCT item)) AS missing FROM want WHERE (query_id, k) NOT IN (SELECT (query_id, {_SYMBOL.format("key_norm")}) FROM h WHERE key_norm IS NOT NULL) GROUP BY 1),
 r AS (SELECT query_id, answer_mode, n_hits, coalesce(missing, []) AS missing, empty_targets FROM p JOIN s USING (query_id) LEFT JOIN miss USING (query_id))"""
+_KIND = "regexp_replace(regexp_replace(lower(nfc_normalize(trim({0}))), '^\\[[^\\]]*\\]', ''), '[\\s·ㆍ・:∙]', '', 'g')"
+_MENTIONS = f"""a AS (SELECT coalesce(corp_code, 'name:' || {_NAME.format("corp_name")}) AS k, corp_name, unnest(list_filter([corp_name, listed_name, flr_nm], lambda x: x IS NOT NULL)) AS alias FROM manifest),
+n AS (SELECT lower(alias) AS alias, max('ent_' || substr(sha1(k), 1, 16)) AS entity_id FROM a WHERE k IS NOT NULL AND length(alias) >= 2 GROUP BY 1),
+o AS (SELECT query_id, query, lower(query) AS low, alias, entity_id, unnest(range(1, length(query) + 1)) AS p FROM query_plans JOIN n ON contains(lower(query), alias)),
+f AS (SELECT *, substr(low, p - 1, CASE WHEN p > 1 THEN 1 ELSE 0 END) AS b, substr(low, p + length(alias), 1) AS e FROM o WHERE substr(low, p, length(alias)) = alias),
+g AS (SELECT query_id, query, p - 1 AS start, p - 1 + length(alias) AS "end", entity_id FROM f
+  WHERE NOT (regexp_matches(b, '^[a-z0-9]$') AND unicode(alias) < 128) AND NOT (regexp_matches(e, '^[a-z0-9]$') AND unicode(alias[-1:]) < 128)),
+found AS (SELECT * FROM g x WHERE NOT EXISTS (SELECT 1 FROM g y WHERE y.query_id = x.query_id AND y.start < x."end" AND x.start < y."end" AND (y."end" - y.start > x."end" - x.start OR (y."end" - y.start = x."end" - x.start AND y.start < x.start))))"""
 ORACLES = {
+    "entity_mentions": f'WITH {_MENTIONS} SELECT query_id, start::INTEGER AS start, "end"::INTEGER AS "end", substr(query, start + 1, "end" - start) AS surface, entity_id FROM found',
+    "masked_questions": f"""WITH {_MENTIONS}, w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY start) AS i, count(*) OVER (PARTITION BY query_id) AS n, lag("end", 1, 0) OVER (PARTITION BY query_id ORDER BY start) AS last FROM found),
+t AS (SELECT query_id, string_agg(substr(query, last + 1, start - last) || CASE WHEN n > 1 THEN '[COMPANY_' || i || ']' ELSE '[COMPANY]' END, '' ORDER BY start) || substr(min(query), max("end") + 1) AS masked FROM w GROUP BY 1)
+SELECT q.query_id, coalesce(masked, query) AS masked FROM query_plans q LEFT JOIN t USING (query_id)""",
+    "evidence_packs": f"""WITH q AS (SELECT passage_id AS query_id, question AS text FROM eval_passages), {ranked_documents(5)},
+b AS (SELECT r.query_id, rank, '[' || rank || '] ' || coalesce(company, '') || chr(10) || text AS block FROM r JOIN documents d ON d.doc_id = r.id),
+u AS (SELECT *, sum(length(block)) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM b), o AS (SELECT *, max((used > 6000 AND rank > 1)::INTEGER) OVER (PARTITION BY query_id ORDER BY rank) AS over FROM u)
+SELECT query_id, md5(string_agg(block, chr(10) || chr(10) ORDER BY rank) FILTER (WHERE over = 0)) AS digest, count(*) FILTER (WHERE over = 0) AS n_used, sum(over)::BIGINT AS n_left FROM o GROUP BY 1""",
+    "question_kinds": f"""WITH q AS (SELECT query_id, {_KIND.format("query")} AS q FROM query_plans), t AS (SELECT DISTINCT field_code, {_KIND.format("unnest([item_name, item_name_ko])")} AS t FROM field_items),
+h AS (SELECT query_id, field_code, t, instr(q, t) AS p, length(t) AS n FROM q JOIN t ON contains(q, t)),
+k AS (SELECT * FROM h a WHERE NOT EXISTS (SELECT 1 FROM h b WHERE b.query_id = a.query_id AND a.p >= b.p AND a.p + a.n <= b.p + b.n AND b.n > a.n)),
+f AS (SELECT query_id, field_code, min((-n, p, t, field_code)) AS o FROM k GROUP BY ALL)
+SELECT query_id, coalesce(kinds, '') AS kinds FROM q LEFT JOIN (SELECT query_id, string_agg(field_code, ',' ORDER BY o) AS kinds FROM f GROUP BY 1) USING (query_id)""",
+    "question_items": f"""WITH q AS (SELECT query_id, report_types, {_KIND.format("query || ' ' || array_to_string(list_transform(report_types, lambda t: t || ' report'), ' ')")} AS q FROM query_plans),
+i AS (SELECT DISTINCT unnest(doc_groups) AS kind, item FROM (SELECT doc_groups, unnest([item_name, item_name_ko]) AS item FROM field_items)),
+g AS (SELECT kind, list_transform(list_sort(list(item))[1:3], lambda x: {_KIND.format("x")}) AS required, list(DISTINCT {_KIND.format("item")}) AS items FROM i GROUP BY 1),
+k AS (SELECT query_id, q, CASE WHEN NOT contains(q, 'report') THEN [] WHEN len(list_filter((SELECT list(kind) FROM g), lambda x: contains(q, x))) > 0 THEN list_sort(list_filter((SELECT list(kind) FROM g), lambda x: contains(q, x))) ELSE (SELECT list_sort(list(kind)) FROM g) END AS kinds FROM q),
+r AS (SELECT k.query_id, CASE WHEN len(kinds) = 1 THEN (SELECT required FROM g WHERE kind = kinds[1]) WHEN len(kinds) = 2 THEN (SELECT list_intersect(a.required, b.required) FROM g a, g b WHERE a.kind = kinds[1] AND b.kind = kinds[2]) ELSE [] END AS required FROM k),
+n AS (SELECT DISTINCT query_id, q, unnest(items) AS t FROM k JOIN g ON len(kinds) = 0 OR list_contains(kinds, g.kind)),
+h AS (SELECT query_id, t, instr(q, t) AS p, length(t) AS n FROM n WHERE contains(q, t) AND length(t) >= 2 AND t <> 'report' AND t NOT IN (SELECT kind FROM g)),
+m AS (SELECT query_id, string_agg(t, '|' ORDER BY -n, p, t) AS mentioned FROM h a WHERE NOT EXISTS (SELECT 1 FROM h b WHERE b.query_id = a.query_id AND a.p >= b.p AND a.p + a.n <= b.p + b.n AND b.n > a.n) GROUP BY 1)
+SELECT query_id, array_to_string(kinds, ',') AS kinds, array_to_string(list_sort(required), '|') AS required, coalesce(mentioned, '') AS mentioned FROM k JOIN r USING (query_id) LEFT JOIN m USING (query_id)""",
+    "plan_repair": f"""WITH {_PLANS}, v AS (SELECT p.query_id, p.companies, regexp_extract(p.query_id, '([0-9]+)$', 1)::BIGINT AS n, p.task, p.latest_policy, p.aggregation, p.periods, p.expected_fields, x.report_types AS kinds FROM p JOIN query_plans x USING (query_id)),
+f AS (SELECT query_id, companies, kinds, CASE WHEN n % 3 = 0 THEN 'guess' WHEN n % 7 = 0 THEN 'correction_diff' ELSE task END AS task, CASE WHEN n % 7 = 0 THEN 'latest_only' ELSE latest_policy END AS latest_policy,
+  CASE WHEN n % 5 = 0 THEN list_concat(periods, ['last year']) ELSE periods END AS periods, CASE WHEN n % 11 = 0 THEN list_concat(expected_fields, ['No such item']) ELSE expected_fields END AS expected_fields FROM v),
+g AS (SELECT *, CASE WHEN task = 'guess' THEN 'unknown' ELSE task END AS t, list_filter(periods, lambda x: regexp_matches(x, '^[0-9]{{4}}(-[0-9]{{2}})?$')) AS good FROM f),
+i AS (SELECT kind, {_KIND.format("item")} AS item FROM (SELECT doc_groups, unnest([item_name, item_name_ko]) AS item FROM field_items), unnest(doc_groups) AS g(kind)),
+own AS (SELECT query_id, list(item) AS items FROM (SELECT query_id, unnest(kinds) AS kind FROM g) JOIN i USING (kind) GROUP BY 1),
+e AS (SELECT g.*, CASE WHEN len(kinds) > 0 THEN list_filter(expected_fields, lambda x: coalesce(list_contains(items, {_KIND.format("x")}), false)) ELSE expected_fields END AS fields FROM g LEFT JOIN own USING (query_id)),
+u AS (SELECT DISTINCT query_id FROM (SELECT query_id, unnest(companies) AS c FROM g) WHERE {_NAME.format("c")} NOT IN (SELECT {_NAME.format("corp_name")} FROM manifest WHERE corp_name IS NOT NULL AND {_NAME.format("corp_name")} <> ''))
+SELECT e.query_id, t AS task, CASE WHEN t = 'correction_diff' AND latest_policy = 'latest_only' THEN 'first_and_final' ELSE latest_policy END AS latest_policy, array_to_string(good, ',') AS periods, array_to_string(fields, '|') AS expected_fields,
+  concat_ws(',', CASE WHEN task = 'guess' THEN 'task:warning' END, CASE WHEN u.query_id IS NOT NULL THEN 'companies:error' END, CASE WHEN len(good) < len(periods) THEN 'periods:warning' END, CASE WHEN t = 'compare' AND len(companies) < 2 AND len(good) < 2 THEN 'task:error' END,
+    CASE WHEN t = 'correction_diff' AND latest_policy = 'latest_only' THEN 'latest_policy:warning' END, CASE WHEN t = 'calculate' AND len(expected_fields) = 0 THEN 'expected_fields:error' END, CASE WHEN len(fields) < len(expected_fields) THEN 'expected_fields:warning' END) AS issues
+FROM e LEFT JOIN u USING (query_id)""",
     "plan_questions": f"WITH {_PLANS} SELECT query_id, answer_mode, task, aggregation, latest_policy, value_owner, corrections_only, winner, multi, top_k, report_types FROM p",
     "scope_gate": f"""WITH {_PLANS}, s AS (SELECT *, CASE WHEN len(companies) = 0 THEN nullif(regexp_extract(query, '^\\s*([가-힣A-Za-z0-9&·\\-.]{{2,20}})(?:의|가)\\s', 1), '') END AS subject FROM p),
 t AS (SELECT *, subject IS NOT NULL AND subject NOT IN ({", ".join(f"'{w}'" for w in _P.PRONOUNS)}) AND {_NAME.format("subject")} NOT IN (SELECT {_NAME.format("corp_name")} FROM manifest WHERE corp_name IS NOT NULL) AS unknown FROM s),

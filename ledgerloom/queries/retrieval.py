@@ -170,6 +170,11 @@ def _bm25(k: int, tokens: str, name: str = "r") -> str:
 {n} AS (SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM {n}s WHERE score > 0) WHERE rank <= {k})"""
 
 
+def ranked_documents(k: int) -> str:
+    """CTEs that rank the documents for q into r(query_id, id, score, rank), for other modules."""
+    return f"{_D}, {_bm25(k, _WORDS)}"
+
+
 _VEC = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings), vq AS (SELECT id AS query_id, v FROM v WHERE id % 20 = 0)"
 
 

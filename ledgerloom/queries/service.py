@@ -13,7 +13,15 @@ from ledgerloom.session import shared_folder, table
 from ledgerloom.sources import readers, writers
 from ledgerloom.streaming import events
 
-HOT = "(주)미볼비하전자"
+#: Companies by their number of facts, as SQL.
+_LARGEST = "(SELECT company FROM facts WHERE company IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, company LIMIT {0})"
+HOT = _LARGEST.format(1)
+
+
+def _largest(spark, d, n: int) -> list[str]:
+    """The n companies with the most facts."""
+    by = facts(spark, d).where("company IS NOT NULL").groupBy("company").agg(F.count("*").alias("n"))
+    return [r[0] for r in by.orderBy(F.desc("n"), "company").limit(n).collect()]
 
 
 def corpus_validation(spark, d):
@@ -45,9 +53,10 @@ def snapshot_round_trip(spark, d):
 
 
 def upsert_filings(spark, d):
-    """Filings delivered twice, one row kept per document."""
-    m = table(spark, d, "manifest").select("doc_id", "report_nm", "rcept_dt", "n_files")
-    return writers.upsert(m.where("NOT is_correction") if "is_correction" in m.columns else m, m, "doc_id", "rcept_dt")
+    """Originals first, then all filings with another file count as the newer delivery; one row per document."""
+    m = table(spark, d, "manifest")
+    old = m.where("NOT is_correction").select("doc_id", "report_nm", "rcept_dt", F.lit(0).alias("n_files"))
+    return writers.upsert(old, m.select("doc_id", "report_nm", "rcept_dt", "n_files"), "doc_id", "rcept_dt")
 
 
 def pending_examples(spark, d):
@@ -62,24 +71,23 @@ def _tools(spark, d):
 
 
 def tool_lookup_fact(spark, d):
-    return _tools(spark, d).lookup_fact(company=HOT, key="이익", limit=50).select("fact_id", "key_norm", "value_text", "day")
+    return _tools(spark, d).lookup_fact(company=_largest(spark, d, 1)[0], key="금액", limit=50).select("fact_id", "key_norm", "value_text", "day")
 
 
 def tool_list_fact_items(spark, d):
-    return _tools(spark, d).list_fact_items(HOT)
+    return _tools(spark, d).list_fact_items(_largest(spark, d, 1)[0])
 
 
 def tool_compare_facts(spark, d):
-    companies = ["(주)미볼비하전자", "(주)마릴데사로보틱스", "Mehalbuba Robotics Group plc", "Lalinhipe Engineering Group plc"]
-    return _tools(spark, d).compare_facts(companies, "영업이익")
+    return _tools(spark, d).compare_facts(_largest(spark, d, 40), "영업이익")
 
 
 def tool_correction_history(spark, d):
-    return _tools(spark, d).get_correction_history(HOT)
+    return _tools(spark, d).get_correction_history(_largest(spark, d, 1)[0])
 
 
 def tool_latest_report(spark, d):
-    return _tools(spark, d).get_latest_report(HOT, "exchange").select("report_id", "day")
+    return _tools(spark, d).get_latest_report(_largest(spark, d, 1)[0], "exchange").select("report_id", "day")
 
 
 def _events(spark, d):
@@ -120,15 +128,15 @@ SELECT coalesce(doc_group, 'all') AS doc_group, count(*) AS n_docs, count(*) FIL
     "snapshot_round_trip": "SELECT doc_group, count(*) AS n, count(value_num) AS numeric, max(fact_id) AS last FROM facts GROUP BY 1",
     "upsert_filings": "SELECT DISTINCT ON (doc_id) doc_id, report_nm, rcept_dt, n_files FROM manifest ORDER BY doc_id, rcept_dt DESC",
     "pending_examples": "SELECT example_id FROM examples WHERE query IS NOT NULL AND NOT (example_id % 3 = 0 AND example_id % 5 <> 0 AND example_id % 7 <> 0)",
-    "tool_lookup_fact": f"""WITH {FACTS}, t AS (SELECT *, CASE WHEN key_norm = '이익' THEN 0 WHEN key_norm LIKE '%이익%' OR key LIKE '%이익%' THEN 2 END AS tier FROM f WHERE company = '{HOT}' AND {_SELF})
+    "tool_lookup_fact": f"""WITH {FACTS}, t AS (SELECT *, CASE WHEN key_norm = '금액' THEN 0 WHEN key_norm LIKE '%금액%' OR key LIKE '%금액%' THEN 2 END AS tier FROM f WHERE company = {HOT} AND {_SELF})
 SELECT fact_id, key_norm, value_text, day FROM t WHERE tier = (SELECT min(tier) FROM t) ORDER BY day DESC NULLS LAST, fact_id LIMIT 50""",
-    "tool_list_fact_items": f"SELECT key_norm, count(*) AS n FROM facts WHERE company = '{HOT}' GROUP BY 1 ORDER BY n DESC, key_norm LIMIT 100",
+    "tool_list_fact_items": f"SELECT key_norm, count(*) AS n FROM facts WHERE company = {HOT} GROUP BY 1 ORDER BY n DESC, key_norm LIMIT 100",
     "tool_compare_facts": f"""WITH {FACTS}, t AS (SELECT *, CASE WHEN key_norm = '영업이익' THEN 0 WHEN key_norm LIKE '%영업이익%' OR key LIKE '%영업이익%' THEN 2 END AS tier FROM f
-  WHERE company IN ('(주)미볼비하전자', '(주)마릴데사로보틱스', 'Mehalbuba Robotics Group plc', 'Lalinhipe Engineering Group plc') AND value_num IS NOT NULL AND {_SELF}),
+  WHERE company IN {_LARGEST.format(40)} AND value_num IS NOT NULL AND {_SELF}),
 u AS (SELECT *, row_number() OVER (PARTITION BY company ORDER BY day DESC NULLS LAST, fact_id) AS rn FROM t WHERE tier = (SELECT min(tier) FROM t)) SELECT company, value_num, value_unit, day, fact_id FROM u WHERE rn = 1""",
     "tool_correction_history": f"""WITH {DOCS} SELECT correction_group_id, report_id AS doc_id, day, report_nm, row_number() OVER (PARTITION BY correction_group_id ORDER BY day, report_id) AS position,
-  row_number() OVER (PARTITION BY correction_group_id ORDER BY day, report_id) = count(*) OVER (PARTITION BY correction_group_id) AS is_last FROM docs WHERE company = '{HOT}' AND correction_group_id IS NOT NULL""",
-    "tool_latest_report": f"WITH {DOCS} SELECT report_id, day FROM docs WHERE company = '{HOT}' AND doc_group = 'exchange' AND is_latest IS DISTINCT FROM false ORDER BY day DESC, report_id DESC LIMIT 1",
+  row_number() OVER (PARTITION BY correction_group_id ORDER BY day, report_id) = count(*) OVER (PARTITION BY correction_group_id) AS is_last FROM docs WHERE company = {HOT} AND correction_group_id IS NOT NULL""",
+    "tool_latest_report": f"WITH {DOCS} SELECT report_id, day FROM docs WHERE company = {HOT} AND doc_group = 'exchange' AND is_latest IS DISTINCT FROM false ORDER BY day DESC, report_id DESC LIMIT 1",
     "stream_tumbling": "SELECT event_type, strftime(time_bucket(INTERVAL 1 hour, ts), '%Y-%m-%d %H:%M') AS start, count(*) AS n, sum(value::VARCHAR::DECIMAL(20, 6))::VARCHAR AS total FROM events GROUP BY ALL",
     "stream_sliding": "SELECT event_type, strftime(s, '%Y-%m-%d %H:%M') AS start, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 30 minutes, ts), time_bucket(INTERVAL 30 minutes, ts) - INTERVAL 30 minutes]) AS s FROM events) GROUP BY ALL",
     "stream_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 minutes THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +50,37 @@ def pending(wanted: DataFrame, done: DataFrame, key: str, content: str, failed:
     return wanted.join(good, [key, content], "left_anti")
 
 
+def write_named(rows: DataFrame, path: str, name: str) -> None:
+    """A small lookup table (registry, schema, offsets) as JSON lines below path, one object a row; written beside and then renamed, so readers see the old table or the new one."""
+    spark = rows.sparkSession
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    done, part = fs_path(f"{path}/{name}"), fs_path(f"{path}/.{name}.part")
+    rows.write.mode("overwrite").json(str(part))
+    fs = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(done, True)
+    if not fs.rename(part, done):
+        raise OSError(f"{part} can't be renamed")
+
+
+def resume(wanted: DataFrame, key: str, content: str, failed: str, path: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Runs work on the rows that a checkpoint at path doesn't hold yet, adds its results to the checkpoint and returns all of them.
+
+    A row is done if its key is there with the same content and without failure. Every run appends its own files, whose
+    commit is atomic; of several results of a key the last good one counts.
+    """
+    spark = wanted.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = spark.read.parquet(path) if fs.exists(at) else None
+    todo = wanted if done is None else pending(wanted, done, key, content, failed)
+    run = 0 if done is None else (done.agg(F.max("ll_run")).first()[0] or 0) + 1
+    work(todo).withColumn("ll_run", F.lit(run)).write.mode("append").parquet(path)
+    all_ = spark.read.parquet(path)
+    good = ~F.coalesce(F.col(failed), F.lit(False))
+    best = all_.groupBy(key).agg(F.max_by(F.struct(*[c for c in all_.columns if c != "ll_run"]), F.struct(good, "ll_run")).alias("r"))
+    return best.select("r.*").join(wanted.select(key, content), [key, content], "left_semi")
+
+
 def check_index(index: DataFrame, chunks: DataFrame, id_: str = "id") -> None:
     """Raises if an index names a chunk that doesn't exist."""
     bad = index.join(chunks.select(F.col("chunk_id").alias(id_)), id_, "left_anti").select(id_).take(1)
