@@ -37,6 +37,12 @@ def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.crossJoin(F.broadcast(total)).select("split", "n_rows", "n_groups", F.expr("round(n_rows / total, 4)").alias("share"))
 
 
+def p2_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, groups, and groups that lie in more than one split."""
+    by = p2_splits(spark, sf_dir).groupBy("group_id").agg(F.count("*").alias("n"), F.count_distinct("split").alias("splits"))
+    return by.agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_groups"), F.count_if(F.col("splits") > 1).alias("n_torn"))
+
+
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct names of companies and persons, without companies in disguised characters."""
     facts, plans = table(spark, sf_dir, "facts"), table(spark, sf_dir, "query_plans")
@@ -97,6 +103,17 @@ def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_items.pieces(table(spark, sf_dir, "examples"), "chunk_id", "text", short=False)
 
 
+def p7_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per chunk what its pieces hold: characters without the overlaps, the longest piece, overlaps that aren't 100 characters or don't match, and whether all text is there."""
+    made = p7_pieces(spark, sf_dir).withColumn("last", F.substring("text", -split_items.OVERLAP, split_items.OVERLAP))
+    # Pieces of one text follow each other by their places; a chunk may have several texts.
+    nxt = made.select("chunk_id", (F.col("piece") + 1).alias("piece"), "last", F.col("end").alias("before"))
+    fits = made.join(nxt.withColumnsRenamed({"last": "l", "before": "b"}), ["chunk_id", "piece"], "left").where("piece = 0 OR (b = start + 100 AND substring(text, 1, 100) = l)")
+    kept = fits.select("chunk_id", "piece", "start", "end", "text").distinct()
+    by = kept.groupBy("chunk_id").agg((F.sum(F.col("end") - F.col("start")) - 100 * F.count_if(F.col("piece") > 0)).alias("n_chars"), (F.max(F.length("text")) <= split_items.LIMIT).alias("short_enough"))
+    return by.where("chunk_id IS NOT NULL").join(made.groupBy("chunk_id").agg(F.count("*").alias("n")), "chunk_id").join(kept.groupBy("chunk_id").agg(F.count("*").alias("m")), "chunk_id").select("chunk_id", "n_chars", "short_enough", (F.col("n") == F.col("m")).alias("overlapping"))
+
+
 def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_search.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_passages"))
 
@@ -138,6 +155,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_splits": p2_splits,
     "p2_shares": p2_shares,
+    "p2_whole": p2_whole,
     "p4_found": p4_found,
     "p4_variants": p4_variants,
     "p5_found": p5_found,
@@ -148,6 +166,7 @@ QUERIES = {
     "p6_trusted": p6_trusted,
     "p7_found": p7_found,
     "p7_pieces": p7_pieces,
+    "p7_check": p7_check,
     "p8_found": p8_found,
     "p8_leaks": p8_leaks,
     "p9_mix": p9_mix,
@@ -213,5 +232,8 @@ LEFT JOIN cases a ON a.field = 'company' AND a.value = f.company LEFT JOIN cases
     "p2_found": _LINKED + "SELECT id AS example_id, g AS group_id FROM cc",
     # What must hold of the mix: every source that has a text is there, at its target and within its repeats.
     "p9_reached": "SELECT source, max_repeats, true AS meets, true AS within FROM source_targets t WHERE target_share > 0 AND max_repeats > 0 AND EXISTS (SELECT 1 FROM documents d WHERE d.source = t.source AND length(d.text) > 0)",
+    "p2_whole": _LINKED + "SELECT count(*) AS n_rows, count(DISTINCT g) AS n_groups, 0 AS n_torn FROM cc",
+    # What must hold of the pieces: all characters once, none too long, every overlap in place.
+    "p7_check": "SELECT chunk_id, sum(length(text))::BIGINT AS n_chars, true AS short_enough, true AS overlapping FROM (SELECT DISTINCT chunk_id, text FROM examples WHERE length(text) > 1500 AND chunk_id IS NOT NULL) GROUP BY 1",
     "p7_found": "SELECT DISTINCT chunk_id FROM examples WHERE length(text) > 1500 AND chunk_id IS NOT NULL",
 }
