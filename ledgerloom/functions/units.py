@@ -49,9 +49,9 @@ def unit_table(spark: SparkSession) -> DataFrame:
 
 
 def stated_unit(c: Column) -> Column:
-    """A unit text without its wrapping: '(단위: 백만원)', 'unit: KRW mn', '단위 : %', '(in thousands of won)'."""
+    """A unit text without its wrapping: '(단위: 백만원)', 'unit: KRW mn', '단위 : %', '(in thousands of won)', '(in in thousands of won)'."""
     c = F.regexp_replace(c, r"^[\s(\[]+|[\s)\]]+$", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"^[^:]*:\s*", ""), r"^(?i:in\s+)", ""))
+    return F.trim(F.regexp_replace(F.regexp_replace(c, r"^[^:]*:\s*", ""), r"^(?i:(?:in\s+)+)", ""))
 
 
 def negative(text: Column) -> Column:

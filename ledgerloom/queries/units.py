@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import GREEK, GREEK_AS, CYRILLIC, CYRILLIC_AS, NARROW, SPACES, WIDE
 from ledgerloom.functions.units import UNITS
-from ledgerloom.operators.unit_conversion import convert, same_amounts
+from ledgerloom.operators.unit_conversion import amount_links, convert, same_amounts
 from ledgerloom.session import table
 
 
@@ -15,6 +15,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_amounts(table(spark, sf_dir, "facts"))
 
 
+def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without its pairs: every fact with its class and its number of partners."""
+    return amount_links(table(spark, sf_dir, "facts"))
+
+
 def p3_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = convert(table(spark, sf_dir, "facts"))
     return df.select("fact_id", "amount", "amount_unit", "amount_factor", "amount_common", "unit_from").where("amount IS NOT NULL")
@@ -26,7 +31,7 @@ def p3_units_used(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy("amount_unit", "amount_factor", "unit_from").agg(F.count("*").alias("facts"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_converted": p3_converted, "p3_units_used": p3_units_used}
+QUERIES = {"p3_found": p3_found, "p3_links": p3_links, "p3_converted": p3_converted, "p3_units_used": p3_units_used}
 
 NARROW_SQL = NARROW.replace("'", "''")
 _ALIASES = sorted({(a.lower().replace(" ", ""), u, f) for a, u, f, _ in UNITS})
@@ -34,7 +39,7 @@ _PATTERN = "(?i:" + "|".join(n.replace(" ", r"\s*") for n in sorted({a for a, *_
 _FOLD = f"translate(regexp_replace(translate(nfc_normalize(key), '{WIDE}{SPACES}', '{NARROW_SQL}{' ' * len(SPACES)}'), '[\\p{{Cf}}\\x{{180E}}]', '', 'g'), '{CYRILLIC}{GREEK}', '{CYRILLIC_AS}{GREEK_AS}')"
 _NUM = r"[0-9][0-9,]*(?:\.[0-9]+)?"
 _SQUASH = "nullif(regexp_replace(lower({}), '\\s+', '', 'g'), '')"
-_CLEAN = _SQUASH.format("regexp_replace(regexp_replace(regexp_replace({}, '^[\\s(\\[]+|[\\s)\\]]+$', '', 'g'), '^[^:]*:\\s*', ''), '^(?i:in\\s+)', '')")
+_CLEAN = _SQUASH.format("regexp_replace(regexp_replace(regexp_replace({}, '^[\\s(\\[]+|[\\s)\\]]+$', '', 'g'), '^[^:]*:\\s*', ''), '^(?i:(?:in\\s+)+)', '')")
 
 #: Amount, unit and factor as recorded, one row per fact.
 RECORDED_SQL = f"""
@@ -78,12 +83,19 @@ filled AS (
   WHERE r.amount IS NOT NULL)
 """
 )
-ORACLES = {
-    "p3_found": RECORDED_SQL
+_OWN = (
+    RECORDED_SQL
     + """,
 own AS (SELECT fact_id, correction_group_id AS g, field_code AS f, unit, factor, amount * factor AS v FROM recorded
   WHERE value_owner IS NULL AND correction_group_id IS NOT NULL AND field_code IS NOT NULL AND unit IS NOT NULL AND amount IS NOT NULL)
-SELECT a.fact_id AS fact_id_a, b.fact_id AS fact_id_b FROM own a JOIN own b ON a.g = b.g AND a.f = b.f AND a.unit = b.unit AND a.factor <> b.factor AND a.fact_id < b.fact_id
+"""
+)
+ORACLES = {
+    "p3_links": _OWN
+    + """, l AS (SELECT a.fact_id, count(*) AS n FROM own a JOIN own b ON a.g = b.g AND a.f = b.f AND a.unit = b.unit AND a.factor <> b.factor AND abs(a.v - b.v) <= 0.001 * greatest(abs(a.v), abs(b.v)) GROUP BY 1)
+SELECT fact_id, min(fact_id) OVER (PARTITION BY g, f, unit, factor, v) AS class_id, coalesce(n, 0) AS n_links FROM own LEFT JOIN l USING (fact_id)""",
+    "p3_found": _OWN
+    + """SELECT a.fact_id AS fact_id_a, b.fact_id AS fact_id_b FROM own a JOIN own b ON a.g = b.g AND a.f = b.f AND a.unit = b.unit AND a.factor <> b.factor AND a.fact_id < b.fact_id
 WHERE abs(a.v - b.v) <= 0.001 * greatest(abs(a.v), abs(b.v))""",
     "p3_converted": CONVERTED_SQL
     + "SELECT fact_id, amount, amount_unit, amount_factor, amount * amount_factor AS amount_common, unit_from FROM filled",
