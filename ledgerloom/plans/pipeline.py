@@ -15,8 +15,8 @@ from ledgerloom.session import keep
 
 #: Facts shown of all that were computed with.
 SHOWN_FACTS = 8
-#: Facts of one lookup: the newest, or the largest or smallest where a question asks for such.
-FACTS_BY_DATE, FACTS_BY_VALUE = 10, 50
+#: Facts of one lookup: the newest, or the largest or smallest where a question asks for such; all where it counts or calculates.
+FACTS_BY_DATE, FACTS_BY_VALUE, ALL_FACTS = 10, 50, (1 << 31) - 1
 #: Characters of a pack, and of one evidence within it.
 PACK, SHARE = 6000, 1200
 
@@ -90,13 +90,14 @@ def search(store: Store, subs: DataFrame, questions: DataFrame, planned: DataFra
     texts = best.select(F.col("question").alias("query_id"), "sub_id", "id", F.col("doc_id").alias("report_id"), "score", "rank")
     # Facts: one lookup per part, expected item and document group; tiers and limits hold for each of them, options come from the plan.
     order = F.when(F.col("aggregation") == "max", "value_desc").when(F.col("aggregation") == "min", "value_asc").otherwise("date")
-    plan = planned.select("query_id", "latest_policy", "periods", "corrections_only", "value_owner", order.alias("order_by"), "report_types", F.explode_outer("expected_fields").alias("item"))
+    whole = (F.size(derive.wanted_column(F.col("query"))) > 0) | F.col("task").isin("count", "calculate") | (F.col("aggregation") == "count")
+    plan = planned.select("query_id", "latest_policy", "periods", "corrections_only", "value_owner", order.alias("order_by"), whole.alias("whole"), "report_types", F.explode_outer("expected_fields").alias("item"))
     plan = plan.withColumn("doc_group", F.explode_outer("report_types"))
     specs = subs.select("query_id", "sub_id", "company", "period").join(plan, "query_id").where("company IS NOT NULL AND item IS NOT NULL")
     sid = F.concat_ws("#", "query_id", F.col("sub_id").cast("string"), symbol_key("item"), F.coalesce("doc_group", F.lit("")))
     specs = specs.select(
         sid.alias("query_id"), "company", symbol_key("item").alias("key"), "period", "doc_group", (F.col("latest_policy") == "latest_only").alias("latest_only"),
-        "corrections_only", "value_owner", "order_by", F.when(F.col("order_by") == "date", FACTS_BY_DATE).otherwise(FACTS_BY_VALUE).alias("most"),
+        "corrections_only", "value_owner", "order_by", F.when(F.col("whole"), ALL_FACTS).when(F.col("order_by") == "date", FACTS_BY_DATE).otherwise(FACTS_BY_VALUE).alias("most"),
     )
     rows = facts.lookup_many(store.facts, specs.distinct()).withColumn("q", F.split("query_id", "#"))
     rows = rows.withColumns({"query_id": F.get("q", F.lit(0)), "sub_id": F.get("q", F.lit(1)).cast("int"), "asked": F.get("q", F.lit(2))}).drop("q", "q_company", "q_key", "q_period")
@@ -107,8 +108,36 @@ def search(store: Store, subs: DataFrame, questions: DataFrame, planned: DataFra
     return texts, rows.drop("latest_policy", "periods", "correction_group_id", "correction_order")
 
 
+def calculated(found: DataFrame, planned: DataFrame) -> DataFrame:
+    """query_id, calculations: what a question's operations give over its facts, as an array of (operation, item, unit, company, value, text).
+
+    found: query_id and fact columns with day; planned: query_id, query, task, winner. Sum, mean, difference and number of
+    filings need two subjects; growth and yearly growth the first and last filing of a company's item; the winner two
+    companies with comparable units. Ambiguous figures give nothing.
+    """
+    mark = "\u0001"
+    # One item of one question is one item of the arithmetic.
+    item = F.concat_ws(mark, "query_id", "key_norm")
+    rows = found.where("value_num IS NOT NULL AND key_norm IS NOT NULL").select(item.alias("item"), F.coalesce("value_unit", F.lit("")).alias("unit"), derive.statement_kind(F.col("section_path")).alias("kind"), "company", F.coalesce("period", F.lit("")).alias("period"), "day", "doc_id", F.col("value_num").alias("value"))
+    rows = keep(rows, "figures")
+    wants = planned.select("query_id", derive.wanted_column(F.col("query")).alias("ops"), (F.col("task") == "calculate").alias("grows"), "winner")
+    none = F.lit(None).cast("string")
+
+    def lines(df: DataFrame, **columns: Column) -> DataFrame:
+        one = F.array(*[F.struct(F.lit(op).alias("operation"), F.split("item", mark)[1].alias("item"), (F.col("unit") if "unit" in df.columns else none).alias("unit"), (F.col("company") if "company" in df.columns else none).alias("company"), v.cast("double").alias("value"), (F.col("winner") if op == "winner" else none).alias("text")) for op, v in columns.items()])
+        return df.select(F.split("item", mark)[0].alias("query_id"), F.explode(one).alias("x")).where("x.value IS NOT NULL")
+
+    groups = lines(derive.derive(rows), sum=F.col("total"), avg=F.col("mean"), diff=F.col("spread"), count=F.col("n_docs"))
+    grown = lines(derive.series(rows), growth=F.col("growth"), cagr=F.col("cagr"))
+    best = lines(derive.winners(rows.select("item", "company", "value", "unit")).where("n_tied = 1"), winner=F.col("best"))
+    all_ = groups.unionByName(grown).unionByName(best).join(wants, "query_id")
+    op = F.col("x.operation")
+    wanted = F.array_contains("ops", op) | (op.isin("growth", "cagr") & F.col("grows")) | ((op == "winner") & F.col("winner"))
+    return all_.where(wanted).groupBy("query_id").agg(F.array_sort(F.collect_set("x")).alias("calculations"))
+
+
 def run(questions: DataFrame, store: Store, generate: Callable[[DataFrame], DataFrame] | None = None, retries: int = planner.MOST_RETRIES) -> DataFrame:
-    """query_id, decision, reason, action, operations, facts, n_facts, pack, n_used (and answer with a generator).
+    """query_id, decision, reason, action, operations, calculations, facts, n_facts, pack, n_used (and answer with a generator).
 
     Only questions that pass the scope gate are searched; those with something missing are searched again, at most
     `retries` times, with the missing items added and without the period. Facts count as found items in every gate.
@@ -141,10 +170,12 @@ def run(questions: DataFrame, store: Store, generate: Callable[[DataFrame], Data
     order = Window.partitionBy("query_id").orderBy("pass", "sub_id", "rank", "fact_id")
     once = found.groupBy("query_id", "fact_id").agg(F.min(F.struct("pass", "sub_id", "rank")).alias("f")).select("query_id", "fact_id", "f.*")
     numbered = once.withColumn("rank", F.row_number().over(order)).join(facts.with_day(store.facts), "fact_id")
+    numbered = keep(numbered, "numbered")
     lines = fact_lines(numbered)
+    sums = calculated(numbered, planned)
     out = planned.select("query_id", "query", "decision", F.col("reason").alias("scope_reason"), derive.wanted_column(F.col("query")).alias("operations"))
-    out = out.join(gate, "query_id", "left").join(lines, "query_id", "left").join(packs, "query_id", "left")
-    out = out.select("query_id", "query", "decision", F.coalesce("reason", "scope_reason").alias("reason"), F.coalesce("action", F.lit("refuse")).alias("action"), "operations", "facts", F.coalesce("n_facts", F.lit(0)).alias("n_facts"), "pack", F.coalesce("n_used", F.lit(0)).alias("n_used"))
+    out = out.join(gate, "query_id", "left").join(sums, "query_id", "left").join(lines, "query_id", "left").join(packs, "query_id", "left")
+    out = out.select("query_id", "query", "decision", F.coalesce("reason", "scope_reason").alias("reason"), F.coalesce("action", F.lit("refuse")).alias("action"), "operations", "calculations", "facts", F.coalesce("n_facts", F.lit(0)).alias("n_facts"), "pack", F.coalesce("n_used", F.lit(0)).alias("n_used"))
     return out if generate is None else out.join(generate(out.where("action IN ('answer', 'partial')")), "query_id", "left")
 
 

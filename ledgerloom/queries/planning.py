@@ -76,7 +76,7 @@ def answer_pipeline(spark, d):
     chunks = table(spark, d, "examples").where("chunk_id IS NOT NULL").groupBy(F.col("chunk_id").alias("id")).agg(F.min("report_id").alias("report_id"), F.min("text").alias("text"))
     store = pipeline.Store(facts(spark, d), keep(documents(spark, d), "documents"), keep(chunks, "chunks"), table(spark, d, "manifest").select(F.col("corp_name").alias("name")))
     out = pipeline.run(q, store)
-    return out.select("query_id", "decision", "reason", "action", F.array_join("operations", ",").alias("operations"), "n_facts", "n_used", F.md5("pack").alias("digest"))
+    return out.select("query_id", "decision", "reason", "action", F.array_join("operations", ",").alias("operations"), F.coalesce(F.size("calculations"), F.lit(0)).alias("n_calculations"), "n_facts", "n_used", F.md5("pack").alias("digest"))
 
 
 def fact_notes(spark, d):

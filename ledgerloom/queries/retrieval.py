@@ -84,6 +84,21 @@ def hybrid_search(spark, d):
     return retrieval.hybrid([("words", retrieval.bm25(chunks.select("id", "text"), q, 50)), ("names", names)], 10)
 
 
+def _three(spark, d):
+    """Documents with a vector each (that of their number, counted round) and word weights, their source as scope; every twentieth one's first sentence asks."""
+    v = _vectors(spark, d).select(F.col("id").alias("vid"), "v")
+    n = v.count()
+    docs = table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("scope"), (F.col("doc_id") % n).alias("vid")).join(v, "vid", "left").drop("vid")
+    corpus = docs.join(_sparse_weights(docs, "id"), "id")
+    q = docs.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.substring_index("text", ".", 1).alias("text"), "v", "scope")
+    return corpus, q.join(_sparse_weights(q, "query_id"), "query_id")
+
+
+def hybrid_three(spark, d):
+    """Words, vectors and weights within the source of every asking document, fused by reciprocal rank."""
+    return retrieval.prefiltered(*_three(spark, d), 10)
+
+
 def _lists(spark, d):
     """Per question the rows of every label in order of their id, as two lists."""
     from pyspark.sql import Window
@@ -147,7 +162,7 @@ def rank_metrics(spark, d):
     return evaluate.rank_metrics(ranked, gold, 10)
 
 
-QUERIES = {f.__name__: f for f in (hybrid_search, bm25_topk, bm25_ngrams, char_ngram_counts, dense_topk, dense_filtered, sparse_topk, fuse_rrf, fuse_weighted, round_robin_merge, keep_order_merge, candidate_documents, two_stage_search, budget_prefix, parent_expand, maxsim_rerank, semantic_route, rank_metrics)}
+QUERIES = {f.__name__: f for f in (hybrid_search, hybrid_three, bm25_topk, bm25_ngrams, char_ngram_counts, dense_topk, dense_filtered, sparse_topk, fuse_rrf, fuse_weighted, round_robin_merge, keep_order_merge, candidate_documents, two_stage_search, budget_prefix, parent_expand, maxsim_rerank, semantic_route, rank_metrics)}
 
 _Q = "q AS (SELECT query_id, query AS text FROM query_plans WHERE regexp_extract(query_id, '([0-9]+)$', 1)::BIGINT % 20 = 0)"
 _P = "q AS (SELECT passage_id AS query_id, text FROM eval_passages)"
@@ -201,6 +216,17 @@ _KEEP = "ko AS (SELECT query_id, id, rank FROM (SELECT query_id, id, row_number(
 ORACLES = {
     "hybrid_search": f"""WITH {_Q}, c AS (SELECT chunk_id AS id, min(text) AS text, coalesce(min(company), '') AS company FROM examples WHERE chunk_id IS NOT NULL GROUP BY 1), {_bm25(50, _WORDS, "ra")},
 {_bm25(50, _RUNS, "rb").replace("FROM c WHERE text IS NOT NULL", "FROM (SELECT id, company AS text FROM c)")} {_rrf(["ra", "rb"], 10)}""",
+    "hybrid_three": f"""WITH n AS (SELECT count(*) AS n FROM embeddings), c AS (SELECT doc_id AS id, text, source AS scope, embedding::DOUBLE[] AS v FROM documents, n LEFT JOIN embeddings ON vec_id = doc_id % n.n WHERE text IS NOT NULL),
+q AS (SELECT id AS query_id, split_part(text, '.', 1) AS text, scope, v FROM c WHERE id % 20 = 0),
+bt AS (SELECT query_id, scope, term, count(*) AS qtf FROM (SELECT query_id, scope, unnest({_WORDS.format("text")}) AS term FROM q) GROUP BY ALL), bd AS (SELECT id, scope, len({_WORDS.format("text")}) AS dl, {_WORDS.format("text")} AS t FROM c),
+bp AS (SELECT term, id, scope, dl, count(*) AS tf FROM (SELECT id, scope, dl, unnest(t) AS term FROM bd) WHERE term IN (SELECT term FROM bt) GROUP BY ALL), bf AS (SELECT term, count(*) AS df FROM bp GROUP BY 1), bn AS (SELECT count(*) AS n, avg(dl) AS a FROM bd),
+bs AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / a)) * qtf), 6) AS score FROM bp JOIN bf USING (term) JOIN bt ON bt.term = bp.term AND (bt.scope IS NULL OR bt.scope = bp.scope), bn GROUP BY ALL),
+ds AS (SELECT query_id, id, round(list_dot_product(q.v, c.v), 6) AS score FROM c JOIN q ON (q.scope IS NULL OR q.scope = c.scope) WHERE c.v IS NOT NULL AND q.v IS NOT NULL),
+sd AS (SELECT id, scope, unnest(list_distinct({_WORDS.format("text")})) AS token, 1 / sqrt(len({_WORDS.format("text")})::DOUBLE) AS w FROM c), sq AS (SELECT query_id, scope, unnest(list_distinct({_WORDS.format("text")})) AS token, 1 / sqrt(len({_WORDS.format("text")})::DOUBLE) AS w FROM q),
+ss AS (SELECT query_id, id, round(sum(sd.w * sq.w), 6) AS score FROM sd JOIN sq ON sd.token = sq.token AND (sq.scope IS NULL OR sq.scope = sd.scope) GROUP BY ALL),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM bs WHERE score > 0) WHERE rank <= 50),
+e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM ds) WHERE rank <= 50),
+s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM ss) WHERE rank <= 50) {_rrf(["b", "e", "s"], 10)}""",
     "bm25_topk": f"WITH {_Q}, {_D}, {_bm25(10, _WORDS)} SELECT * FROM r",
     "bm25_ngrams": f"WITH {_Q}, c AS (SELECT doc_id AS id, min(concat_ws(' ', corp_name, report_nm)) AS text FROM manifest GROUP BY 1), {_bm25(10, _GRAMS)} SELECT * FROM r",
     "char_ngram_counts": f"SELECT token, count(*) AS n FROM (SELECT unnest({_GRAMS.format('corp_name')}) AS token FROM manifest) GROUP BY 1",

@@ -86,3 +86,23 @@ def test_facts_follow_the_plan(spark):
     assert got["all"] == [1, 3, *range(39, 9, -1)]
     # Of the chain of d0 and d1 the filing of the month asked for.
     assert got["month"] == [3, *range(39, 9, -1)]
+
+
+def test_figures_are_calculated_over_all_facts(spark):
+    s = store(spark)
+    many = [(10 + i, f"n{i}", None, "Acme" if i % 2 else "Other", "periodic", f"202{i % 3 + 2}0401", f"{2010 + i}-03", True, False, "Revenue", "Revenue", str(i), float(i), "백만원", None, ["x"], None) for i in range(1, 31)]
+    s.facts = s.facts.unionByName(spark.createDataFrame(many, FACT))
+    q = spark.createDataFrame([("sum", "Acme 와 Other 의 revenue 합계와 평균 얼마인가", ["Acme", "Other"], [], ["Revenue"]), ("plain", "Acme revenue 얼마인가", ["Acme"], [], ["Revenue"])], PLAN)
+    got = {r.query_id: r for r in pipeline.run(q, s).collect()}
+    assert got["plain"].calculations is None and got["plain"].n_facts == 10
+    assert got["sum"].n_facts == 30 and sorted(got["sum"].operations) == ["avg", "sum"]
+    assert {(c.operation, c.item, c.unit, c.value) for c in got["sum"].calculations} == {("sum", "Revenue", "백만원", 465.0), ("avg", "Revenue", "백만원", 15.5)}
+
+
+def test_growth_and_winner(spark):
+    cols = "query_id string, key_norm string, value_unit string, section_path array<string>, company string, period string, day string, doc_id string, value_num double"
+    rows = [("a", "Revenue", None, [], "X", "2022-12", "20230301", "d1", 100.0), ("a", "Revenue", None, [], "X", "2023-12", "20240301", "d2", 121.0), ("b", "Revenue", "억원", [], "X", "2023", "20240301", "d2", 3.0), ("b", "Revenue", "백만원", [], "Y", "2023", "20240301", "d3", 500.0), ("c", None, None, [], "X", None, None, "d", None)]
+    plans = [("a", "X 증감률", "calculate", False), ("b", "X Y 중 어느", "compare", True), ("c", "X 합계", "lookup", False)]
+    out = pipeline.calculated(spark.createDataFrame(rows, cols), spark.createDataFrame(plans, "query_id string, query string, task string, winner boolean"))
+    got = {(r.query_id, c.operation): (c.company, c.value, c.text) for r in out.collect() for c in r.calculations}
+    assert got == {("a", "growth"): ("X", 21.0, None), ("a", "cagr"): ("X", 21.0, None), ("b", "winner"): (None, 5e8, "Y")}
