@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.session import keep
+from ledgerloom.session import keep, spread
 
 SHINGLE, BANDS, ROWS, SEED = 3, 64, 2, 11
 #: Half of an item's words, in order and in one stretch, make a leak.
@@ -177,7 +177,7 @@ def bitmap(items: DataFrame, share: float, bits: int) -> np.ndarray:
     """The bitmap of the shingles of all items: at most MOST_BITS bits, whatever their number."""
     parts = items.select("item", "words").mapInArrow(_bits(share, bits), "chunk int, part binary").groupBy("chunk").applyInPandas(_either, "chunk int, part binary")
     out = np.zeros(bits // 8, np.uint8)
-    for chunk, part in parts.toLocalIterator():
+    for chunk, part in parts.collect():
         own = np.frombuffer(bytes(part), np.uint8)
         out[chunk * (_CHUNK // 8) : chunk * (_CHUNK // 8) + len(own)] = own
     return out
@@ -293,11 +293,13 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, most_bits: in
     bits = max(_CHUNK, min(most_bits, 1 << math.ceil(math.log2(max(2, BITS_EACH * total)))))
     classes = sorted(r[0] for r in index.select("class").distinct().collect())
     table = spark.sparkContext.broadcast(bitmap(wanted, share, bits))
-    hashed = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), words)
+    hashed = spread(docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", words)
     seen = keep(hashed.mapInArrow(_scan(table, bits, classes), "doc long, doc_id long, words array<long>, text boolean, start int, end int, keys array<long>"), "windows")
     windows = seen.where("keys IS NOT NULL").select("doc", "start", "end", F.explode("keys").alias("key"))
     hits = windows.join(index.select("item", F.explode("keys").alias("key")).distinct(), "key")
     spans = hits.groupBy("doc", "item").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     texts = seen.where("text").select("doc", "doc_id", "words")
     pairs = spans.join(texts, "doc").join(wanted.select("item", "passage_id", F.col("words").alias("own")), "item")
-    return pairs.select("doc_id", "passage_id", "own", "words", "spans").mapInArrow(_verify(share), "doc_id long, passage_id long, share double, n_words int")
+    # An alignment costs more than its bytes tell, so the adaptive planner must not merge these partitions.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.select("doc_id", "passage_id", "own", "words", "spans").repartition(tasks).mapInArrow(_verify(share), "doc_id long, passage_id long, share double, n_words int")

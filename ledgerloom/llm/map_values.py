@@ -157,10 +157,9 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 @dataclass
 class Index:
-    """The reference as tables: entries (entry, code, name, scopes), idf (feature, idf) and postings (feature, entry, y)."""
+    """The reference as tables: entries (entry, code, name, scopes) and postings (feature, idf, entry, y)."""
 
     entries: DataFrame
-    idf: DataFrame
     postings: DataFrame
     #: Weight of a feature that no entry has.
     rare: float
@@ -169,14 +168,15 @@ class Index:
 def index_of(reference: DataFrame) -> Index:
     """The inverted index of reference names (code, name, scopes); frequencies are those of the whole reference."""
     rows = reference.where("code IS NOT NULL AND name IS NOT NULL").select("code", "name", "scopes").distinct()
-    entries = keep(rows.withColumn("entry", F.monotonically_increasing_id()), "entries")
+    # A number that doesn't depend on the order of the rows, so nothing has to be written to keep it.
+    entries = rows.withColumn("entry", F.xxhash64("code", "name", F.col("scopes").cast("string")))
     n = entries.count()
-    found = keep(entries.select(F.col("entry").alias("id"), F.col("name").alias("text")).mapInPandas(_features, "id long, feature string, weight double"), "features")
-    idf = keep(found.groupBy("feature").agg(F.log(1 + F.lit(float(n)) / F.count("*")).alias("idf")), "idf")
-    weighted = found.join(idf, "feature").select("feature", F.col("id").alias("entry"), (F.col("weight") * F.col("idf")).alias("x"))
-    norm = weighted.groupBy("entry").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    postings = keep(weighted.join(norm, "entry").select("feature", "entry", (F.col("x") / F.col("norm")).alias("y")), "postings")
-    return Index(entries, idf, postings, math.log(1 + n))
+    found = entries.select(F.col("entry").alias("id"), F.col("name").alias("text")).mapInPandas(_features, "id long, feature string, weight double")
+    weighted = found.join(found.groupBy("feature").agg(F.log(1 + F.lit(float(n)) / F.count("*")).alias("idf")), "feature")
+    # An entry's features are bounded by its name.
+    norm = F.sqrt(F.sum(F.pow(F.col("weight") * F.col("idf"), F.lit(2.0))).over(Window.partitionBy("id")))
+    postings = keep(weighted.select("feature", "idf", F.col("id").alias("entry"), (F.col("weight") * F.col("idf") / norm).alias("y")), "postings")
+    return Index(entries, postings, math.log(1 + n))
 
 
 def _score(shared, rare: float):
@@ -207,15 +207,16 @@ def _score(shared, rare: float):
 def _scored(values: DataFrame, index: Index, in_memory: int) -> DataFrame:
     """id, code, score, entry of at least the two best codes of every value (id, text, ll_scope)."""
     schema = "id long, code string, score double, entry long"
-    if index.postings.count() <= in_memory:
+    few = index.postings.limit(in_memory + 1).collect()
+    if len(few) <= in_memory:
         postings: dict[str, list[tuple[int, float]]] = {}
-        for g, i, y in index.postings.collect():
+        for g, _, i, y in few:
             postings.setdefault(g, []).append((i, y))
         rows = {r["entry"]: (r["code"], r["scopes"]) for r in index.entries.select("entry", "code", "scopes").collect()}
-        shared = values.sparkSession.sparkContext.broadcast((dict(map(tuple, index.idf.collect())), postings, rows))
+        shared = values.sparkSession.sparkContext.broadcast(({g: x for g, x, _, _ in few}, postings, rows))
         return values.mapInPandas(_score(shared, index.rare), schema)
     found = keep(values.mapInPandas(_features, "id long, feature string, weight double"), "value_features")
-    weighted = found.join(index.idf, "feature", "left").select("id", "feature", (F.col("weight") * F.coalesce("idf", F.lit(index.rare))).alias("x"))
+    weighted = found.join(index.postings.select("feature", "idf").distinct(), "feature", "left").select("id", "feature", (F.col("weight") * F.coalesce("idf", F.lit(index.rare))).alias("x"))
     norm = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     sums = weighted.join(index.postings, "feature").groupBy("id", "entry").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
     j = sums.join(norm, "id").join(values.select("id", "ll_scope"), "id").join(index.entries.select("entry", "code", "scopes"), "entry")

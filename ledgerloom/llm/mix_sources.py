@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.session import keep
+from ledgerloom.session import keep, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the pattern that splits text before the merges of such rank files.
@@ -72,7 +72,7 @@ def measured(docs: DataFrame, tokenizer: str = TOKENIZER, pattern: str = PATTERN
     with open(tokenizer, "rb") as f:
         vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
     rows = docs.where("text IS NOT NULL AND source IS NOT NULL").select(F.col("doc_id").cast("long"), "source", "text")
-    return keep(rows.mapInPandas(_count(vocabulary, pattern), "doc_id long, source string, n_tokens long"), "tokens")
+    return keep(spread(rows).mapInPandas(_count(vocabulary, pattern), "doc_id long, source string, n_tokens long"), "tokens")
 
 
 def permutation(n: int, rng: np.random.Generator) -> tuple[int, int, int]:

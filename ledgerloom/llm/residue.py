@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.session import keep
+from ledgerloom.session import keep, spread
 
 #: A low-information response holds at most so many different terms.
 TERMS = 40
@@ -171,7 +171,7 @@ def _look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def looked_at(docs: DataFrame) -> DataFrame:
     """doc_id, title, low, shapes (hashes), kinds: what one pass over the texts tells about every document."""
     rows = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "company", "report_id")
-    return keep(rows.mapInPandas(_look, "doc_id long, title string, low boolean, shapes array<long>, kinds array<string>"), "looked")
+    return keep(spread(rows).mapInPandas(_look, "doc_id long, title string, low boolean, shapes array<long>, kinds array<string>"), "looked")
 
 
 def residue_shapes(seen: DataFrame) -> DataFrame:
