@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.dates import filing_day, matches_period
 from ledgerloom.functions.numbers import name_key, symbol_key
-from ledgerloom.session import keep
 
 # Financial items that a holders' section states for the largest holder, not for the filer.
 HOLDER_SECTIONS = ["주주에 관한 사항", "Holders"]
@@ -176,21 +175,16 @@ def lookup_many(facts: DataFrame, specs: DataFrame, limit: int = 10) -> DataFram
     narrow = q.isNull() | F.when(F.length(q) == 4, of_year).otherwise(month(F.replace(q, F.lit("-"))))
     wide = q.isNull() | F.when(F.length(q) == 4, of_year).otherwise(month(F.substring(q, 1, 4)))
 
-    def tagged(rows: DataFrame, first: int) -> DataFrame:
-        return admitted(rows).withColumn("tier", F.when(narrow, F.lit(first)).when(wide, F.lit(first + 1))).where("tier IS NOT NULL")
-
-    # Most lookups end with facts of exactly their item: company and item are the join key, so a large filer's facts don't all meet its questions.
-    exact = keep(tagged(day.join(s, (F.col("company") == F.col("q_company")) & (F.col("key_norm") == F.col("q_key"))), 0), "exact")
-    rest = s.join(exact.select("query_id").distinct(), "query_id", "left_anti")
-    # The others look for their item within the distinct spellings of the company's items, and then for the facts of those.
+    # An item is looked for within the distinct spellings of the company's items, not within its facts; then company and
+    # spelling are the join key, so a large filer's facts don't all meet its questions.
     spelled = day.select(F.col("company").alias("s_company"), F.col("key_norm").alias("s_norm"), F.col("key").alias("s_key")).distinct()
     inside = F.contains(F.lower("s_norm"), F.lower("q_key")) | F.contains(F.lower("s_key"), F.lower("q_key"))
-    of = rest.join(spelled, F.col("s_company") == F.col("q_company")).where(inside).drop("s_company")
+    of = s.join(spelled, F.col("s_company") == F.col("q_company")).where(inside).drop("s_company")
     same = (F.col("company") == F.col("q_company")) & F.col("key_norm").eqNullSafe(F.col("s_norm")) & F.col("key").eqNullSafe(F.col("s_key"))
-    partial = keep(tagged(day.join(of, same).drop("s_norm", "s_key"), 2), "partial")
-    both = exact.unionByName(partial)
-    low = both.groupBy("query_id").agg(F.min("tier").alias("low"))
-    hits = both.join(low, "query_id").where("tier = low").drop("low")
+    rows = admitted(day.join(of, same)).withColumn("ll_exact", F.coalesce(F.col("key_norm") == F.col("q_key"), F.lit(False))).drop("s_norm", "s_key")
+    tier = F.when(F.col("ll_exact") & narrow, 0).when(F.col("ll_exact") & wide, 1).when(narrow, 2).when(wide, 3)
+    tagged = rows.withColumn("tier", tier).where("tier IS NOT NULL").drop("ll_exact")
+    hits = tagged.withColumn("ll_low", F.min("tier").over(Window.partitionBy("query_id"))).where("tier = ll_low").drop("ll_low")
     by_value = lambda name: F.when(F.col("q_order_by") == name, F.col("value_num"))
     w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last(by_value("value_desc")), F.asc_nulls_last(by_value("value_asc")), F.desc_nulls_last("day"), "fact_id")
     out = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.coalesce("q_most", F.lit(limit)))

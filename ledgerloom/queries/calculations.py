@@ -8,7 +8,7 @@ from ledgerloom.functions import dates, numbers
 from ledgerloom.functions.text import normalise_key
 from ledgerloom.operators import derive, evaluate
 from ledgerloom.operators.facts import with_day
-from ledgerloom.queries.sql import DOCS, FACTS, day
+from ledgerloom.queries.sql import FACTS, day
 from ledgerloom.session import table
 
 

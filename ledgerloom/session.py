@@ -64,6 +64,15 @@ def keep(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df on as many tasks as there are cores, if it is a plain scan of fewer splits: for work that costs far more than its bytes. Larger scans stay where they are."""
+    spark = df.sparkSession
+    if "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    cores = spark.sparkContext.defaultParallelism
+    return df if df._jdf.toJavaRDD().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def drop_kept(spark: SparkSession) -> None:
     """Remove this session's tables of keep() from the shared folder, at the end of a job. Results that read them must be written before."""
     jvm = spark.sparkContext._jvm
