@@ -16,15 +16,18 @@ GREEK_AS = "ovABEZHIKMNOPTYX"
 
 LOOKALIKE, LATIN = CYRILLIC + GREEK, CYRILLIC_AS + GREEK_AS
 # Full-width forms U+FF01..U+FF5E are ASCII shifted by 0xFEE0.
-WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
-NARROW = "".join(chr(ord(c) - 0xFEE0) for c in WIDE)
+_FULL = "".join(map(chr, range(0xFF01, 0xFF5F)))
+# Mathematical letters and digits (bold, italic, script ...) that stand for one Latin letter or digit, by the Unicode tables.
+_MATHS = "".join(c for c in map(chr, range(0x1D400, 0x1D800)) if (n := unicodedata.normalize("NFKC", c)) != c and len(n) == 1 and n.isascii())
+WIDE = _FULL + _MATHS
+NARROW = "".join(chr(ord(c) - 0xFEE0) for c in _FULL) + unicodedata.normalize("NFKC", _MATHS)
 SPACES = "".join(map(chr, [0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]))
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "㈜": "(주)"}
 
 #: Characters that make a text suspicious: marks, formats, exotic spaces, compatibility forms, conjoining jamo, other scripts with look-alikes.
 SUSPICIOUS = (
     r"[\p{Mn}\p{Cf}\u00A0\u1680\u180E\u2000-\u200A\u202F\u205F\u3000\u0370-\u03FF\u0400-\u052F"
-    r"\u1100-\u11FF\uA960-\uA97F\uD7B0-\uD7FF\uFB00-\uFB06\uFF00-\uFFEF\u321C]"
+    r"\u1100-\u11FF\uA960-\uA97F\uD7B0-\uD7FF\uFB00-\uFB06\uFF00-\uFFEF\u321C\x{1D400}-\x{1D7FF}]"
 )
 #: Greek and Cyrillic letters that look like no Latin one.
 FOREIGN = "[\\u0370-\\u03FF\\u0400-\\u052F&&[\\p{L}]&&[^" + LOOKALIKE + "]]"
