@@ -15,7 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import FOREIGN, SUSPICIOUS, compose, fold_width, lookalikes_to_latin, plain
+from ledgerloom.session import keep
 
+#: Disguised values that are sent to the rows; more of them meet the rows by a join over so many salts.
+BROADCAST_VALUES, SALTS = 200_000, 16
 CLASSES = """
     SELECT ll_field, ll_skeleton COLLATE UNICODE AS ll_class,
            min_by(ll_value, struct(ll_rank, length(ll_value), ll_value)) AS ll_member, min(ll_rank) AS ll_rank
@@ -66,22 +69,39 @@ def canonical_values(df: DataFrame, columns: list[str]) -> DataFrame:
     return joined.select("ll_field", "ll_value", built.alias("ll_canonical")).where("ll_value <> ll_canonical")
 
 
+def _small(cases: DataFrame) -> tuple[DataFrame, bool]:
+    cases = keep(cases, "cases")
+    return cases, cases.count() <= BROADCAST_VALUES
+
+
 def disguised(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """key, field for every stored value that looks like a plain spelling but isn't the same characters."""
-    cases = canonical_values(df, columns)
+    cases, small = _small(canonical_values(df, columns).select("ll_field", "ll_value"))
     rows = _values(df, columns, key).where(F.col("ll_value").rlike(SUSPICIOUS))
-    return rows.join(cases, ["ll_field", "ll_value"], "left_semi").select(key, F.col("ll_field").alias("field"))
+    if small:
+        return rows.join(F.broadcast(cases), ["ll_field", "ll_value"], "left_semi").select(key, F.col("ll_field").alias("field"))
+    # A disguised value may stand in a third of all rows.
+    salted = cases.withColumn("ll_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("ll_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+    return rows.join(salted, ["ll_field", "ll_value", "ll_salt"], "left_semi").select(key, F.col("ll_field").alias("field"))
 
 
 def unified(df: DataFrame, columns: list[str]) -> DataFrame:
     """df with the named columns in one consistent spelling; all rows and all other columns stay."""
-    cases = canonical_values(df, columns)
+    cases, small = _small(canonical_values(df, columns))
     for c in columns:
         one = cases.where(F.col("ll_field") == c).select(F.col("ll_value").alias("__unify_from"), F.col("ll_canonical").alias("__unify_to"))
         # Plain values carry no join key: they can't be disguised, and a frequent one doesn't skew the join.
         v = F.col(c).cast("string")
         keyed = df.withColumn("__unify_key", F.when(v.rlike(SUSPICIOUS), v))
-        hit = keyed.where("__unify_key IS NOT NULL").join(one, F.col("__unify_key") == F.col("__unify_from"), "left")
-        hit = hit.withColumn(c, F.coalesce("__unify_to", c)).drop("__unify_key", "__unify_from", "__unify_to")
+        hit, same = keyed.where("__unify_key IS NOT NULL"), F.col("__unify_key") == F.col("__unify_from")
+        if small:
+            one = F.broadcast(one)
+        else:
+            one = one.withColumn("__unify_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            hit = hit.withColumn("__unify_row", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+            same = same & (F.col("__unify_row") == F.col("__unify_salt"))
+        hit = hit.join(one, same, "left").withColumn(c, F.coalesce("__unify_to", c))
+        hit = hit.drop("__unify_key", "__unify_from", "__unify_to", "__unify_row", "__unify_salt")
         df = keyed.where("__unify_key IS NULL").drop("__unify_key").unionByName(hit)
     return df

@@ -12,9 +12,11 @@ def table(spark, rows):
     return spark.createDataFrame(rows, "fact_id long, company string, key string, ll_value string")
 
 
-def test_disguised_values(spark):
+@pytest.mark.parametrize("most", [unify_text.BROADCAST_VALUES, 0])
+def test_disguised_values(spark, monkeypatch, most):
+    monkeypatch.setattr(unify_text, "BROADCAST_VALUES", most)
     plain = ["Mitészuho Robotics", "АО Голесбини Пром", "(주)한글", "Miteszuho Robotics", "※ Revenue", "", "АОС"]
-    odd = ["Mitészuho Robotics", "Mitészuho Rob​otics", unicodedata.normalize("NFD", "Mitészuho Robotics"), "Mitészuho Rоbоtiсs", "Ｍitészuho Robotics", "АО Гoлecбини Пром", "（주）한글", unicodedata.normalize("NFD", "(주)한글"), "Proﬁt"]
+    odd = ["Mitészuho Robotics", "Mitészuho Rob​otics", unicodedata.normalize("NFD", "Mitészuho Robotics"), "Mitészuho Rоbоtiсs", "Ｍitészuho Robotics", "АО Гoлecбини Пром", "（주）한글", "𝐌𝐢𝐭é𝐬𝐳𝐮𝐡𝐨 𝑅𝑜𝑏𝑜𝑡𝑖𝑐𝑠", unicodedata.normalize("NFD", "(주)한글"), "Proﬁt"]
     rows = [(i, v, None, "x") for i, v in enumerate(plain + odd)] + [(99, None, odd[0], "x"), (100, odd[0], None, "y")]
     got = {tuple(r) for r in unify_text.disguised(table(spark, rows), "fact_id", ["company", "key"]).collect()}
     assert got == {(i, "company") for i in range(len(plain), len(plain) + len(odd))} | {(99, "key"), (100, "company")}
@@ -22,7 +24,7 @@ def test_disguised_values(spark):
     assert out.columns == ["fact_id", "company", "key", "ll_value"]
     by = {r.fact_id: r for r in out.collect()}
     assert len(by) == len(rows)
-    assert [by[i].company for i in range(len(plain), len(plain) + len(odd))] == [plain[0]] * 5 + [plain[1], plain[2], plain[2], "Profit"]
+    assert [by[i].company for i in range(len(plain), len(plain) + len(odd))] == [plain[0]] * 5 + [plain[1], plain[2], plain[0], plain[2], "Profit"]
     assert by[99].company is None and by[99].key == plain[0]
 
 
