@@ -164,6 +164,39 @@ def cross_entity(text: Column, answer: Column, company: Column, others: Column,
     return F.coalesce(foreign > own, F.lit(False))
 
 
+def comparison_suite(pairs: DataFrame, per_item: int = 20) -> DataFrame:
+    """id, field_code, company_a, company_b, answer: which of two companies states more, capped per item in the order of a hash. pairs: with winner; ties ask nothing."""
+    g = pairs.where("winner <> 'tie'").withColumn("id", F.md5(F.concat_ws("|", "field_code", "company_a", "company_b")))
+    w = Window.partitionBy("field_code").orderBy("id")
+    return g.withColumn("i", F.row_number().over(w)).where(F.col("i") <= per_item).select("field_code", "company_a", "company_b", F.col("winner").alias("answer"), "id")
+
+
+def correction_suite(pairs: DataFrame, per_chain: int = 3) -> DataFrame:
+    """id, correction_group_id, field_code, before, after: what a correction changed, capped per chain in the order of a hash. pairs: versions.version_pairs()."""
+    g = pairs.where("changed").withColumn("id", F.md5(F.concat_ws("|", "correction_group_id", "field_code")))
+    w = Window.partitionBy("correction_group_id").orderBy("id")
+    return g.withColumn("i", F.row_number().over(w)).where(F.col("i") <= per_chain).select("correction_group_id", "field_code", "before", "after", "id")
+
+
+def reproduced(gold: DataFrame, facts: DataFrame) -> DataFrame:
+    """company, key_norm, answer, reproduced: whether the facts still state every answer of gold_groups()."""
+    now = facts.select("company", "key_norm", F.col("value_text").alias("answer")).distinct().withColumn("ok", F.lit(True))
+    each = gold.select("company", "key_norm", F.explode("answers").alias("answer"))
+    return each.join(now, ["company", "key_norm", "answer"], "left").select("company", "key_norm", "answer", F.coalesce("ok", F.lit(False)).alias("reproduced"))
+
+
+#: From so many mentions in a text on an item needs a qualifier in its question.
+MANY = 10
+# What narrows a question down to one of several mentions.
+QUALIFIER = r"[0-9]{4}|연결|별도|분기|반기|consolidated|separate"
+
+
+def cleaning_verdict(question: Column, key: Column, text: Column, answer: Column, company: Column, others: Column) -> Column:
+    """good, cross_entity (the value belongs to another company of the text) or ambiguous (the item occurs MANY times and the question doesn't say which)."""
+    times = (F.length(text) - F.length(F.replace(text, key, F.lit("")))) / F.length(key)
+    return F.when(cross_entity(text, answer, company, others), "cross_entity").when((times >= MANY) & ~question.rlike(QUALIFIER), "ambiguous").otherwise("good")
+
+
 def shared_terms(names: DataFrame) -> DataFrame:
     """term, n: common beginnings of six letters or more of pairs of kind names without a bracket. names: name (a short list of kinds)."""
     a, b = names.select(F.col("name").alias("a")).distinct(), names.select(F.col("name").alias("b")).distinct()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["retrieval", "units", "facts", "versions", "calculations", "documents", "planning", "service", "grading"]
+MODULES = ["retrieval", "units", "facts", "versions", "calculations", "documents", "planning", "service", "grading", "suites"]
 
 
 def _all(what: str) -> dict:
