@@ -98,46 +98,46 @@ def convert(facts: DataFrame) -> DataFrame:
     ).drop("ll_amount", "ll_unit", "ll_factor", "ll_offset", "ll_from")
 
 
+#: What makes two records equal: chain, item, unit, factor and amount.
+RECORD = ["g", "f", "u", "k", "v"]
+
+
 def _classes(facts: DataFrame, tolerance: float) -> tuple[DataFrame, DataFrame]:
-    """Facts with the class of their record (fact_id, c, d), and pairs of classes that agree (c, d, c2, d2), the smaller unit first.
+    """Facts with their record (fact_id and RECORD), and pairs of records that agree (RECORD, k2, v2), the smaller unit first.
 
-    Equal records of one chain, item, unit and amount are one class, named by two hashes, so repeated rows never meet
-    each other; classes meet by a logarithmic bucket, so a large chain isn't compared all against all.
+    Equal records are one class, so repeated rows never meet each other; classes meet by a logarithmic bucket, so a large
+    chain isn't compared all against all.
     """
     own = facts.where("value_owner IS NULL AND correction_group_id IS NOT NULL AND field_code IS NOT NULL")
     cols = ["fact_id", "correction_group_id", "field_code", "value_text", "value_num", "value_unit", "value_date", "unit_code", "unit_value", "key"]
     rows = recorded(own.select(*cols)).where("ll_unit IS NOT NULL AND ll_amount IS NOT NULL")
-    rows = rows.select("fact_id", F.col("correction_group_id").alias("g"), F.col("field_code").alias("f"), F.col("ll_unit").alias("u"), F.col("ll_factor").alias("k"), (F.col("ll_amount") * F.col("ll_factor") + F.col("ll_offset")).alias("v"))
-    names = ["g", "f", "u", "k", "v"]
-    rows = keep(rows.withColumns({"c": F.xxhash64(*names), "d": F.xxhash64(F.lit(7), *names)}), "amounts")
+    rows = keep(rows.select("fact_id", F.col("correction_group_id").alias("g"), F.col("field_code").alias("f"), F.col("ll_unit").alias("u"), F.col("ll_factor").alias("k"), (F.col("ll_amount") * F.col("ll_factor") + F.col("ll_offset")).alias("v")), "amounts")
     width = 2.5 * tolerance
     place = F.when(F.col("v") == 0, F.lit(-1e9)).otherwise(F.log(F.abs("v")) / width)
-    # Chain, item and unit as one hash: the amounts decide, and chains that share it by chance are told apart by the second one.
-    at, also = F.xxhash64("g", "f", "u"), F.xxhash64(F.lit(7), "g", "f", "u")
-    classes = rows.select(at.alias("x"), also.alias("y"), "k", "v", "c", "d").distinct().withColumn("p", place)
+    classes = rows.select(*RECORD).distinct().withColumn("p", place)
     left = classes.withColumn("b", F.floor("p"))
     near = F.floor("p") + F.when(F.col("p") - F.floor("p") >= 0.5, 1).otherwise(-1)
     right = classes.withColumn("b", F.explode(F.array(F.floor("p"), near))).drop("p")
     right = right.select(*[F.col(c).alias(c + "2") for c in right.columns])
     close = F.abs(F.col("v") - F.col("v2")) <= F.lit(tolerance) * F.greatest(F.abs("v"), F.abs("v2"))
-    pairs = left.join(right, (F.col("x") == F.col("x2")) & (F.col("y") == F.col("y2")) & (F.col("b") == F.col("b2")) & (F.col("k") < F.col("k2")) & close)
-    return rows.select("fact_id", "c", "d"), keep(pairs.select("c", "d", "c2", "d2"), "agreeing")
+    pairs = left.join(right, (F.col("g") == F.col("g2")) & (F.col("f") == F.col("f2")) & (F.col("b") == F.col("b2")) & (F.col("u") == F.col("u2")) & (F.col("k") < F.col("k2")) & close)
+    return rows, pairs.select(*RECORD, "k2", "v2")
 
 
 def same_amounts(facts: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """fact_id_a, fact_id_b: facts of one chain and item whose amounts agree in the common unit though their recorded units differ in size."""
     rows, pairs = _classes(facts, tolerance)
     a = rows.withColumnRenamed("fact_id", "a")
-    b = rows.select(F.col("fact_id").alias("b"), F.col("c").alias("c2"), F.col("d").alias("d2"))
-    out = pairs.join(a, ["c", "d"]).join(b, ["c2", "d2"])
+    b = rows.select(F.col("fact_id").alias("b"), "g", "f", "u", F.col("k").alias("k2"), F.col("v").alias("v2"))
+    out = pairs.join(a, RECORD).join(b, ["g", "f", "u", "k2", "v2"])
     return out.select(F.least("a", "b").alias("fact_id_a"), F.greatest("a", "b").alias("fact_id_b"))
 
 
 def amount_links(facts: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """fact_id, class_id, n_links: every fact with an amount, the smallest fact_id of its equal records, and the number of facts that agree with it in another unit."""
     rows, pairs = _classes(facts, tolerance)
-    sizes = keep(rows.groupBy("c", "d").agg(F.min("fact_id").alias("class_id"), F.count("*").alias("n")), "classes")
-    both = pairs.union(pairs.select("c2", "d2", "c", "d"))
-    links = both.join(sizes.select(F.col("c").alias("c2"), F.col("d").alias("d2"), "n"), ["c2", "d2"]).groupBy("c", "d").agg(F.sum("n").alias("n_links"))
-    named = sizes.select("c", "d", "class_id").join(links, ["c", "d"], "left")
-    return rows.join(named, ["c", "d"]).select("fact_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    pairs, sizes = keep(pairs, "agreeing"), keep(rows.groupBy(*RECORD).agg(F.min("fact_id").alias("class_id"), F.count("*").alias("n")), "classes")
+    both = pairs.union(pairs.select("g", "f", "u", "k2", "v2", "k", "v"))
+    links = both.join(sizes.select("g", "f", "u", F.col("k").alias("k2"), F.col("v").alias("v2"), "n"), ["g", "f", "u", "k2", "v2"]).groupBy(*RECORD).agg(F.sum("n").alias("n_links"))
+    named = sizes.drop("n").join(links, RECORD, "left")
+    return rows.join(named, RECORD).select("fact_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
