@@ -189,7 +189,7 @@ def test_shards_of_fifty_billion_tokens(spark):
     assert df.count() == df.select("source", "block", "copy").distinct().count() == sum(q.copies for q in quotas)
 
 
-def test_mixing_a_table(spark):
+def test_mixing_a_table(spark, monkeypatch):
     rows = [(i, "word " * (5 + i % 7), "a" if i < 300 else "b", 1) for i in range(330)] + [(900, None, "a", 1), (901, "x", None, 1), (902, "x", "unknown", 1), (903, "", "a", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_tokens int")
     targets = spark.createDataFrame([("a", 0.7, 1), ("b", 0.3, 4), ("empty", 0.2, 1)], "source string, target_share double, max_repeats int")
@@ -198,6 +198,7 @@ def test_mixing_a_table(spark):
     assert set(out.source) == {"a", "b"} and out[out.source == "b"].groupby("doc_id").size().max() <= 4
     share = out.groupby("source").n_tokens.sum() / out.n_tokens.sum()
     assert abs(share["a"] - 0.7) < 0.02
+    monkeypatch.setattr(mix_sources, "BROADCAST_BLOCKS", 0)
     again = mix_sources.mix(docs.repartition(5), targets, block_tokens=50, shard_tokens=1000).toPandas()
     pd.testing.assert_frame_equal(out.sort_values(["shard", "position"], ignore_index=True), again.sort_values(["shard", "position"], ignore_index=True))
     assert all(r.meets and r.within for r in mix_sources.reached(spark.createDataFrame(out), docs, targets).collect())

@@ -12,9 +12,10 @@ def table(spark, rows):
     return spark.createDataFrame(rows, "fact_id long, company string, key string, ll_value string")
 
 
-@pytest.mark.parametrize("most", [unify_text.BROADCAST_VALUES, 0])
-def test_disguised_values(spark, monkeypatch, most):
-    monkeypatch.setattr(unify_text, "BROADCAST_VALUES", most)
+@pytest.mark.parametrize("least", [unify_text.HOT_ROWS, 2, 1])
+def test_disguised_values(spark, monkeypatch, least):
+    """No value, the repeated one, and every value met as a hot one."""
+    monkeypatch.setattr(unify_text, "HOT_ROWS", least)
     plain = ["Mitészuho Robotics", "АО Голесбини Пром", "(주)한글", "Miteszuho Robotics", "※ Revenue", "", "АОС"]
     odd = ["Mitészuho Robotics", "Mitészuho Rob​otics", unicodedata.normalize("NFD", "Mitészuho Robotics"), "Mitészuho Rоbоtiсs", "Ｍitészuho Robotics", "АО Гoлecбини Пром", "（주）한글", "𝐌𝐢𝐭é𝐬𝐳𝐮𝐡𝐨 𝑅𝑜𝑏𝑜𝑡𝑖𝑐𝑠", unicodedata.normalize("NFD", "(주)한글"), "Proﬁt"]
     rows = [(i, v, None, "x") for i, v in enumerate(plain + odd)] + [(99, None, odd[0], "x"), (100, odd[0], None, "y")]
@@ -62,8 +63,9 @@ def brute(rows):
     return {i: low[find(("row", i))] for i, *_ in rows}
 
 
-@pytest.mark.parametrize("edges_per_task", [2_000_000, 20])
-def test_groups_equal_brute_force(spark, edges_per_task):
+@pytest.mark.parametrize(("edges_per_task", "rows"), [(2_000_000, group_split.BROADCAST_ROWS), (20, 0)])
+def test_groups_equal_brute_force(spark, monkeypatch, edges_per_task, rows):
+    monkeypatch.setattr(group_split, "BROADCAST_ROWS", rows)
     r = random.Random(edges_per_task)
     rows = [(i, *(None if r.random() < 0.4 else f"{'' if r.random() < 0.02 else r.randrange(260)}" for _ in range(3))) for i in range(1, 400)]
     rows += [(i, "hot", None, None) for i in range(1000, 1200)] + rows[:20]
@@ -78,7 +80,9 @@ def test_stars_on_a_long_path(spark):
     assert got == {**{i: 0 for i in range(1, 201)}, 501: 500}
 
 
-def test_splits_follow_the_greedy_rule(spark):
+@pytest.mark.parametrize("most", [group_split.BROADCAST_ROWS, 0])
+def test_splits_follow_the_greedy_rule(spark, monkeypatch, most):
+    monkeypatch.setattr(group_split, "BROADCAST_ROWS", most)
     sizes = [50, 30, 30, 11, 7, 7, 7, 1, 1, 1, 1, 1, 1, 1, 1]
     rows = [(100 * g + j, 100 * g) for g, n in enumerate(sizes) for j in range(n)]
     targets = {"train": 0.7, "validation": 0.15, "test": 0.15}
