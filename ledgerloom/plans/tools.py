@@ -56,7 +56,7 @@ class Tools:
         return best.select("company", "f.*").orderBy(F.desc("value_num"), "company")
 
     def call(self, name: str, /, **arguments) -> DataFrame:
-        """Runs a tool by name; a wrong name or argument comes back as a row with the error."""
+        """Runs a tool by name; a wrong name or argument comes back as a row with the error. A failure while the rows are computed is the caller's."""
         tool: Callable | None = None if name.startswith("_") or name == "call" else getattr(self, name, None)
         try:
             if tool is None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.numbers import name_key
 from ledgerloom.operators import versions as ops
 from ledgerloom.queries.facts import documents, facts
 from ledgerloom.queries.sql import DOCS
@@ -11,7 +12,7 @@ from ledgerloom.session import table
 
 
 def _manifest(spark, d):
-    return table(spark, d, "manifest").groupBy("doc_id").agg(F.min_by(F.struct("corp_code", "doc_group", "doc_subtype", "report_nm", "is_correction", "rcept_no", "rcept_dt", "base_year", "base_month", "flr_nm"), F.coalesce("corp_code", F.lit("~"))).alias("m")).select("doc_id", "m.*")
+    return table(spark, d, "manifest").groupBy("doc_id").agg(F.min_by(F.struct("corp_code", "corp_name", "doc_group", "doc_subtype", "report_nm", "is_correction", "rcept_no", "rcept_dt", "base_year", "base_month", "flr_nm"), F.coalesce("corp_code", F.lit("~"))).alias("m")).select("doc_id", "m.*")
 
 
 def chain_order(spark, d):
@@ -27,8 +28,9 @@ def _targets(spark, d):
 
 
 def chains_built(spark, d):
-    """Chains of corrections with a known filer, found again from dates and titles."""
-    m = _manifest(spark, d).where("corp_code IS NOT NULL").select("doc_id", F.col("corp_code").alias("company"), "rcept_dt", "report_nm")
+    """Chains of corrections, found again from dates and titles; a filer without a code goes by the key of its name."""
+    filer = F.coalesce("corp_code", F.concat(F.lit("name:"), name_key(F.col("corp_name"))), F.concat(F.lit("doc:"), "doc_id"))
+    m = _manifest(spark, d).select("doc_id", filer.alias("company"), "rcept_dt", "report_nm")
     return ops.build_chains(m, _targets(spark, d))
 
 
