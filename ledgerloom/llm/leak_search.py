@@ -299,7 +299,8 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, most_bits: in
     hits = windows.join(index.select("item", F.explode("keys").alias("key")).distinct(), "key")
     spans = hits.groupBy("doc", "item").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     texts = seen.where("text").select("doc", "doc_id", "words")
-    pairs = spans.join(texts, "doc").join(wanted.select("item", "passage_id", F.col("words").alias("own")), "item")
-    # An alignment costs more than its bytes tell, so the adaptive planner must not merge these partitions.
+    # An alignment costs more than its bytes tell, so the adaptive planner must not merge these partitions: the places are
+    # spread by document before the texts meet them, which moves no text once more.
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return pairs.select("doc_id", "passage_id", "own", "words", "spans").repartition(tasks).mapInArrow(_verify(share), "doc_id long, passage_id long, share double, n_words int")
+    pairs = spans.repartition(tasks, "doc").join(texts, "doc").join(wanted.select("item", "passage_id", F.col("words").alias("own")), "item")
+    return pairs.select("doc_id", "passage_id", "own", "words", "spans").mapInArrow(_verify(share), "doc_id long, passage_id long, share double, n_words int")
