@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.numbers import symbol_key
 from ledgerloom.operators.retrieval import bm25
 from ledgerloom.plans import pipeline, planner, schema
 from ledgerloom.queries.facts import documents, facts
@@ -32,11 +33,22 @@ def decompose_questions(spark, d):
 def _sufficiency(spark, d):
     planned = keep(planner.plans(_questions(spark, d)), "plans")
     subs = keep(planner.decompose(planned), "subs")
-    f = facts(spark, d).where("is_latest IS NULL OR is_latest")
-    # Only numbers and item names matter, so facts are counted before they meet the questions.
-    counted = f.groupBy("company", "key_norm").agg(F.count("*").alias("n"))
-    hits = keep(subs.join(counted, "company").select("query_id", "sub_id", "key_norm", "n"), "hits")
-    return planned, planner.sufficiency(planned, subs, hits, hits.select("query_id", F.col("key_norm").alias("item")))
+    f = facts(spark, d).where("is_latest IS NULL OR is_latest").where("company IS NOT NULL")
+    return planned, planner.sufficiency(planned, subs, *_fact_hits(planned, subs, f))
+
+
+def _fact_hits(planned, subs, f):
+    """Counts of facts (query_id, sub_id, n) and the expected items among them (query_id, item), for planner.sufficiency().
+
+    Only numbers and expected items matter, so facts are reduced to both before they meet the questions: all items of a
+    company beside all its questions are millions of rows. Joins are by sorting, as kept tables compress so well that Spark
+    takes large ones for small enough to be broadcast.
+    """
+    hits = subs.join(f.groupBy("company").agg(F.count("*").alias("n")).hint("merge"), "company").select("query_id", "sub_id", "n")
+    wanted = planned.select("query_id", F.explode("expected_fields").alias("item")).join(subs.select("query_id", "company").hint("merge"), "query_id")
+    wanted = wanted.select("query_id", "company", "item", symbol_key(F.lower("item")).alias("k")).distinct()
+    items = f.select("company", "key_norm").distinct().select("company", symbol_key(F.lower("key_norm")).alias("k")).distinct()
+    return keep(hits, "hits"), keep(wanted.join(items.hint("merge"), ["company", "k"]).select("query_id", "item"), "items")
 
 
 def sufficiency_check(spark, d):

@@ -158,6 +158,20 @@ def test_gates(spark):
     assert a == {"1": ("answer", None), "2": ("partial", "missing_field"), "3": ("abstain", "empty_target")}
 
 
+def test_facts_are_reduced_before_they_meet_questions(spark):
+    from ledgerloom.queries.planning import _fact_hits
+
+    planned = spark.createDataFrame([("1", ["Total assets", "x"]), ("2", ["x"]), ("3", [])], "query_id string, expected_fields array<string>")
+    subs = spark.createDataFrame([("1", 0, "A"), ("1", 1, "B"), ("2", 0, "C"), ("3", 0, None)], "query_id string, sub_id int, company string")
+    # Hundreds of items of a company that no question asks for must not stand beside its questions.
+    rows = [("A", f"i{i}") for i in range(300)] + [("A", None), ("B", "totalassets"), ("B", "total assets"), (None, "x")]
+    hits, items = _fact_hits(planned, subs, spark.createDataFrame(rows, "company string, key_norm string"))
+    assert sorted(tuple(r) for r in hits.collect()) == [("1", 0, 301), ("1", 1, 2)]
+    assert [tuple(r) for r in items.collect()] == [("1", "Total assets")]
+    got = {r.query_id: (r.n_hits, r.missing, r.empty_targets) for r in planner.sufficiency(planned, subs, hits, items).collect()}
+    assert got == {"1": (303, ["x"], 0), "2": (0, ["x"], 1), "3": (0, [], 1)}
+
+
 def test_names_in_questions(spark):
     e = spark.createDataFrame([("e1", ["한국전자", "한국전자통신"]), ("e2", ["Acme Robotics"])], "entity_id string, aliases array<string>")
     q = spark.createDataFrame([("1", "한국전자통신의 매출과 acme robotics, 한국전자"), ("2", "acme roboticsx"), ("3", None)], "query_id string, query string")
