@@ -170,21 +170,22 @@ def decompose(planned: DataFrame) -> DataFrame:
 def sufficiency(planned: DataFrame, subs: DataFrame, hits: DataFrame, found: DataFrame) -> DataFrame:
     """query_id, n_hits, missing, empty_targets, sufficient: what a pass has found.
 
+    Joins are by sorting: tables of questions compress so well that Spark would broadcast large ones.
     planned: query_id, expected_fields; subs: decompose(); hits: query_id, sub_id rows (or counts of them, n); found: query_id, item (from texts and facts alike).
     """
     per = hits.groupBy("query_id", "sub_id").agg((F.sum("n") if "n" in hits.columns else F.count("*")).alias("n"))
-    s = subs.join(per, ["query_id", "sub_id"], "left").groupBy("query_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_hits"), F.count_if(F.col("n").isNull()).alias("empty_targets"))
+    s = subs.join(per.hint("merge"), ["query_id", "sub_id"], "left").groupBy("query_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_hits"), F.count_if(F.col("n").isNull()).alias("empty_targets"))
     want = planned.select("query_id", F.explode("expected_fields").alias("item")).withColumn("k", symbol_key(F.lower("item")))
     have = found.select("query_id", symbol_key(F.lower("item")).alias("k")).distinct()
-    missing = want.join(have, ["query_id", "k"], "left_anti").groupBy("query_id").agg(F.array_sort(F.collect_set("item")).alias("missing"))
-    out = planned.select("query_id").join(s, "query_id", "left").join(missing, "query_id", "left")
+    missing = want.join(have.hint("merge"), ["query_id", "k"], "left_anti").groupBy("query_id").agg(F.array_sort(F.collect_set("item")).alias("missing"))
+    out = planned.select("query_id").join(s.hint("merge"), "query_id", "left").join(missing.hint("merge"), "query_id", "left")
     out = out.select("query_id", F.coalesce("n_hits", F.lit(0)).cast("long").alias("n_hits"), F.coalesce("missing", F.array().cast("array<string>")).alias("missing"), F.coalesce("empty_targets", F.lit(0)).cast("long").alias("empty_targets"))
     return out.withColumn("sufficient", (F.col("n_hits") > 0) & (F.size("missing") == 0) & (F.col("empty_targets") == 0))
 
 
 def abstention(planned: DataFrame, report: DataFrame, incomplete_pairs: DataFrame | None = None) -> DataFrame:
     """query_id, action, reason: abstain without evidence; with something missing abstain if closed, partial if open; else answer. incomplete_pairs: query_id."""
-    df = planned.select("query_id", "answer_mode").join(report, "query_id")
+    df = planned.select("query_id", "answer_mode").join(report.hint("merge"), "query_id")
     if incomplete_pairs is not None:
         df = df.join(incomplete_pairs.select("query_id", F.lit(True).alias("pair")).distinct(), "query_id", "left")
     else:

@@ -172,6 +172,14 @@ def test_facts_are_reduced_before_they_meet_questions(spark):
     assert got == {"1": (303, ["x"], 0), "2": (0, ["x"], 1), "3": (0, [], 1)}
 
 
+def test_gates_broadcast_no_questions(spark):
+    planned = spark.range(100).select(F.col("id").cast("string").alias("query_id"), F.lit("open").alias("answer_mode"), F.array(F.lit("x")).alias("expected_fields"))
+    subs = planned.select("query_id", F.lit(0).alias("sub_id"))
+    plan = planner.abstention(planned, planner.sufficiency(planned, subs, subs, planned.select("query_id", F.lit("x").alias("item"))))
+    assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert {(r.action, r.reason) for r in plan.collect()} == {("answer", None)}
+
+
 def test_names_in_questions(spark):
     e = spark.createDataFrame([("e1", ["한국전자", "한국전자통신"]), ("e2", ["Acme Robotics"])], "entity_id string, aliases array<string>")
     q = spark.createDataFrame([("1", "한국전자통신의 매출과 acme robotics, 한국전자"), ("2", "acme roboticsx"), ("3", None)], "query_id string, query string")
