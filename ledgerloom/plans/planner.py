@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.numbers import name_key, symbol_key
+from ledgerloom.session import keep
 
 # Words that decide on mode, task, aggregation, owner, versions and document groups.
 CLOSED = ["얼마인가", "얼마야", "얼마인지", "얼마입니까", "얼마죠", "몇 ", "몇건", "몇개", "어디인가", "어디야", "누구인가", "누구야", "언제인가", "언제야", "무엇인가", "뭐야", "존재하는가", "있는가", "있나요", "있습니까", "더 큰", "더 많은", "가장 큰", "가장 많은", "맞는가", "What was", "How many", "Who is", "When was"]
@@ -225,6 +226,8 @@ def evidence_pack(rows: DataFrame, budget: int = 6000) -> DataFrame:
 
 #: Characters by which names are looked up in questions; names of fewer are looked up whole.
 PROBE = 5
+#: Names that are sent to the questions; more of them meet the questions' characters by a shuffle.
+BROADCAST_NAMES = 200_000
 
 
 def registry(manifest: DataFrame) -> DataFrame:
@@ -239,16 +242,23 @@ def registry(manifest: DataFrame) -> DataFrame:
 def mentions(questions: DataFrame, entities: DataFrame) -> DataFrame:
     """query_id, start, end, surface, entity_id: names in questions, the longest first, without overlaps. entities: registry().
 
-    Both sides meet on the first characters of a name, in lower case, so neither list passes through the driver.
+    Both sides meet on the first characters of a name, in lower case. Up to BROADCAST_NAMES names go to the questions; the
+    questions, of which every character is looked up, never pass through the driver.
     """
     alias = F.lower("alias")
     names = entities.select(F.explode("aliases").alias("alias"), "entity_id").select(alias.alias("alias"), "entity_id").where("length(alias) >= 2")
     # Of equal spellings of several entities the last one by id is meant.
-    names = names.groupBy("alias").agg(F.max("entity_id").alias("entity_id")).withColumn("probe", F.substring("alias", 1, PROBE))
+    names = keep(names.groupBy("alias").agg(F.max("entity_id").alias("entity_id")).withColumn("probe", F.substring("alias", 1, PROBE)), "names")
     q = questions.where("query IS NOT NULL").select("query_id", "query", F.lower("query").alias("low")).where("length(low) > 0")
     at = F.explode(F.sequence(F.lit(1), F.length("low"))).alias("at")
     probes = q.select("query_id", "query", "low", at).withColumn("probe", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(2), F.lit(PROBE)), lambda n: F.substring(F.col("low"), F.col("at"), n)))))
-    found = probes.join(names, "probe").where(F.substring("low", F.col("at"), F.length("alias")) == F.col("alias"))
+    if names.count() <= BROADCAST_NAMES:
+        found = probes.join(F.broadcast(names), "probe")
+    else:
+        # Hints, as Spark takes the characters for as few bytes as the questions; texts stay behind until names are found.
+        met = probes.select("query_id", "at", "probe").join(names.hint("merge"), "probe").distinct()
+        found = q.join(met.hint("merge"), q["query_id"].eqNullSafe(met["query_id"])).drop(met["query_id"])
+    found = found.where(F.substring("low", F.col("at"), F.length("alias")) == F.col("alias"))
     # Latin names end at a word's end; after Korean names particles may follow.
     before, after = F.substring("low", F.greatest(F.col("at") - 1, F.lit(1)), F.when(F.col("at") > 1, 1).otherwise(0)), F.substring("low", F.col("at") + F.length("alias"), F.lit(1))
     latin = lambda c: c.rlike("^[a-z0-9]$")

@@ -70,6 +70,18 @@ def test_names_in_questions(spark):
     assert planner.mentions(q, entities.limit(0)).count() == 0 and planner.mentions(q.limit(0), entities).count() == 0
 
 
+@pytest.mark.parametrize("names", [200_000, 0])
+def test_questions_are_not_broadcast_to_names(spark, monkeypatch, names):
+    monkeypatch.setattr(planner, "BROADCAST_NAMES", names)
+    entities = spark.createDataFrame([("e1", ["Acme Steel", "Acme"]), ("e2", ["갑을"])], "entity_id string, aliases array<string>")
+    q = spark.createDataFrame([("1", "acme steel and Acme"), (None, "갑을의 이익"), ("5", "갑을"), ("5", "of acme"), ("5", "of acme")], "query_id string, query string")
+    m = planner.mentions(q, entities)
+    got = sorted(((r.query_id or "", r.start, r.surface, r.entity_id) for r in m.collect()))
+    assert got == [("", 0, "갑을", "e2"), ("1", 0, "acme steel", "e1"), ("1", 15, "Acme", "e1"), ("5", 0, "갑을", "e2"), ("5", 3, "acme", "e1"), ("5", 3, "acme", "e1")]
+    plan = m._jdf.queryExecution().optimizedPlan().toString()
+    assert ("rightHint=(strategy=broadcast)" if names else "rightHint=(strategy=merge)") in plan and "leftHint" not in plan
+
+
 def test_a_second_stage_searches_again(spark):
     r = random.Random(3)
     docs = [(i, i % 6, [r.uniform(-1, 1) for _ in range(4)]) for i in range(120)]
