@@ -281,7 +281,7 @@ def masked(questions: DataFrame, found: DataFrame) -> DataFrame:
     numbered = found.withColumns({"i": F.row_number().over(w.orderBy("start")), "n": F.count("*").over(w)})
     tag = F.when(F.col("n") > 1, F.concat(F.lit("[COMPANY_"), F.col("i").cast("string"), F.lit("]"))).otherwise("[COMPANY]")
     g = numbered.withColumn("tag", tag).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "tag"))).alias("m"))
-    j = questions.join(g, "query_id", "left")
+    j = questions.join(g.hint("merge"), "query_id", "left")
     step = lambda acc, x: F.struct(F.concat(acc["t"], F.substring(F.col("query"), acc["p"] + 1, x["start"] - acc["p"]), x["tag"]).alias("t"), x["end"].alias("p"))
     folded = F.aggregate("m", F.struct(F.lit("").alias("t"), F.lit(0).alias("p")), step)
     text = F.concat(folded["t"], F.substring(F.col("query"), folded["p"] + 1, F.length("query")))

@@ -180,6 +180,14 @@ def test_gates_broadcast_no_questions(spark):
     assert {(r.action, r.reason) for r in plan.collect()} == {("answer", None)}
 
 
+def test_names_are_masked_without_a_broadcast(spark):
+    q = spark.range(3).select(F.col("id").cast("string").alias("query_id"), F.lit("ab cd").alias("query"))
+    found = spark.range(2).select(F.col("id").cast("string").alias("query_id"), F.lit(0).alias("start"), F.lit(2).alias("end"))
+    marked = planner.masked(q, found)
+    assert "Broadcast" not in marked._jdf.queryExecution().executedPlan().toString()
+    assert {r.query_id: r.masked for r in marked.collect()} == {"0": "[COMPANY] cd", "1": "[COMPANY] cd", "2": "ab cd"}
+
+
 def test_names_in_questions(spark):
     e = spark.createDataFrame([("e1", ["한국전자", "한국전자통신"]), ("e2", ["Acme Robotics"])], "entity_id string, aliases array<string>")
     q = spark.createDataFrame([("1", "한국전자통신의 매출과 acme robotics, 한국전자"), ("2", "acme roboticsx"), ("3", None)], "query_id string, query string")
