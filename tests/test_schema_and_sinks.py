@@ -121,6 +121,37 @@ def test_words_are_counted_once_for_all_documents(spark, monkeypatch, terms):
     assert retrieval.bm25(c.limit(0), q, 3).count() == 0 and retrieval.bm25(c, q.limit(0), 3).count() == 0
 
 
+@pytest.mark.parametrize(("block", "documents", "terms"), [(20_000, 32_768, 500_000), (3, 7, 0)])
+def test_ranked_words_equal_brute_force(spark, monkeypatch, block, documents, terms):
+    import math
+    from collections import Counter
+
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
+    monkeypatch.setattr(retrieval, "DOCUMENT_BLOCK", documents)
+    monkeypatch.setattr(retrieval, "BROADCAST_TERMS", terms)
+    r = random.Random(5)
+    word = lambda: r.choice("aaaabbbccdefgh")
+    for repeated in (False, True):
+        c = [(f"d{i:02}", " ".join(word() for _ in range(r.randint(0, 9)))) for i in range(60)]
+        c += [(None, "a h"), ("none", None)] + [("d03", "a b"), ("d03", "a c"), ("d03", "a b h"), ("d04", c[4][1])] * repeated
+        q = [(i, " ".join(word() for _ in range(r.randint(0, 4)))) for i in range(12)] + [(None, "h g"), (3, "a b"), (90, "a h"), (91, "h a"), (92, None)]
+        docs = [(i, t.split()) for i, t in c if t is not None]
+        n, avgdl = len(docs), sum(len(t) for _, t in docs) / len(docs)
+        # SQL's groups: texts of an id that are equally long add up their frequencies.
+        tf = Counter((w, i, len(t)) for i, t in docs for w in t)
+        df, asked = Counter(w for w, _, _ in tf), Counter((i, w) for i, t in q if t for w in t.split())
+        want = set()
+        for i in {i for i, _ in asked}:
+            s = Counter()
+            for (w, d, dl), f in tf.items():
+                s[d] += math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * dl / avgdl)) * asked[i, w]
+            best = sorted((-round(x, 6), d or "") for d, x in s.items() if round(x, 6) > 0)[:5]
+            want |= {(i, d or None, -x, k) for k, (x, d) in enumerate(best, 1)}
+        corpus = spark.createDataFrame(c, "id string, text string").repartition(3)
+        got = {(x.query_id, x.id, round(x.score, 6), x.rank) for x in retrieval.bm25(corpus, spark.createDataFrame(q, "query_id int, text string"), 5).collect()}
+        assert got == want
+
+
 def test_channels_are_filtered_before_they_are_ranked(spark):
     rows = [(i, "gold" if i >= 90 else "gold gold gold", [float(100 - i), 0.0], {"gold": 2.0 if i < 90 else 1.0}, "big" if i < 90 else "small") for i in range(100)] + [(200, None, None, None, "small")]
     c = spark.createDataFrame(rows, "id long, text string, v array<double>, w map<string,double>, scope string")
