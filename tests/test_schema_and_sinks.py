@@ -121,6 +121,17 @@ def test_words_are_counted_once_for_all_documents(spark, monkeypatch, terms):
     assert retrieval.bm25(c.limit(0), q, 3).count() == 0 and retrieval.bm25(c, q.limit(0), 3).count() == 0
 
 
+def test_ranked_words_write_no_pairs(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(retrieval, "keep", lambda df, name="stage", real=retrieval.keep: kept.append(real(df, name)) or kept[-1])
+    c = spark.range(200).select("id", F.lit("a b c").alias("text"))
+    q = spark.range(100).select(F.col("id").alias("query_id"), F.concat_ws(" ", F.lit("a b c"), "id").alias("text"))
+    got = retrieval.bm25(c, q, 3).collect()
+    assert {(r.query_id, r.id, r.rank) for r in got} == {(i, k, k + 1) for i in range(100) for k in range(3)}
+    # What is kept follows queries or documents, not pairs of them (20,000) or of words and documents (600).
+    assert max(df.count() for df in kept) <= 400
+
+
 @pytest.mark.parametrize(("block", "documents", "terms"), [(20_000, 32_768, 500_000), (3, 7, 0)])
 def test_ranked_words_equal_brute_force(spark, monkeypatch, block, documents, terms):
     import math
