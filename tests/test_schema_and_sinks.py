@@ -132,6 +132,19 @@ def test_ranked_words_write_no_pairs(spark, monkeypatch):
     assert max(df.count() for df in kept) <= 400
 
 
+def test_hybrid_search_keeps_no_pairs(spark, monkeypatch, tmp_path):
+    from ledgerloom.queries.retrieval import hybrid_search
+
+    kept = []
+    monkeypatch.setattr(retrieval, "keep", lambda df, name="stage", real=retrieval.keep: kept.append(real(df, name)) or kept[-1])
+    spark.range(100).select(F.format_string("k%03d", "id").alias("chunk_id"), F.lit("a b c d e f").alias("text"), F.lit("acme").alias("company")).write.parquet(f"{tmp_path}/examples.parquet")
+    spark.range(20, 820, 20).select(F.format_string("q%d", "id").alias("query_id"), F.lit("acme f e d c b a").alias("query")).write.parquet(f"{tmp_path}/query_plans.parquet")
+    got = hybrid_search(spark, str(tmp_path)).collect()
+    # All chunks are equal, so the first ids are the best in both channels.
+    assert {(r.query_id, r.id, r.rank) for r in got} == {(f"q{20 * i}", f"k{k:03}", k + 1) for i in range(1, 41) for k in range(10)}
+    assert max(df.count() for df in kept) <= 300
+
+
 @pytest.mark.parametrize(("block", "documents", "terms"), [(20_000, 32_768, 500_000), (3, 7, 0)])
 def test_ranked_words_equal_brute_force(spark, monkeypatch, block, documents, terms):
     import math
